@@ -7,8 +7,6 @@ library's operators over all of their rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from equiloan.constants import ATTRIBUTES
@@ -16,17 +14,7 @@ from equiloan.operators import fairness
 from equiloan.plans import oracle as O
 from equiloan.plans import views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+from equiloan.plans.registry import ORACLE, QUERIES, register  # noqa: E402,F401
 
 
 # --- flagship: fairness of outcomes and decisions per tract threshold -------
@@ -48,3 +36,7 @@ def fairness_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = views.labelled(spark, sf_dir)
     ct = fairness.contingency(df, ATTRIBUTES, label="approved", decision="rule_decision")
     return fairness.fairness_metrics(ct)
+
+
+# The other query modules register themselves on import.
+from equiloan.plans import q_prep  # noqa: E402,F401
