@@ -25,11 +25,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantile_buckets(df: DataFrame, keys: Iterable[str], value: str, buckets: int = 64,
+TARGET_ROWS_PER_BUCKET = 200_000
+MAX_BUCKETS = 1024
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a derived table that later steps read several
+    times: a reliable checkpoint in the shared ``spark.checkpoint.dir``
+    (survives the loss of an executor, unlike a local checkpoint)."""
+    from equiloan.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def auto_buckets(dist: DataFrame, keys: Iterable[str], target: int = TARGET_ROWS_PER_BUCKET,
+                 max_buckets: int = MAX_BUCKETS) -> int:
+    """Coarse buckets per key so that a bucket holds about ``target``
+    distinct rows: 1 on small data, up to ``max_buckets`` at scale. Measured
+    with one small aggregation (one row per key)."""
+    keys = list(keys)
+    row = dist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k").alias("_m")).first()
+    largest = (row["_m"] or 0) if row else 0
+    return int(max(1, min(max_buckets, -(-largest // target))))
+
+
+def quantile_buckets(df: DataFrame, keys: Iterable[str], value: str, buckets: int | None = None,
                      accuracy: int = 10000) -> DataFrame:
     """Add ``_cb``: a coarse bucket monotone in ``value`` within ``keys``, from
-    approximate quantile edges (one sketch aggregation per key)."""
+    approximate quantile edges (one sketch aggregation per key). ``None``
+    sizes the buckets from the data (``auto_buckets``)."""
     keys = list(keys)
+    if buckets is None:
+        buckets = auto_buckets(df, keys)
     if buckets <= 1:
         return df.withColumn("_cb", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
@@ -76,7 +104,7 @@ def distinct_counts(df: DataFrame, keys: Iterable[str], value: str, out: str = "
 
 
 def exact_quantiles(df: DataFrame, keys: Iterable[str], value: str, probs: list[float],
-                    buckets: int = 64, names: list[str] | None = None) -> DataFrame:
+                    buckets: int | None = None, names: list[str] | None = None) -> DataFrame:
     """Quantiles with linear interpolation between order statistics (the
     pandas ``describe`` / SQL ``quantile_cont`` definition), exact, per keys.
 
@@ -84,24 +112,24 @@ def exact_quantiles(df: DataFrame, keys: Iterable[str], value: str, probs: list[
     """
     keys = list(keys)
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    dist = distinct_counts(df.select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v", "_n")
+    dist = materialize(distinct_counts(df.select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v", "_n"))
     dist = quantile_buckets(dist, keys, "_v", buckets)
     cum = running_total(dist, keys, "_v", "_n")
-    totals = dist.groupBy(*keys).agg(F.sum("_n").alias("_N"))
+    totals = dist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     c = cum.join(totals, keys, "inner")
     first_rank = F.col("cum__n") - F.col("_n")   # 0-based rank of the first copy
     last_rank = F.col("cum__n") - F.lit(1)
-    aggs = [F.max("_N").alias("_N")]
+    aggs = [F.max("_total").alias("_total")]
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_N") - F.lit(1)).cast("double")
+        pos = F.lit(float(p)) * (F.col("_total") - F.lit(1)).cast("double")
         lo = F.floor(pos)
-        hi = F.least(lo + F.lit(1), F.col("_N") - F.lit(1))
+        hi = F.least(lo + F.lit(1), F.col("_total") - F.lit(1))
         aggs.append(F.max(F.when((first_rank <= lo) & (lo <= last_rank), F.col("_v"))).alias(f"_lo{i}"))
         aggs.append(F.max(F.when((first_rank <= hi) & (hi <= last_rank), F.col("_v"))).alias(f"_hi{i}"))
     g = c.groupBy(*keys).agg(*aggs)
     outs = []
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_N") - F.lit(1)).cast("double")
+        pos = F.lit(float(p)) * (F.col("_total") - F.lit(1)).cast("double")
         frac = pos - F.floor(pos)
         outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).alias(names[i]))
     return g.select(*keys, *outs)

@@ -21,7 +21,7 @@ PROBS = [0.25, 0.5, 0.75]
 
 
 def describe_long(df: DataFrame, cols: Iterable[str], scope: Column, approx: bool = False,
-                  buckets: int = 64) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """G1-G3 core: (predictor, scope) -> count, mean, sd (sample), min,
     quartiles, max. ``scope`` is an array<string> column: each row counts in
     every scope it lists (e.g. its year and "All_years"), so grouping sets

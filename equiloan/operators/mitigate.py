@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiloan.functions.columns import round6, safe_div
-from equiloan.operators.cumulative import quantile_buckets, running_total
+from equiloan.operators.cumulative import materialize, quantile_buckets, running_total
 from equiloan.operators.fairness import contingency
 
 BROADCAST_ROWS = 2_000_000
@@ -103,58 +103,75 @@ def _feature_long(df: DataFrame, features: list[str], attribute: str) -> DataFra
             .filter(F.col("g").isNotNull() & F.col("value").isNotNull()))
 
 
-def repair_table(df: DataFrame, features: Iterable[str], attribute: str, level: float = 1.0,
-                 max_buckets: int = 1000, coarse_buckets: int = 64) -> DataFrame:
-    """M3 fit: (feature, g, value) -> repaired value, for every distinct value."""
+def _attribute_feature_long(df: DataFrame, features: list[str], attributes: list[str]) -> DataFrame:
+    """(attribute, g, feature, value) for every row, attribute and feature."""
+    base = df.select(*[F.col(a).cast("int").alias(a) for a in attributes],
+                     *[F.col(f).cast("double").alias(f) for f in features])
+    by_feature = base.unpivot(ids=attributes, values=features, variableColumnName="feature", valueColumnName="value")
+    return (by_feature.unpivot(ids=["feature", "value"], values=attributes,
+                               variableColumnName="attribute", valueColumnName="g")
+            .filter(F.col("g").isNotNull() & F.col("value").isNotNull()))
+
+
+def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[str] | str, level: float = 1.0,
+                 max_buckets: int = 1000, coarse_buckets: int | None = None) -> DataFrame:
+    """M3 fit: (attribute, feature, g, value) -> repaired value, for every
+    distinct value, for one or several protected attributes in one pipeline."""
     features = list(features)
-    long = _feature_long(df, features, attribute)
-    keys = ["feature", "g"]
-    dist = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    attributes = [attributes] if isinstance(attributes, str) else list(attributes)
+    long = _attribute_feature_long(df, features, attributes)
+    keys = ["attribute", "feature", "g"]
+    # The only pass over the rows: distinct values per (attribute, feature, g).
+    dist = materialize(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
     dist = quantile_buckets(dist, keys, "value", coarse_buckets)
     cum = running_total(dist, keys, "value", "n")
     tot = dist.groupBy(*keys).agg(F.sum("n").alias("ng"))
-    per_feature = tot.groupBy("feature").agg(
+    per_feature = tot.groupBy("attribute", "feature").agg(
         F.least(F.lit(max_buckets).cast("long"), F.min("ng")).alias("bb"),
         F.count(F.lit(1)).alias("ngroups"))
-    sizes = tot.join(per_feature, "feature", "inner")
+    sizes = tot.join(per_feature, ["attribute", "feature"], "inner")
     u = safe_div(F.col("cum_n").cast("double") - F.col("n").cast("double") / F.lit(2.0), F.col("ng").cast("double"))
     b = F.least(F.floor(u * F.col("bb").cast("double")), F.col("bb") - F.lit(1)).cast("long")
     ub = cum.join(sizes, keys, "inner").withColumn("b", b)
     means = ub.groupBy(*keys, "b").agg(
         safe_div(F.sum(F.col("value") * F.col("n").cast("double")), F.sum(F.col("n")).cast("double")).alias("m"))
+    # The bucket grid has at most max_buckets rows per (attribute, feature, g).
     grid = sizes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bb") - F.lit(1))).alias("b"))
     g = grid.join(means, [*keys, "b"], "left")
     w_prev = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_next = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     filled = g.withColumn("mf", F.coalesce(F.last("m", ignorenulls=True).over(w_prev),
                                            F.first("m", ignorenulls=True).over(w_next)))
-    mid = filled.groupBy("feature", "b").agg(F.avg("mf").alias("mid"), F.count(F.lit(1)).alias("k"))
+    mid = filled.groupBy("attribute", "feature", "b").agg(F.avg("mf").alias("mid"))
     lam = F.lit(float(level))
-    repaired = (ub.join(mid, ["feature", "b"], "left")
-                .select(*keys, "value",
-                        F.when(F.col("ngroups") < 2, F.col("value"))
-                        .otherwise((F.lit(1.0) - lam) * F.col("value") + lam * F.col("mid")).alias("repaired")))
-    return repaired
+    table = (ub.join(mid, ["attribute", "feature", "b"], "left")
+             .select(*keys, "value",
+                     F.when(F.col("ngroups") < 2, F.col("value"))
+                     .otherwise((F.lit(1.0) - lam) * F.col("value") + lam * F.col("mid")).alias("repaired")))
+    # Fitted once; every later join reads the written table, not its lineage.
+    return materialize(table)
+
+
+def _maybe_broadcast(t: DataFrame, n_rows: int, limit: int) -> DataFrame:
+    return F.broadcast(t) if n_rows <= limit else t
 
 
 def repair_disparate_impact(df: DataFrame, features: Iterable[str], attribute: str, level: float = 1.0,
                             max_buckets: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """M3: replace each feature by its repaired value; labels untouched.
 
-    The (g, value) -> repaired table has one row per distinct value. It is
-    broadcast when its measured size is under ``broadcast_rows``; otherwise
-    the join shuffles on (group, value) and AQE splits skewed values.
+    The (g, value) -> repaired table has one row per distinct value. Its row
+    count is measured first; it is broadcast when under ``broadcast_rows``,
+    otherwise the join shuffles on (group, value) and AQE splits skewed values.
     """
     features = list(features)
     table = repair_table(df, features, attribute, level, max_buckets)
-    n_rows = table.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()
-    sizes = {r["feature"]: r["k"] for r in n_rows}
+    sizes = {r["feature"]: r["k"] for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()}
     out = df
     for f in features:
         t = table.filter(F.col("feature") == F.lit(f)).select(
             F.col("g").alias("_g"), F.col("value").alias("_x"), F.col("repaired").alias("_r"))
-        if sizes.get(f, 0) <= broadcast_rows:
-            t = F.broadcast(t)
+        t = _maybe_broadcast(t, sizes.get(f, 0), broadcast_rows)
         cond = [out[attribute].cast("int") == t["_g"], out[f].cast("double") == t["_x"]]
         out = (out.join(t, cond, "left")
                .withColumn(f, F.when(F.col(f).isNull(), F.col(f)).otherwise(F.coalesce(F.col("_r"), F.col(f))))
@@ -162,7 +179,31 @@ def repair_disparate_impact(df: DataFrame, features: Iterable[str], attribute: s
     return out
 
 
-def group_gap(df: DataFrame, features: Iterable[str], attribute: str, coarse_buckets: int = 64) -> DataFrame:
+def repaired_long(df: DataFrame, features: Iterable[str], attributes: Iterable[str], keep: Iterable[str],
+                  level: float = 1.0, max_buckets: int = 1000,
+                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """M3 for several attributes at once, in long form: one row per (input
+    row, attribute) with ``keep`` columns, ``attribute``, ``g`` and the
+    features repaired for that attribute. Lets one job score repaired data
+    for every attribute (R6, J4) instead of one pipeline per attribute."""
+    features, attributes, keep = list(features), list(attributes), list(keep)
+    table = repair_table(df, features, attributes, level, max_buckets)
+    sizes = {r["feature"]: r["k"] for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()}
+    long = (df.select(*keep, *features, *[F.col(a).cast("int").alias(a) for a in attributes])
+            .unpivot(ids=[*keep, *features], values=attributes, variableColumnName="attribute", valueColumnName="g"))
+    for f in features:
+        t = table.filter(F.col("feature") == F.lit(f)).select(
+            F.col("attribute").alias("_a"), F.col("g").alias("_g"), F.col("value").alias("_x"),
+            F.col("repaired").alias("_r"))
+        t = _maybe_broadcast(t, sizes.get(f, 0), broadcast_rows)
+        cond = [long["attribute"] == t["_a"], long["g"] == t["_g"], long[f].cast("double") == t["_x"]]
+        long = (long.join(t, cond, "left")
+                .withColumn(f, F.when(F.col(f).isNull(), F.col(f)).otherwise(F.coalesce(F.col("_r"), F.col(f))))
+                .drop("_a", "_g", "_x", "_r"))
+    return long
+
+
+def group_gap(df: DataFrame, features: Iterable[str], attribute: str, coarse_buckets: int | None = None) -> DataFrame:
     """M4 support: per feature, the mean of each group and the two-sample
     Kolmogorov-Smirnov distance max_v |F_0(v) - F_1(v)| (exact, distributed)."""
     features = list(features)
@@ -170,13 +211,13 @@ def group_gap(df: DataFrame, features: Iterable[str], attribute: str, coarse_buc
     means = long.groupBy("feature").agg(
         F.avg(F.when(F.col("g") == 0, F.col("value"))).alias("mean_unprivileged"),
         F.avg(F.when(F.col("g") == 1, F.col("value"))).alias("mean_privileged"))
-    dist = long.groupBy("feature", "value").agg(
-        F.count_if(F.col("g") == 0).alias("n0"), F.count_if(F.col("g") == 1).alias("n1"))
+    dist = materialize(long.groupBy("feature", "value").agg(
+        F.count_if(F.col("g") == 0).alias("n0"), F.count_if(F.col("g") == 1).alias("n1")))
     dist = quantile_buckets(dist, ["feature"], "value", coarse_buckets)
     cum = running_total(dist, ["feature"], "value", ["n0", "n1"])
-    tot = dist.groupBy("feature").agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"))
-    gap = F.abs(safe_div(F.col("cum_n0").cast("double"), F.col("N0").cast("double"))
-                - safe_div(F.col("cum_n1").cast("double"), F.col("N1").cast("double")))
+    tot = dist.groupBy("feature").agg(F.sum("n0").alias("tot0"), F.sum("n1").alias("tot1"))
+    gap = F.abs(safe_div(F.col("cum_n0").cast("double"), F.col("tot0").cast("double"))
+                - safe_div(F.col("cum_n1").cast("double"), F.col("tot1").cast("double")))
     ks = cum.join(tot, "feature", "inner").groupBy("feature").agg(F.max(gap).alias("ks_distance"))
     return means.join(ks, "feature", "inner")
 

@@ -21,6 +21,7 @@ from equiloan.functions.columns import portable_hash
 from equiloan.operators.cumulative import running_total
 
 _NULL_STRATUM = -2147483648
+MAX_STRATA = 100_000
 
 
 def lowest_k_by_hash(df: DataFrame, strata: Iterable[str], k_of_n: Callable[[Column], Column],
@@ -39,17 +40,35 @@ def lowest_k_by_hash(df: DataFrame, strata: Iterable[str], k_of_n: Callable[[Col
     counts = d.groupBy(*sk, "_h").agg(F.count(F.lit(1)).alias("_n"))
     # Natural coarse grid on the hash: ~1000 buckets of 1024 hash values.
     cum = running_total(counts, sk, "_h", "_n", coarse=F.floor(F.col("_h") / F.lit(1024)))
-    size = counts.groupBy(*sk).agg(F.sum("_n").alias("_N"))
-    kk = size.select(*sk, k_of_n(F.col("_N")).cast("long").alias("_k"))
+    size = counts.groupBy(*sk).agg(F.sum("_n").alias("_total"))
+    kk = size.select(*sk, k_of_n(F.col("_total")).cast("long").alias("_k"))
     # The boundary: the hash value whose cumulative range contains rank k.
     bound = (cum.join(kk, sk, "inner")
              .filter((F.col("cum__n") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("cum__n")))
              .select(*sk, F.col("_h").alias("_hb"), (F.col("_k") - (F.col("cum__n") - F.col("_n"))).alias("_need")))
-    # One row per stratum at most: bounded by the number of strata.
-    marked = d.join(F.broadcast(bound), sk, "left")
+    # At most one row per stratum: fetched once and applied as literals, so
+    # marking the rows is a projection (no join, no shuffle of the rows).
+    rows = bound.limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    skey = sk[0] if len(sk) == 1 else None
+    if skey is None:
+        key_expr = F.concat_ws("|", *[F.col(k).cast("string") for k in sk])
+        keys = ["|".join(str(r[k]) for k in sk) for r in rows]
+    else:
+        key_expr = F.col(skey)
+        keys = [r[skey] for r in rows]
+    if rows:
+        hb_map = F.create_map(*[x for k, r in zip(keys, rows) for x in (F.lit(k), F.lit(int(r["_hb"])))])
+        need_map = F.create_map(*[x for k, r in zip(keys, rows) for x in (F.lit(k), F.lit(int(r["_need"])))])
+        marked = d.withColumn("_hb", F.element_at(hb_map, key_expr)).withColumn("_need", F.element_at(need_map, key_expr))
+    else:
+        marked = d.withColumn("_hb", F.lit(None).cast("long")).withColumn("_need", F.lit(None).cast("long"))
     below = F.col("_hb").isNotNull() & (F.col("_h") < F.col("_hb"))
     tie = F.col("_hb").isNotNull() & (F.col("_h") == F.col("_hb"))
     clear = marked.filter(~tie).withColumn(out, below)
+    # Only rows tying on a stratum's boundary hash are ranked (about
+    # n / 1e6 per stratum): the window never sees a whole stratum.
     ties = marked.filter(tie)
     w = Window.partitionBy(*sk).orderBy(F.col(key))
     ranked = ties.withColumn(out, F.row_number().over(w) <= F.col("_need"))

@@ -114,46 +114,52 @@ def split_ctes(source: str = "labelled", seed: int = 42, fraction: float = 0.25)
     ]
 
 
-def repair_ctes(p: str, source: str, attribute: str, features: list[str], level: float = 1.0,
+def repair_ctes(p: str, source: str, attributes: list[str] | str, features: list[str], level: float = 1.0,
                 max_buckets: int = 1000) -> list[tuple[str, str]]:
-    """M3 as SQL windows: ``{p}_rep`` = (feature, g, value, repaired)."""
+    """M3 as SQL windows: ``{p}_rep`` = (attribute, feature, g, value, repaired)."""
+    attributes = [attributes] if isinstance(attributes, str) else list(attributes)
     long = "\nUNION ALL\n".join(
-        f"SELECT '{f}' AS feature, CAST({attribute} AS INT) AS g, CAST({f} AS DOUBLE) AS value "
-        f"FROM {source} WHERE {attribute} IS NOT NULL AND {f} IS NOT NULL" for f in features)
+        f"SELECT '{a}' AS attribute, '{f}' AS feature, CAST({a} AS INT) AS g, CAST({f} AS DOUBLE) AS value "
+        f"FROM {source} WHERE {a} IS NOT NULL AND {f} IS NOT NULL" for a in attributes for f in features)
     lam = f"CAST({float(level)!r} AS DOUBLE)"
+    k = "attribute, feature, g"
     return [
         (f"{p}_long", long),
-        (f"{p}_dist", f"SELECT feature, g, value, COUNT(*) AS n FROM {p}_long GROUP BY feature, g, value"),
-        (f"{p}_tot", f"SELECT feature, g, SUM(n) AS ng FROM {p}_dist GROUP BY feature, g"),
-        (f"{p}_pf", f"SELECT feature, CAST(LEAST({max_buckets}, MIN(ng)) AS BIGINT) AS bb, "
-                    f"COUNT(*) AS ngroups FROM {p}_tot GROUP BY feature"),
-        (f"{p}_ub", f"""SELECT d.feature, d.g, d.value, d.n, pf.bb, pf.ngroups,
-  CAST(LEAST(FLOOR(((CAST(SUM(d.n) OVER (PARTITION BY d.feature, d.g ORDER BY d.value) AS DOUBLE)
+        (f"{p}_dist", f"SELECT {k}, value, COUNT(*) AS n FROM {p}_long GROUP BY {k}, value"),
+        (f"{p}_tot", f"SELECT {k}, SUM(n) AS ng FROM {p}_dist GROUP BY {k}"),
+        (f"{p}_pf", f"SELECT attribute, feature, CAST(LEAST({max_buckets}, MIN(ng)) AS BIGINT) AS bb, "
+                    f"COUNT(*) AS ngroups FROM {p}_tot GROUP BY attribute, feature"),
+        (f"{p}_ub", f"""SELECT d.attribute, d.feature, d.g, d.value, d.n, pf.bb, pf.ngroups,
+  CAST(LEAST(FLOOR(((CAST(SUM(d.n) OVER (PARTITION BY d.attribute, d.feature, d.g ORDER BY d.value) AS DOUBLE)
         - CAST(d.n AS DOUBLE) / 2.0) / CAST(t.ng AS DOUBLE)) * CAST(pf.bb AS DOUBLE)), pf.bb - 1) AS BIGINT) AS b
-FROM {p}_dist d JOIN {p}_tot t USING (feature, g) JOIN {p}_pf pf USING (feature)"""),
-        (f"{p}_means", f"SELECT feature, g, b, SUM(value * CAST(n AS DOUBLE)) / CAST(SUM(n) AS DOUBLE) AS m "
-                       f"FROM {p}_ub GROUP BY feature, g, b"),
-        (f"{p}_grid", f"SELECT t.feature, t.g, UNNEST(range(0, pf.bb)) AS b "
-                      f"FROM {p}_tot t JOIN {p}_pf pf USING (feature)"),
-        (f"{p}_filled", f"""SELECT gr.feature, gr.g, gr.b,
-  COALESCE(LAST_VALUE(m IGNORE NULLS) OVER (PARTITION BY gr.feature, gr.g ORDER BY gr.b
+FROM {p}_dist d JOIN {p}_tot t USING ({k}) JOIN {p}_pf pf USING (attribute, feature)"""),
+        (f"{p}_means", f"SELECT {k}, b, SUM(value * CAST(n AS DOUBLE)) / CAST(SUM(n) AS DOUBLE) AS m "
+                       f"FROM {p}_ub GROUP BY {k}, b"),
+        (f"{p}_grid", f"SELECT t.attribute, t.feature, t.g, UNNEST(range(0, pf.bb)) AS b "
+                      f"FROM {p}_tot t JOIN {p}_pf pf USING (attribute, feature)"),
+        (f"{p}_filled", f"""SELECT gr.attribute, gr.feature, gr.g, gr.b,
+  COALESCE(LAST_VALUE(m IGNORE NULLS) OVER (PARTITION BY gr.attribute, gr.feature, gr.g ORDER BY gr.b
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-           FIRST_VALUE(m IGNORE NULLS) OVER (PARTITION BY gr.feature, gr.g ORDER BY gr.b
+           FIRST_VALUE(m IGNORE NULLS) OVER (PARTITION BY gr.attribute, gr.feature, gr.g ORDER BY gr.b
              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS mf
-FROM {p}_grid gr LEFT JOIN {p}_means mm USING (feature, g, b)"""),
-        (f"{p}_mid", f"SELECT feature, b, AVG(mf) AS mid FROM {p}_filled GROUP BY feature, b"),
-        (f"{p}_rep", f"""SELECT ub.feature, ub.g, ub.value,
+FROM {p}_grid gr LEFT JOIN {p}_means mm USING ({k}, b)"""),
+        (f"{p}_mid", f"SELECT attribute, feature, b, AVG(mf) AS mid FROM {p}_filled GROUP BY attribute, feature, b"),
+        (f"{p}_rep", f"""SELECT ub.attribute, ub.feature, ub.g, ub.value,
   CASE WHEN ub.ngroups < 2 THEN ub.value ELSE (1.0 - {lam}) * ub.value + {lam} * md.mid END AS repaired
-FROM {p}_ub ub LEFT JOIN {p}_mid md USING (feature, b)"""),
+FROM {p}_ub ub LEFT JOIN {p}_mid md USING (attribute, feature, b)"""),
     ]
 
 
-def repaired_columns(p: str, alias: str, attribute: str, features: list[str]) -> tuple[str, str]:
-    """(select expressions, joins) replacing ``features`` of ``alias`` by repaired values."""
+def repaired_columns(p: str, alias: str, attribute: str, features: list[str],
+                     attr_expr: str | None = None, g_expr: str | None = None) -> tuple[str, str]:
+    """(select expressions, joins) replacing ``features`` of ``alias`` by
+    repaired values for ``attribute`` (a literal name, or ``attr_expr``)."""
     sel, joins = [], []
+    a_match = attr_expr if attr_expr else f"'{attribute}'"
+    g = g_expr if g_expr else f"CAST({alias}.{attribute} AS INT)"
     for i, f in enumerate(features):
         r = f"{p}r{i}"
         sel.append(f"CASE WHEN {alias}.{f} IS NULL THEN NULL ELSE COALESCE({r}.repaired, {alias}.{f}) END AS {f}")
-        joins.append(f"LEFT JOIN {p}_rep {r} ON {r}.feature = '{f}' AND {r}.g = CAST({alias}.{attribute} AS INT) "
-                     f"AND {r}.value = CAST({alias}.{f} AS DOUBLE)")
+        joins.append(f"LEFT JOIN {p}_rep {r} ON {r}.attribute = {a_match} AND {r}.feature = '{f}' "
+                     f"AND {r}.g = {g} AND {r}.value = CAST({alias}.{f} AS DOUBLE)")
     return ", ".join(sel), "\n".join(joins)
