@@ -42,3 +42,4 @@ def fairness_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 from equiloan.plans import q_prep  # noqa: E402,F401
 from equiloan.plans import q_metrics  # noqa: E402,F401
 from equiloan.plans import q_models  # noqa: E402,F401
+from equiloan.plans import q_stream  # noqa: E402,F401

@@ -333,7 +333,7 @@ PRIMARY_SQL = ("CASE WHEN denial_reason_1 IN (" + ", ".join(f"'{i}'" for i in ra
                + ") THEN CAST(denial_reason_1 AS INT) ELSE 1 END")
 
 
-@register("primary_denial_reason", W(f"SELECT application_id, {PRIMARY_SQL} AS primary_denial_reason FROM labelled"))
+@register("argmax_label", W(f"SELECT application_id, {PRIMARY_SQL} AS primary_denial_reason FROM labelled"))
 def q_primary_denial_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The primary denial reason (argmax of the ten slot-1 indicators)."""
     return prep.primary_denial_reason(views.labelled(spark, sf_dir)).select("application_id", "primary_denial_reason")
