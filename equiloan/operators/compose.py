@@ -59,9 +59,21 @@ def merge_result_tables(a: DataFrame, b: DataFrame, on: Iterable[str],
     return sa.join(sb, on, "inner")
 
 
-def attach_statistics(df: DataFrame, stats: DataFrame, on: Iterable[str]) -> DataFrame:
-    """Apply a small statistics table (weights, edges) back to all rows
-    by key. The table must be small by construction (groups x cells): it is
-    broadcast, so the rows are not shuffled. Table-wide statistics (one row)
-    are applied as literals by the fitting operators instead."""
-    return df.join(F.broadcast(stats), list(on), "left")
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(stats: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only behind a measured bound: the rows of ``stats`` are
+    counted (up to ``max_rows + 1``) first; a larger table is left to the
+    planner (shuffle join, AQE)."""
+    n = stats.limit(max_rows + 1).count()
+    return F.broadcast(stats) if n <= max_rows else stats
+
+
+def attach_statistics(df: DataFrame, stats: DataFrame, on: Iterable[str],
+                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Apply a small statistics table (weights, edges, per-group
+    values) back to all rows by key, broadcast when its measured size allows,
+    so the rows are not shuffled. Table-wide statistics (one row) are applied
+    as literals by the fitting operators instead."""
+    return df.join(broadcast_if_small(stats, max_rows), list(on), "left")

@@ -29,14 +29,18 @@ TARGET_ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 1024
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage of a derived table that later steps read several
-    times: a reliable checkpoint in the shared ``spark.checkpoint.dir``
-    (survives the loss of an executor, unlike a local checkpoint)."""
-    from equiloan.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    times: write it once as Parquet under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back. Unlike a local checkpoint it
+    survives the loss of an executor, and unlike an eager ``checkpoint()`` it
+    computes the plan once (no second pass to write the checkpoint files)."""
+    from equiloan.session import shared_path
+
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def auto_buckets(dist: DataFrame, keys: Iterable[str], target: int = TARGET_ROWS_PER_BUCKET,

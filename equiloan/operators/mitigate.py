@@ -49,16 +49,33 @@ def reweigh_weights(df: DataFrame, attributes: Iterable[str], label: str = "appr
     return cells.select(*part, "g", "y", "n", w.alias("weight"))
 
 
+LITERAL_WEIGHT_ROWS = 10_000
+
+
 def apply_weights(df: DataFrame, weights: DataFrame, attribute: str, label: str = "approved",
                   by: Iterable[str] = (), out: str = "weight") -> DataFrame:
     """M1 transform: each row gets the weight of its (group, label) cell for
-    ``attribute``. The weight table has at most 4 rows per ``by`` value: a
-    broadcast join, no shuffle of the rows."""
+    ``attribute``. The fitted table has at most 4 rows per ``by`` value: it is
+    fetched once and applied as a literal map (a projection: no join, and
+    learners that pass over the rows many times never refit it). A table
+    beyond ``LITERAL_WEIGHT_ROWS`` rows is joined instead."""
+    from equiloan.operators.compose import broadcast_if_small
+
     by = list(by)
     w = (weights.filter(F.col("attribute") == F.lit(attribute))
          .select(*by, F.col("g").alias("_g"), F.col("y").alias("_y"), F.col("weight").alias(out)))
+    rows = w.limit(LITERAL_WEIGHT_ROWS + 1).collect()
+    if len(rows) <= LITERAL_WEIGHT_ROWS:
+        key = F.concat_ws("|", *[F.col(b).cast("string") for b in by],
+                          F.col(attribute).cast("int").cast("string"), F.col(label).cast("int").cast("string"))
+        pairs = []
+        for r in rows:
+            k = "|".join([*(str(r[b]) for b in by), str(r["_g"]), str(r["_y"])])
+            pairs += [F.lit(k), F.lit(r[out]).cast("double")]
+        m = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+        return df.withColumn(out, F.element_at(m, key))
     cond = [df[attribute] == w["_g"], df[label] == w["_y"]] + [df[b] == w[b] for b in by]
-    joined = df.join(F.broadcast(w), cond, "left")
+    joined = df.join(broadcast_if_small(w), cond, "left")
     return joined.drop("_g", "_y", *[w[b] for b in by])
 
 

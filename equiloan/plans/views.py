@@ -9,6 +9,8 @@ stand-in scorecard decision.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from equiloan.constants import PREDICTORS, SLICE_YEAR, THRESHOLDS
@@ -17,8 +19,32 @@ from equiloan.sources.applications import year_slice
 from equiloan.sources.standin import rule_decision, stand_in_applications
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stand_in_applications(spark, sf_dir)
+_STORED: dict[tuple[int, str], str] = {}
+_LOCK = threading.Lock()
+
+
+def applications(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
+    """The application table. With ``stored`` (default), the stand-in is
+    built from the driver's tables once per session and input folder (one
+    Spark job) and written as Parquet to the shared checkpoint folder;
+    queries then scan it like the stored application table they would read
+    in production (column pruning, pushed filters, parallel files)."""
+    if not stored:
+        return stand_in_applications(spark, sf_dir)
+    from equiloan.session import shared_path
+
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    with _LOCK:
+        path = _STORED.get(key)
+        if path is not None:
+            try:
+                return spark.read.parquet(path)
+            except Exception:  # noqa: BLE001 - folder cleaned up: rebuild
+                _STORED.pop(key, None)
+        path = shared_path(spark, "applications")
+        stand_in_applications(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+        return spark.read.parquet(path)
 
 
 def prepare(apps: DataFrame) -> DataFrame:
