@@ -58,12 +58,13 @@ def quantile_buckets(df: DataFrame, keys: Iterable[str], value: str, buckets: in
                      accuracy: int = 10000) -> DataFrame:
     """Add ``_cb``: a coarse bucket monotone in ``value`` within ``keys``, from
     approximate quantile edges (one sketch aggregation per key). ``None``
-    sizes the buckets from the data (``auto_buckets``)."""
+    sizes the buckets from the data (``auto_buckets``); when one bucket per
+    key suffices no column is added and ``running_total`` uses one window."""
     keys = list(keys)
     if buckets is None:
         buckets = auto_buckets(df, keys)
     if buckets <= 1:
-        return df.withColumn("_cb", F.lit(0))
+        return df
     probs = [i / buckets for i in range(1, buckets)]
     edges = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias("_edges"))
     joined = df.join(edges, keys, "inner")
@@ -81,12 +82,15 @@ def running_total(df: DataFrame, keys: Iterable[str], order: str, counts: Iterab
     """
     keys = list(keys)
     counts = [counts] if isinstance(counts, str) else list(counts)
+    if coarse is None and "_cb" not in df.columns:
+        # One bucket per key (the caller measured the key small enough):
+        # the plain window is the same running sum with fewer stages.
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*df.columns, *[F.sum(c).over(whole).alias(prefix + c) for c in counts])
     if coarse is not None:
         d = df.withColumn("_cb", coarse.cast("long"))
-    elif "_cb" in df.columns:
-        d = df.withColumn("_cb", F.col("_cb").cast("long"))
     else:
-        d = df.withColumn("_cb", F.lit(0).cast("long"))
+        d = df.withColumn("_cb", F.col("_cb").cast("long"))
     # Per-bucket totals: groups x buckets rows.
     totals = d.groupBy(*keys, "_cb").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
     before = Window.partitionBy(*keys).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)

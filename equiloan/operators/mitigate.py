@@ -139,17 +139,16 @@ def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[st
     long = _attribute_feature_long(df, features, attributes)
     keys = ["attribute", "feature", "g"]
     # The only pass over the rows: distinct values per (attribute, feature, g).
-    dist = materialize(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
-    dist = quantile_buckets(dist, keys, "value", coarse_buckets)
-    cum = running_total(dist, keys, "value", "n")
+    dist = materialize(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), "repair-dist")
     tot = dist.groupBy(*keys).agg(F.sum("n").alias("ng"))
     per_feature = tot.groupBy("attribute", "feature").agg(
         F.least(F.lit(max_buckets).cast("long"), F.min("ng")).alias("bb"),
         F.count(F.lit(1)).alias("ngroups"))
     sizes = tot.join(per_feature, ["attribute", "feature"], "inner")
+    cum = running_total(quantile_buckets(dist, keys, "value", coarse_buckets), keys, "value", "n")
     u = safe_div(F.col("cum_n").cast("double") - F.col("n").cast("double") / F.lit(2.0), F.col("ng").cast("double"))
     b = F.least(F.floor(u * F.col("bb").cast("double")), F.col("bb") - F.lit(1)).cast("long")
-    ub = cum.join(sizes, keys, "inner").withColumn("b", b)
+    ub = cum.join(sizes, keys, "inner").withColumn("b", b).select(*keys, "value", "n", "b", "ngroups")
     means = ub.groupBy(*keys, "b").agg(
         safe_div(F.sum(F.col("value") * F.col("n").cast("double")), F.sum(F.col("n")).cast("double")).alias("m"))
     # The bucket grid has at most max_buckets rows per (attribute, feature, g).
@@ -159,14 +158,15 @@ def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[st
     w_next = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     filled = g.withColumn("mf", F.coalesce(F.last("m", ignorenulls=True).over(w_prev),
                                            F.first("m", ignorenulls=True).over(w_next)))
+    # mid: at most attributes x features x max_buckets rows - a bounded broadcast.
     mid = filled.groupBy("attribute", "feature", "b").agg(F.avg("mf").alias("mid"))
     lam = F.lit(float(level))
-    table = (ub.join(mid, ["attribute", "feature", "b"], "left")
+    table = (ub.join(F.broadcast(mid), ["attribute", "feature", "b"], "left")
              .select(*keys, "value",
                      F.when(F.col("ngroups") < 2, F.col("value"))
                      .otherwise((F.lit(1.0) - lam) * F.col("value") + lam * F.col("mid")).alias("repaired")))
-    # Fitted once; every later join reads the written table, not its lineage.
-    return materialize(table)
+    # Fitted once; the size check and every lookup join read the written table.
+    return materialize(table, "repair-table")
 
 
 def _maybe_broadcast(t: DataFrame, n_rows: int, limit: int) -> DataFrame:
