@@ -563,3 +563,77 @@ def q_compare_mitigations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep = fairness.fairness_metrics(rct)
     return report.compare_mitigations({"original": orig, "reweighed": rew, "repaired": rep},
                                       "decision_parity_difference")
+
+
+# --- the single-year experiment, end to end (R1 of the whole flow) ------------------
+
+EXP_LABEL_METRICS = ["statistical_parity_difference", "disparate_impact", "mean_difference"]
+EXP_DECISION_METRICS = ["average_odds_difference", "equal_opportunity_difference", "theil_index"]
+EXP_SCORES = ["accuracy", "f1", "recall", "precision"]
+
+
+def _exp_metric_sql(c: str) -> str:
+    return f"""
+  {R('pos_u / NULLIF(n_u, 0) - pos_p / NULLIF(n_p, 0)')} AS statistical_parity_difference,
+  {R('(pos_u / NULLIF(n_u, 0)) / NULLIF(pos_p / NULLIF(n_p, 0), 0)')} AS disparate_impact,
+  {R('pos_u / NULLIF(n_u, 0) - pos_p / NULLIF(n_p, 0)')} AS mean_difference,
+  {R('0.5 * ((fp_u / NULLIF(neg_u, 0) - fp_p / NULLIF(neg_p, 0)) + (tp_u / NULLIF(pos_u, 0) - tp_p / NULLIF(pos_p, 0)))')} AS average_odds_difference,
+  {R('tp_u / NULLIF(pos_u, 0) - tp_p / NULLIF(pos_p, 0)')} AS equal_opportunity_difference,
+  {R('th.theil')} AS theil_index"""
+
+
+_EXP_LONG = "\nUNION ALL\n".join(
+    [f"SELECT attribute, '{m} (original ' || split || ')' AS metric, CAST({m} AS DOUBLE) AS value FROM mo"
+     for m in EXP_LABEL_METRICS + EXP_DECISION_METRICS]
+    + [f"SELECT attribute, '{m} (reweighed ' || split || ')' AS metric, CAST({m} AS DOUBLE) AS value FROM mw"
+       for m in EXP_LABEL_METRICS + EXP_DECISION_METRICS]
+    + [f"SELECT a.attribute, '{m} (original ' || sc.split || ')' AS metric, CAST(sc.{m} AS DOUBLE) AS value "
+       f"FROM sc JOIN (SELECT DISTINCT attribute FROM mo) a ON TRUE" for m in EXP_SCORES])
+
+PERFORMANCE_RESULTS_SQL = W(
+    "SELECT metric, " + ", ".join(f"MAX(CASE WHEN attribute = '{a}' THEN value END) AS {a}" for a in ATTRIBUTES)
+    + " FROM ml GROUP BY metric",
+    ("sl", f"SELECT * FROM labelled WHERE activity_year = {SLICE_YEAR} AND {EXCL_SQL}"),
+    *O.split_ctes("sl"),
+    ("long", O.attribute_long("splitted", extra="split, ")),
+    ("cells", "SELECT split, attribute, g, y, COUNT(*) AS n FROM long GROUP BY split, attribute, g, y"),
+    ("wt", "SELECT split, attribute, g, y, CAST(SUM(n) OVER (PARTITION BY split, attribute, g) AS DOUBLE) "
+           "* CAST(SUM(n) OVER (PARTITION BY split, attribute, y) AS DOUBLE) / NULLIF(CAST(SUM(n) OVER "
+           "(PARTITION BY split, attribute) AS DOUBLE) * CAST(n AS DOUBLE), 0) AS weight FROM cells"),
+    ("lw", "SELECT l.*, wt.weight FROM long l JOIN wt USING (split, attribute, g, y)"),
+    ("co", f"SELECT split, attribute, {O.conditional_sums()} FROM lw GROUP BY split, attribute"),
+    ("cw", f"SELECT split, attribute, {O.conditional_sums('weight')} FROM lw GROUP BY split, attribute"),
+    ("th", O.theil_per_row("splitted", by="split")),
+    ("mo", f"SELECT co.split, co.attribute, {_exp_metric_sql('co')} FROM co JOIN th USING (split)"),
+    ("mw", f"SELECT cw.split, cw.attribute, {_exp_metric_sql('cw')} FROM cw JOIN th USING (split)"),
+    ("sc", SCORE_SQL),
+    ("ml", _EXP_LONG),
+)
+
+
+@register("performance_results", PERFORMANCE_RESULTS_SQL)
+def q_performance_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-year experiment end to end: S2 year slice -> P13 exclusion
+    -> P16 bins -> T1 split -> per split, label parity before and after
+    reweighing (M1 fitted per split), decision fairness (AOD, EOD, Theil; the
+    reweighed ones with weights) and scores of the decisions -> R1 matrix of
+    metric x attribute. One contingency job carries all of it."""
+    df = prep.exclude_where(views.labelled_year(spark, sf_dir))
+    df = splits.stratified_split(prep.equal_width_bins(df))
+    ct = fairness.contingency(df, ATTRIBUTES, decision="rule_decision", by=["split"])
+    weights = mitigate.reweigh_weights(df, ATTRIBUTES, by=["split"])
+    names = EXP_LABEL_METRICS + EXP_DECISION_METRICS
+    orig = fairness.metrics_long(fairness.fairness_metrics(ct, by=["split"]), by=["split"], metric_names=names)
+    rew = fairness.metrics_long(
+        fairness.fairness_metrics(mitigate.weighted_contingency(ct, weights, ["split"]), by=["split"], weighted=True),
+        by=["split"], metric_names=names)
+    sc = fairness.classification_scores(ct, by=["split"])
+    scl = sc.unpivot(ids=["split", "attribute"], values=EXP_SCORES, variableColumnName="metric",
+                     valueColumnName="value")
+
+    def label(t: DataFrame, cat: str) -> DataFrame:
+        return t.select("attribute", F.concat(F.col("metric"), F.lit(f" ({cat} "), F.col("split"), F.lit(")"))
+                        .alias("metric"), F.col("value").cast("double").alias("value"))
+
+    long = label(orig, "original").unionByName(label(rew, "reweighed")).unionByName(label(scl, "original"))
+    return report.results_matrix(long, ATTRIBUTES)
