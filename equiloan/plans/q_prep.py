@@ -57,9 +57,12 @@ def q_read_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("year_slice", W(f"SELECT application_id, activity_year, approved FROM labelled "
                           f"WHERE activity_year = {SLICE_YEAR}"))
 def q_year_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One activity year of the prepared table."""
-    return src.year_slice(views.labelled(spark, sf_dir), SLICE_YEAR).select(
-        "application_id", "activity_year", "approved")
+    """One activity year of the prepared table, read from the table S4
+    writes partitioned by year: the filter prunes whole year folders
+    (``PartitionFilters``), so other years are never opened."""
+    path = shared_path(spark, "prepared-by-year")
+    sinks.write_prepared(views.labelled(spark, sf_dir).select("application_id", "activity_year", "approved"), path)
+    return src.year_slice(spark.read.parquet(path), SLICE_YEAR).select("application_id", "activity_year", "approved")
 
 
 LABELLED_COLS = APPS_COLS + ["approved"] + ATTRIBUTES + ["rule_decision"]

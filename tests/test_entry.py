@@ -12,7 +12,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 SQL_KEYS = ["fairness_by_threshold", "contingency", "weighted_metrics", "describe_by_year", "stratified_split",
             "reweigh_report", "repair_disparate_impact", "compare_mitigations", "denial_reason_counts",
-            "one_hot", "min_max", "condition_counts", "stage_audit"]
+            "one_hot", "min_max", "condition_counts", "stage_audit", "performance_results", "attach_model_decisions",
+            "describe_splits", "downsample_majority", "plot_series"]
 
 
 def _norm(v):
