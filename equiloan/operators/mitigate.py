@@ -34,19 +34,33 @@ BROADCAST_ROWS = 2_000_000
 
 # --- M1, M2: reweighing -------------------------------------------------------
 
+def _weights_from_cells(ct: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., attribute, g, y) -> n, weight from a contingency table: one
+    conditional-sum aggregation per (by, attribute) gives the four cell counts,
+    the weights are arithmetic on them, and ``stack`` turns the row back into
+    at most four cells (empty cells have no row)."""
+    n = F.col("n")
+    cells = ct.groupBy(*by, "attribute").agg(*[
+        F.sum(F.when((F.col("g") == g) & (F.col("y") == y), n).otherwise(F.lit(0))).alias(f"n{g}{y}")
+        for g in (0, 1) for y in (0, 1)])
+    d = lambda c: F.col(c).cast("double")
+    total = d("n00") + d("n01") + d("n10") + d("n11")
+    n_g = {0: d("n00") + d("n01"), 1: d("n10") + d("n11")}
+    n_y = {0: d("n00") + d("n10"), 1: d("n01") + d("n11")}
+    wcols = {f"w{g}{y}": safe_div(n_g[g] * n_y[y], total * d(f"n{g}{y}")) for g in (0, 1) for y in (0, 1)}
+    wide = cells.withColumns(wcols)
+    stack = ", ".join(f"{g}, {y}, n{g}{y}, w{g}{y}" for g in (0, 1) for y in (0, 1))
+    long = wide.selectExpr(*[f"`{b}`" for b in by], "attribute", f"stack(4, {stack}) as (g, y, n, weight)")
+    return long.filter(F.col("n") > 0)
+
+
 def reweigh_weights(df: DataFrame, attributes: Iterable[str], label: str = "approved",
                     by: Iterable[str] = ()) -> DataFrame:
-    """M1 fit: (by..., attribute, g, y) -> n, weight. At most 4 rows per
-    (by, attribute). A cell with no rows has no weight (and no row needs one)."""
+    """M1 fit: (by..., attribute, g, y) -> n, weight = N_g N_y / (N N_gy).
+    At most 4 rows per (by, attribute); a cell with no rows has no weight
+    (and no row needs one). One pass over the rows (the contingency)."""
     by = list(by)
-    ct = contingency(df, attributes, label=label, decision=None, by=by)
-    cells = ct.groupBy(*by, "attribute", "g", "y").agg(F.sum("n").alias("n"))
-    part = [*by, "attribute"]
-    n_g = F.sum("n").over(Window.partitionBy(*part, "g"))
-    n_y = F.sum("n").over(Window.partitionBy(*part, "y"))
-    n_all = F.sum("n").over(Window.partitionBy(*part))
-    w = safe_div(n_g.cast("double") * n_y.cast("double"), n_all.cast("double") * F.col("n").cast("double"))
-    return cells.select(*part, "g", "y", "n", w.alias("weight"))
+    return _weights_from_cells(contingency(df, attributes, label=label, decision=None, by=by), by)
 
 
 LITERAL_WEIGHT_ROWS = 10_000
@@ -98,12 +112,8 @@ def reweigh_report(df: DataFrame, attributes: Iterable[str], label: str = "appro
 
     by = list(by)
     ct = contingency(df, attributes, label=label, decision=None, by=by)
-    cells = ct.groupBy(*by, "attribute", "g", "y").agg(F.sum("n").alias("n"))
+    weights = _weights_from_cells(ct, by)
     part = [*by, "attribute"]
-    w = safe_div(F.sum("n").over(Window.partitionBy(*part, "g")).cast("double")
-                 * F.sum("n").over(Window.partitionBy(*part, "y")).cast("double"),
-                 F.sum("n").over(Window.partitionBy(*part)).cast("double") * F.col("n").cast("double"))
-    weights = cells.select(*part, "g", "y", w.alias("weight"))
     before = fairness_metrics(ct, by=by)
     after = fairness_metrics(weighted_contingency(ct, weights, by), by=by, weighted=True)
     keep = ["statistical_parity_difference", "disparate_impact", "mean_difference"]
