@@ -130,32 +130,36 @@ def _feature_long(df: DataFrame, features: list[str], attribute: str) -> DataFra
             .filter(F.col("g").isNotNull() & F.col("value").isNotNull()))
 
 
-def _attribute_feature_long(df: DataFrame, features: list[str], attributes: list[str]) -> DataFrame:
-    """(attribute, g, feature, value) for every row, attribute and feature."""
-    base = df.select(*[F.col(a).cast("int").alias(a) for a in attributes],
-                     *[F.col(f).cast("double").alias(f) for f in features])
-    by_feature = base.unpivot(ids=attributes, values=features, variableColumnName="feature", valueColumnName="value")
-    return (by_feature.unpivot(ids=["feature", "value"], values=attributes,
-                               variableColumnName="attribute", valueColumnName="g")
-            .filter(F.col("g").isNotNull() & F.col("value").isNotNull()))
-
-
 def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[str] | str, level: float = 1.0,
                  max_buckets: int = 1000, coarse_buckets: int | None = None) -> DataFrame:
     """M3 fit: (attribute, feature, g, value) -> repaired value, for every
     distinct value, for one or several protected attributes in one pipeline."""
     features = list(features)
     attributes = [attributes] if isinstance(attributes, str) else list(attributes)
-    long = _attribute_feature_long(df, features, attributes)
     keys = ["attribute", "feature", "g"]
-    # The only pass over the rows: distinct values per (attribute, feature, g).
-    dist = materialize(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), "repair-dist")
-    tot = dist.groupBy(*keys).agg(F.sum("n").alias("ng"))
+    # The only pass over the rows: one row per (feature, distinct value) with
+    # a count per (attribute, group) - the attributes are 0/1 flags, so this
+    # is len(attributes) times fewer rows to shuffle and sort than one row
+    # per (attribute, group, value).
+    cells = [(a, g) for a in attributes for g in (0, 1)]
+    base = df.select(*[F.col(a).cast("int").alias(a) for a in attributes],
+                     *[F.col(f).cast("double").alias(f) for f in features])
+    by_value = (base.unpivot(ids=attributes, values=features, variableColumnName="feature", valueColumnName="value")
+                .filter(F.col("value").isNotNull()))
+    wide = materialize(by_value.groupBy("feature", "value").agg(
+        *[F.count_if(F.col(a) == F.lit(g)).alias(f"c{i}") for i, (a, g) in enumerate(cells)]), "repair-dist")
+    wide = quantile_buckets(wide, ["feature"], "value", coarse_buckets)
+    wcum = running_total(wide, ["feature"], "value", [f"c{i}" for i in range(len(cells))])
+    stack = ", ".join(f"'{a}', {g}, c{i}, cum_c{i}" for i, (a, g) in enumerate(cells))
+    cum = (wcum.selectExpr("feature", "value", f"stack({len(cells)}, {stack}) as (attribute, g, n, cum_n)")
+           .filter(F.col("n") > 0))
+    tot = wide.selectExpr("feature", f"stack({len(cells)}, " + ", ".join(
+        f"'{a}', {g}, c{i}" for i, (a, g) in enumerate(cells)) + ") as (attribute, g, n)") \
+        .groupBy(*keys).agg(F.sum("n").alias("ng")).filter(F.col("ng") > 0)
     per_feature = tot.groupBy("attribute", "feature").agg(
         F.least(F.lit(max_buckets).cast("long"), F.min("ng")).alias("bb"),
         F.count(F.lit(1)).alias("ngroups"))
     sizes = tot.join(per_feature, ["attribute", "feature"], "inner")
-    cum = running_total(quantile_buckets(dist, keys, "value", coarse_buckets), keys, "value", "n")
     u = safe_div(F.col("cum_n").cast("double") - F.col("n").cast("double") / F.lit(2.0), F.col("ng").cast("double"))
     b = F.least(F.floor(u * F.col("bb").cast("double")), F.col("bb") - F.lit(1)).cast("long")
     ub = cum.join(sizes, keys, "inner").withColumn("b", b).select(*keys, "value", "n", "b", "ngroups")

@@ -29,15 +29,13 @@ ATTR = "a50"
 def _data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Prepared table with the T1 split; (all, train, test).
 
-    As in the workflow, the prepared table is persisted once (written to the
-    shared checkpoint folder, only the columns models use); bin edges and the
-    split boundary are fitted on it, and the split table the learners pass
-    over many times is written once as well."""
+    The prepared table is a projection of the stored application table; bin
+    edges and the split boundary are fitted on it, and the split table the
+    learners pass over many times (only the columns models use) is written
+    once to the shared checkpoint folder and read back."""
     prepared = prep.primary_denial_reason(views.labelled(spark, sf_dir)).select(
         "application_id", *PREDICTORS, "approved", *ATTRIBUTES, "tract_minority_population_percent",
         "primary_denial_reason")
-    prepared = materialize(prepared, "prepared")
-    # The split table is what the learners iterate over: written once too.
     df = materialize(splits.stratified_split(prep.equal_width_bins(prepared)), "model-table")
     return df, df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
 
