@@ -116,9 +116,10 @@ METRIC_NAMES = [
 
 
 def fairness_metrics(ct: DataFrame, by: Iterable[str] = (), weighted: bool = False,
-                     rounded: bool = True) -> DataFrame:
+                     rounded: bool = True, with_total: bool = False) -> DataFrame:
     """One row per (by..., attribute) with group sizes and every
-    metric. ``weighted`` uses the weight sums (G10); Theil stays unweighted."""
+    metric. ``weighted`` uses the weight sums (G10); Theil stays unweighted.
+    ``with_total`` adds ``sum_weights`` (rows, or weights when weighted)."""
     by = list(by)
     gc = group_counts(ct, by, weighted)
     cols = metric_columns(gc)
@@ -129,6 +130,8 @@ def fairness_metrics(ct: DataFrame, by: Iterable[str] = (), weighted: bool = Fal
         out += [F.col("n_u").cast("bigint").alias("n_unprivileged"),
                 F.col("n_p").cast("bigint").alias("n_privileged")]
     out += [(round6(v) if rounded else v).alias(k) for k, v in cols.items()]
+    if with_total:
+        out.append((round6("total") if rounded else F.col("total")).alias("sum_weights"))
     return gc.select(*out)
 
 

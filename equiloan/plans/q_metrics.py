@@ -100,10 +100,9 @@ def q_weighted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ct = fairness.contingency(df, ATTRIBUTES, decision=None)
     weights = mitigate.reweigh_weights(df, ATTRIBUTES)
     wct = mitigate.weighted_contingency(ct, weights)
-    m = fairness.fairness_metrics(wct, weighted=True)
-    sw = wct.groupBy("attribute").agg(round6(F.sum("w")).alias("sum_weights"))
-    return m.join(sw, "attribute").select("attribute", "sum_weights", "statistical_parity_difference",
-                                          "disparate_impact", "mean_difference")
+    m = fairness.fairness_metrics(wct, weighted=True, with_total=True)
+    return m.select("attribute", "sum_weights", "statistical_parity_difference", "disparate_impact",
+                    "mean_difference")
 
 
 METRIC_COLS = ["base_rate_unprivileged", "base_rate_privileged", "statistical_parity_difference",
