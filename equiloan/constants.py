@@ -4,7 +4,8 @@ Everything in this module is a value that must equal the workflow being
 rebuilt for the results to be right (column lists, codes, thresholds, seeds,
 the energy constant). Column names are given in the sanitised form used
 throughout the package: ``-`` becomes ``_`` and a trailing ``.0`` of a code is
-dropped (see ``equiloan.functions.columns.sanitize_name``).
+dropped (see ``equiloan.functions.columns.sanitize_name``); the denial-reason
+indicator list keeps the source's spelling and is sanitised where it is used.
 """
 
 from __future__ import annotations
@@ -100,14 +101,32 @@ COLUMNS_TO_DROP = [
     "manufactured_home_secured_property_type_3",
 ]
 
+# Denial-reason indicator columns of the prepared table, as named there.
+DENIAL_REASON_INDICATORS = [
+    "denial_reason-1_1", "denial_reason-1_2", "denial_reason-1_3", "denial_reason-1_4", "denial_reason-1_5",
+    "denial_reason-1_6", "denial_reason-1_7", "denial_reason-1_8", "denial_reason-1_9", "denial_reason-1_10",
+    "denial_reason-1_1111", "denial_reason-2_1.0", "denial_reason-2_2.0", "denial_reason-2_3.0", "denial_reason-2_4.0",
+    "denial_reason-2_5.0", "denial_reason-2_6.0", "denial_reason-2_7.0", "denial_reason-2_8.0", "denial_reason-2_9.0",
+    "denial_reason-3_1.0", "denial_reason-3_2.0", "denial_reason-3_3.0", "denial_reason-3_4.0", "denial_reason-3_5.0",
+    "denial_reason-3_6.0", "denial_reason-3_7.0", "denial_reason-3_8.0", "denial_reason-3_9.0", "denial_reason-4_1.0",
+    "denial_reason-4_2.0", "denial_reason-4_3.0", "denial_reason-4_4.0", "denial_reason-4_5.0", "denial_reason-4_6.0",
+    "denial_reason-4_7.0", "denial_reason-4_8.0", "denial_reason-4_9.0",
+]
+
+
+def _slot_codes(indicators: list[str]) -> dict[str, list[str]]:
+    """'denial_reason-2_1.0' -> slot 'denial_reason_2', code '1' (sanitised)."""
+    out: dict[str, list[str]] = {}
+    for name in indicators:
+        slot, code = name.rsplit("_", 1)
+        code = code[:-2] if code.endswith(".0") else code
+        out.setdefault(slot.replace("-", "_"), []).append(code)
+    return out
+
+
 # Denial reason slots and the codes each slot's indicators cover.
-DENIAL_SLOTS = ["denial_reason_1", "denial_reason_2", "denial_reason_3", "denial_reason_4"]
-DENIAL_CODES = {
-    "denial_reason_1": ["1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "1111"],
-    "denial_reason_2": ["1", "2", "3", "4", "5", "6", "7", "8", "9"],
-    "denial_reason_3": ["1", "2", "3", "4", "5", "6", "7", "8", "9"],
-    "denial_reason_4": ["1", "2", "3", "4", "5", "6", "7", "8", "9"],
-}
+DENIAL_CODES = _slot_codes(DENIAL_REASON_INDICATORS)
+DENIAL_SLOTS = list(DENIAL_CODES)
 # Primary-reason classes: the ten indicators of slot 1.
 PRIMARY_REASON_CODES = ["1", "2", "3", "4", "5", "6", "7", "8", "9", "10"]
 
