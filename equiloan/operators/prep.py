@@ -49,14 +49,19 @@ def vocabulary(df: DataFrame, cols: Iterable[str]) -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def code_table(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+def code_table(df: DataFrame, cols: Iterable[str], cap: int = DEFAULT_VOCAB_CAP) -> DataFrame:
     """(column, value, code) with 0-based codes in value order per column.
 
-    The rank runs on the distinct-value table, partitioned by column, so no
-    task sees more than one column's vocabulary."""
+    The rank runs on the distinct-value table, partitioned by column. Each
+    column's vocabulary is checked against ``cap`` first (one small
+    aggregation: one row per column), so a window never holds more than
+    ``cap`` rows; a column with more values is not categorical and raises."""
+    vocab = vocabulary(df, cols)
+    sizes = vocab.groupBy("column").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > cap).collect()
+    if sizes:
+        raise ValueError(f"columns above the vocabulary cap of {cap}: {sorted(r['column'] for r in sizes)}")
     w = Window.partitionBy("column").orderBy("value")
-    return (vocabulary(df, cols)
-            .withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    return (vocab.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
             .select("column", "value", "code"))
 
 

@@ -25,6 +25,9 @@ def test_vocabulary_cap(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("c"))
     with pytest.raises(ValueError):
         prep.collect_vocabulary(df, ["c"], cap=10)
+    with pytest.raises(ValueError):
+        prep.code_table(df, ["c"], cap=10)
+    assert prep.code_table(df, ["c"], cap=50).count() == 50
 
 
 def test_exclude_where_is_null_safe(spark):
