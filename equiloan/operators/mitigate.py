@@ -14,8 +14,8 @@ the original by ``level``. Our definition, for groups g and distinct values:
   previous one (leading ones from the next), mid(b) = mean over groups,
   repaired = (1 - level) * x + level * mid(b(x)).
 Null stays null; a feature whose group is empty is left unchanged. The rank
-is the exact bucketed running total of ``cumulative``; no group is ever sorted
-in one task.
+is the exact bucketed running total of ``cumulative``: no task sorts more than
+about 200,000 distinct values of a group.
 """
 
 from __future__ import annotations

@@ -51,7 +51,7 @@ def q_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairness.contingency(views.labelled(spark, sf_dir), ATTRIBUTES)
 
 
-def _one_metric(name: str, metric: str, label_only: bool):
+def _one_metric(sid: str, name: str, metric: str, label_only: bool):
     cols = "attribute, n_unprivileged, n_privileged, " + metric
 
     @register(name, W(f"SELECT {cols} FROM fm", *(
@@ -65,16 +65,17 @@ def _one_metric(name: str, metric: str, label_only: bool):
         ct = fairness.contingency(df, ATTRIBUTES, decision=None if label_only else "rule_decision")
         return fairness.fairness_metrics(ct).select("attribute", "n_unprivileged", "n_privileged", metric)
 
-    q.__doc__ = f"{name}: per attribute, {metric.replace('_', ' ')}."
+    source = "the labels" if label_only else "the scorecard decisions"
+    q.__doc__ = f"{sid}: {metric.replace('_', ' ')} of {source} per attribute, from one contingency pass."
     return q
 
 
-_one_metric("statistical_parity_difference", "statistical_parity_difference", True)   # G7
-_one_metric("disparate_impact", "disparate_impact", True)                             # G8
-_one_metric("mean_difference", "mean_difference", True)                               # G9
-_one_metric("average_odds_difference", "average_odds_difference", False)              # G11
-_one_metric("equal_opportunity_difference", "equal_opportunity_difference", False)    # G12
-_one_metric("theil_index", "theil_index", False)                                      # G13
+_one_metric("G7", "statistical_parity_difference", "statistical_parity_difference", True)
+_one_metric("G8", "disparate_impact", "disparate_impact", True)
+_one_metric("G9", "mean_difference", "mean_difference", True)
+_one_metric("G11", "average_odds_difference", "average_odds_difference", False)
+_one_metric("G12", "equal_opportunity_difference", "equal_opportunity_difference", False)
+_one_metric("G13", "theil_index", "theil_index", False)
 
 WEIGHT_CTES = [
     ("long", O.attribute_long("labelled", extra="application_id, ")),

@@ -156,8 +156,8 @@ def q_fit_mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("save_load_model")
 def q_save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fitted forest saved to shared storage, loaded back; the loaded
-    model must give the same decisions on the test split."""
+    """A fitted forest saved to shared storage and loaded back; reports
+    how many test-split decisions of the loaded model equal the original's."""
     _, train, test = _data(spark, sf_dir)
     m = models.fit_forest(train, PREDICTORS, num_trees=TREES)
     path = shared_path(spark, "forest-model")

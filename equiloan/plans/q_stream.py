@@ -15,10 +15,10 @@ from equiloan.streaming import run_monitor
 
 @register("fairness_stream", FAIRNESS_BY_THRESHOLD_SQL)
 def q_fairness_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming G6-G13: the applications land as Parquet files (one folder
-    per year, S4); a Structured Streaming query folds them, a few files per
-    micro-batch, into the contingency state and keeps the metrics table
-    current. The final table equals the batch result."""
+    """Streaming G6-G13: the applications land as Parquet files (S4 write);
+    a Structured Streaming query folds them, two files per micro-batch, into
+    the contingency state and keeps the metrics table current. The final
+    table equals the batch result."""
     src = shared_path(spark, "stream-source")
     sinks.write_prepared(views.applications(spark, sf_dir), src, partition_by=None)
     schema = spark.read.parquet(src).schema
