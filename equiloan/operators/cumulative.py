@@ -43,6 +43,22 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """``materialize`` that also returns the row count. The count of a
+    written Parquet table is answered from its file footers (row-group
+    metadata), not by reading the data again. (An ``Observation`` on the
+    write would avoid even that, but in this Spark version it leaves the
+    session unable to serialize later ``pyspark.ml`` tasks.)"""
+    table = materialize(df, name)
+    return table, table.count()
+
+
+def buckets_for(rows: int, target: int = TARGET_ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
+    """Coarse buckets per key from a table's total row count: an upper bound
+    of any key's rows, so each bucket holds at most about ``target`` rows."""
+    return int(max(1, min(max_buckets, -(-rows // target))))
+
+
 def auto_buckets(dist: DataFrame, keys: Iterable[str], target: int = TARGET_ROWS_PER_BUCKET,
                  max_buckets: int = MAX_BUCKETS) -> int:
     """Coarse buckets per key so that a bucket holds about ``target``
@@ -120,8 +136,9 @@ def exact_quantiles(df: DataFrame, keys: Iterable[str], value: str, probs: list[
     """
     keys = list(keys)
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    dist = materialize(distinct_counts(df.select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v", "_n"))
-    dist = quantile_buckets(dist, keys, "_v", buckets)
+    dist, rows = materialize_counted(
+        distinct_counts(df.select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v", "_n"), "quantile-dist")
+    dist = quantile_buckets(dist, keys, "_v", buckets if buckets is not None else buckets_for(rows))
     cum = running_total(dist, keys, "_v", "_n")
     totals = dist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     c = cum.join(totals, keys, "inner")

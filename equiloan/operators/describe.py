@@ -118,12 +118,3 @@ def stage_audit(df: DataFrame, stages: list[tuple[str, Column, int]]) -> DataFra
         aggs.append(F.count_if(cond).alias(f"s{i}"))
     stack = ", ".join(f"{i + 1}, '{name}', s{i}, {ncols}" for i, (name, _, ncols) in enumerate(stages))
     return df.agg(*aggs).selectExpr(f"stack({len(stages)}, {stack}) as (stage_order, stage, rows, columns)")
-
-
-def observed(df: DataFrame, name: str):
-    """G16 alongside real work: attach a row-count ``Observation`` that is
-    filled when the next action on the returned frame runs (no extra pass)."""
-    from pyspark.sql import Observation
-
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs

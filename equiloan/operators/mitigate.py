@@ -26,7 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiloan.functions.columns import round6, safe_div
-from equiloan.operators.cumulative import materialize, quantile_buckets, running_total
+from equiloan.operators.cumulative import (
+    buckets_for,
+    materialize_counted,
+    quantile_buckets,
+    running_total,
+)
 from equiloan.operators.fairness import contingency
 
 BROADCAST_ROWS = 2_000_000
@@ -131,9 +136,10 @@ def _feature_long(df: DataFrame, features: list[str], attribute: str) -> DataFra
 
 
 def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[str] | str, level: float = 1.0,
-                 max_buckets: int = 1000, coarse_buckets: int | None = None) -> DataFrame:
+                 max_buckets: int = 1000, coarse_buckets: int | None = None, with_size: bool = False):
     """M3 fit: (attribute, feature, g, value) -> repaired value, for every
-    distinct value, for one or several protected attributes in one pipeline."""
+    distinct value, for one or several protected attributes in one pipeline.
+    ``with_size`` also returns the table's row count (from the written files)."""
     features = list(features)
     attributes = [attributes] if isinstance(attributes, str) else list(attributes)
     keys = ["attribute", "feature", "g"]
@@ -146,9 +152,10 @@ def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[st
                      *[F.col(f).cast("double").alias(f) for f in features])
     by_value = (base.unpivot(ids=attributes, values=features, variableColumnName="feature", valueColumnName="value")
                 .filter(F.col("value").isNotNull()))
-    wide = materialize(by_value.groupBy("feature", "value").agg(
+    wide, wide_rows = materialize_counted(by_value.groupBy("feature", "value").agg(
         *[F.count_if(F.col(a) == F.lit(g)).alias(f"c{i}") for i, (a, g) in enumerate(cells)]), "repair-dist")
-    wide = quantile_buckets(wide, ["feature"], "value", coarse_buckets)
+    wide = quantile_buckets(wide, ["feature"], "value",
+                            coarse_buckets if coarse_buckets is not None else buckets_for(wide_rows))
     wcum = running_total(wide, ["feature"], "value", [f"c{i}" for i in range(len(cells))])
     stack = ", ".join(f"'{a}', {g}, c{i}, cum_c{i}" for i, (a, g) in enumerate(cells))
     cum = (wcum.selectExpr("feature", "value", f"stack({len(cells)}, {stack}) as (attribute, g, n, cum_n)")
@@ -179,14 +186,24 @@ def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[st
              .select(*keys, "value",
                      F.when(F.col("ngroups") < 2, F.col("value"))
                      .otherwise((F.lit(1.0) - lam) * F.col("value") + lam * F.col("mid")).alias("repaired")))
-    # Fitted once; the size check and every lookup join read the written table.
-    return materialize(table, "repair-table")
+    # Fitted once; every lookup join reads the written table.
+    table, rows = materialize_counted(table, "repair-table")
+    return (table, rows) if with_size else table
 
 
 def _maybe_broadcast(t: DataFrame, n_rows: int, limit: int) -> DataFrame:
     return F.broadcast(t) if n_rows <= limit else t
 
 
+def _feature_sizes(table: DataFrame, total: int, features: list[str], limit: int) -> dict[str, int]:
+    """Rows of the repair table per feature. When the whole table is under
+    the broadcast limit (its row count comes from the written files) every feature is;
+    only a larger table costs a counting pass."""
+    if total <= limit:
+        return {f: total for f in features}
+    return {r["feature"]: r["k"] for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()}
+
+
 def repair_disparate_impact(df: DataFrame, features: Iterable[str], attribute: str, level: float = 1.0,
                             max_buckets: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """M3: replace each feature by its repaired value; labels untouched.
@@ -196,8 +213,8 @@ def repair_disparate_impact(df: DataFrame, features: Iterable[str], attribute: s
     otherwise the join shuffles on (group, value) and AQE splits skewed values.
     """
     features = list(features)
-    table = repair_table(df, features, attribute, level, max_buckets)
-    sizes = {r["feature"]: r["k"] for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()}
+    table, total = repair_table(df, features, attribute, level, max_buckets, with_size=True)
+    sizes = _feature_sizes(table, total, features, broadcast_rows)
     out = df
     for f in features:
         t = table.filter(F.col("feature") == F.lit(f)).select(
@@ -218,8 +235,8 @@ def repaired_long(df: DataFrame, features: Iterable[str], attributes: Iterable[s
     features repaired for that attribute. Lets one job score repaired data
     for every attribute (R6, J4) instead of one pipeline per attribute."""
     features, attributes, keep = list(features), list(attributes), list(keep)
-    table = repair_table(df, features, attributes, level, max_buckets)
-    sizes = {r["feature"]: r["k"] for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()}
+    table, total = repair_table(df, features, attributes, level, max_buckets, with_size=True)
+    sizes = _feature_sizes(table, total, features, broadcast_rows)
     long = (df.select(*keep, *features, *[F.col(a).cast("int").alias(a) for a in attributes])
             .unpivot(ids=[*keep, *features], values=attributes, variableColumnName="attribute", valueColumnName="g"))
     for f in features:
@@ -242,9 +259,10 @@ def group_gap(df: DataFrame, features: Iterable[str], attribute: str, coarse_buc
     means = long.groupBy("feature").agg(
         F.avg(F.when(F.col("g") == 0, F.col("value"))).alias("mean_unprivileged"),
         F.avg(F.when(F.col("g") == 1, F.col("value"))).alias("mean_privileged"))
-    dist = materialize(long.groupBy("feature", "value").agg(
-        F.count_if(F.col("g") == 0).alias("n0"), F.count_if(F.col("g") == 1).alias("n1")))
-    dist = quantile_buckets(dist, ["feature"], "value", coarse_buckets)
+    dist, rows = materialize_counted(long.groupBy("feature", "value").agg(
+        F.count_if(F.col("g") == 0).alias("n0"), F.count_if(F.col("g") == 1).alias("n1")), "gap-dist")
+    dist = quantile_buckets(dist, ["feature"], "value",
+                            coarse_buckets if coarse_buckets is not None else buckets_for(rows))
     cum = running_total(dist, ["feature"], "value", ["n0", "n1"])
     tot = dist.groupBy("feature").agg(F.sum("n0").alias("tot0"), F.sum("n1").alias("tot1"))
     gap = F.abs(safe_div(F.col("cum_n0").cast("double"), F.col("tot0").cast("double"))
