@@ -33,11 +33,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in col.to_pylist()]
 
 
-def chunks(docs: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes."""
+def chunks(docs: list[bytes], limit: int = CHUNK, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes and at most ``rows`` rows."""
     start = size = 0
     for i, t in enumerate(docs):
-        if i > start and size + len(t) > limit:
+        if i > start and (size + len(t) > limit or i - start >= rows):
             yield start, i
             start, size = i, 0
         size += len(t) + 1
@@ -54,6 +54,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order (a sort; much faster here than the hash
+    table behind np.unique)."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, CHUNK + 4096)
