@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from equiloan.llm import contentsort, langid, linededup, mixing, packing, quality, toxicity
+from equiloan.llm import contentsort, langid, linededup, mixing, packing, quality, topk, toxicity
 from equiloan.llm.runtime import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
+
+
+@_query
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
