@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiloan.llm import contentsort, langid, linededup, mixing, packing, quality, topk, toxicity
+from equiloan.llm import contentsort, langid, linededup, mixing, nearsig, packing, quality, topk, toxicity
 from equiloan.llm.runtime import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearsig.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
