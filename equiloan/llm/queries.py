@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiloan.llm import contentsort, langid, linededup, mixing, nearsig, packing, quality, topk, toxicity
+from equiloan.llm import contentsort, langid, linededup, mixing, nearsig, packing, quality, runindex, topk, toxicity
 from equiloan.llm.runtime import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,9 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearsig.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@_query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = runindex.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
