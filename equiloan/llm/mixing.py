@@ -41,7 +41,7 @@ from equiloan.llm.textops import chunks, texts, words
 
 BLOCK_ROWS = 50_000
 FAN = 64
-_SIZES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+_SIZES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("mark", pa.int64()), ("size", pa.int64())])
 
 
 def _sizes(batches):
@@ -52,15 +52,16 @@ def _sizes(batches):
             _, starts, _, owner = words(docs[a:b])
             size[a:b] = np.bincount(owner, minlength=b - a)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("source")),
-             pa.array(size)], schema=_SIZES)
+            [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "source", "mark")), pa.array(size)],
+            schema=_SIZES)
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text)."""
+    """doc_id, source, mark (a hash of the text), size (its words)."""
     ship(docs.sparkSession)
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                        "text").mapInArrow(_sizes, "doc_id long, source string, size long"))
+                        F.xxhash64("text").alias("mark"), "text")
+            .mapInArrow(_sizes, "doc_id long, source string, mark long, size long"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
@@ -150,11 +151,10 @@ _ROUND = "doc_id long, copy long, part double, size long, extra long, source str
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, seed: int = 7,
                 fan: int = FAN, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken (words),
-    copies, source."""
+    """One row per input row: doc_id, copy (its number among rows of one
+    doc_id), source, size, source_size, target, taken (words), copies."""
     # Rows that share an id are numbered; equal rows are interchangeable.
-    same = Window.partitionBy("doc_id").orderBy("size", "source")
-    sized = stash(word_sizes(docs).withColumn("copy", F.row_number().over(same).cast("long")), "mix-sizes")
+    sized = stash(word_sizes(docs).withColumn("copy", _number("source", "mark")), "mix-sizes")
     goal = targets(sized, weights, limit).withColumnRenamed("source", "_source")
     if goal.count() <= 10_000:  # one row per source
         goal = F.broadcast(goal)
@@ -177,5 +177,19 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: fl
         level = out.filter("extra < 0").withColumn("block", F.col("block") % F.lit(blocks))
     copies = F.col("whole") + F.coalesce("extra", F.lit(0))
     return (rows.join(done, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")), "left")
-            .select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"),
-                    copies.alias("copies"), "source"))
+            .select("doc_id", "copy", "source", "size", "source_size", "target",
+                    (copies * F.col("size")).alias("taken"), copies.alias("copies")))
+
+
+def _number(source: str, mark: str):
+    return F.row_number().over(Window.partitionBy("doc_id").orderBy(mark, source)).cast("long")
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them."""
+    taken = (mix_sources(docs, weights, limit, seed).filter("copies > 0")
+             .select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_number"), F.col("copies").alias("_copies")))
+    columns = docs.columns
+    rows = docs.withColumn("_mark", F.xxhash64("text")).withColumn("_copy", _number("source", "_mark"))
+    return (rows.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_copy") == F.col("_number")))
+            .withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns))

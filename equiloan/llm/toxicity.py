@@ -143,19 +143,24 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
                      ("predicted", pa.int32())])
 
 
+def _scores(batches, model):
+    """(batch, score of each of its texts)."""
+    at, value, bias = model.value
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[at] = value
+    useful = weights != 0
+    for batch in batches:
+        docs = texts(batch)
+        margin = np.full(len(docs), bias)
+        for a, b in chunks(docs):
+            owner, bucket = token_features(docs[a:b], useful)
+            margin[a:b] += np.bincount(owner, weights=weights[bucket], minlength=b - a)
+        yield batch, 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
 def _score(model, threshold: float):
     def run(batches):
-        at, value, bias = model.value
-        weights = np.zeros(BUCKETS, np.float32)
-        weights[at] = value
-        useful = weights != 0
-        for batch in batches:
-            docs = texts(batch)
-            margin = np.full(len(docs), bias)
-            for a, b in chunks(docs):
-                owner, bucket = token_features(docs[a:b], useful)
-                margin[a:b] += np.bincount(owner, weights=weights[bucket], minlength=b - a)
-            score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        for batch, score in _scores(batches, model):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")),
                  batch.column(batch.schema.get_field_index("held_out")), pa.array(score),
@@ -194,3 +199,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, threshold: float = TH
     at = np.flatnonzero(weights)
     model = spark.sparkContext.broadcast((at, weights[at], bias))
     return marked.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _accept(model, threshold: float):
+    """Whole rows whose text is under the threshold."""
+    def run(batches):
+        for batch, score in _scores(batches, model):
+            yield batch.filter(pa.array(score < threshold))
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, prior: float | None = None,
+             positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic; every
+    labelled row may be learnt from."""
+    spark = docs.sparkSession
+    ship(spark)
+    weights, bias = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, prior,
+                          positive_rows, unlabelled_rows)
+    at = np.flatnonzero(weights)
+    model = spark.sparkContext.broadcast((at, weights[at], bias))
+    return docs.mapInArrow(_accept(model, threshold), docs.schema)
