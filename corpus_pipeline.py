@@ -40,16 +40,18 @@ def _without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     per = stash(verdict.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
                 .filter("not kept or rows > 1").withColumnRenamed("doc_id", "_doc"), "verdict")
     gone, again = per.filter("not kept").select("_doc"), per.filter("kept").select("_doc")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
+    # Whole rows travel as one struct, so no column of theirs can clash.
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc"))
     small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
-    rest = docs.join(small(gone), same, "left_anti")
-    if again.isEmpty():
-        return rest
-    again = small(again)
-    body = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    once = (rest.join(again, same, "left_semi").withColumn("_body", body).dropDuplicates(["doc_id", "_body"])
-            .drop("_body"))
-    return rest.join(again, same, "left_anti").unionByName(once)
+    rest = rows.join(small(gone), same, "left_anti")
+    if not again.isEmpty():
+        again = small(again)
+        body = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+        once = (rest.join(again, same, "left_semi").withColumn("body", body).dropDuplicates(["doc_id", "body"])
+                .drop("body"))
+        rest = rest.join(again, same, "left_anti").unionByName(once)
+    return rest.select("doc.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

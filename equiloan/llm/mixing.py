@@ -189,7 +189,9 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float =
     """The rows of ``docs``, all columns, as often as the mix takes them."""
     taken = (mix_sources(docs, weights, limit, seed).filter("copies > 0")
              .select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_number"), F.col("copies").alias("_copies")))
-    columns = docs.columns
-    rows = docs.withColumn("_mark", F.xxhash64("text")).withColumn("_copy", _number("source", "_mark"))
-    return (rows.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_copy") == F.col("_number")))
-            .withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns))
+    # Whole rows travel as one struct, so no column of theirs can clash.
+    rows = (docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"),
+                        F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("mark"))
+            .withColumn("copy", _number("source", "mark")))
+    return (rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_number")))
+            .select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("doc.*"))

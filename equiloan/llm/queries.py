@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiloan.llm import contentsort, langid, linededup, mixing, nearsig, packing, quality, runindex, topk, toxicity
+from equiloan.llm import contentsort, langid, linededup, mixing, nearsig, packing, quality, runindex, sql, topk, toxicity
 from equiloan.llm.runtime import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,5 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
+ORACLE.update(op2_topk_search=sql.OP2, op3_line_dedup=sql.OP3, op4_suffix_dedup=sql.OP4, op7_exact_dedup=sql.OP7,
+              op8_minhash_dedup=sql.OP8)
