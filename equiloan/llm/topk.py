@@ -17,7 +17,8 @@ group works on the candidates in vertical layout, one row per dimension:
 Each group hands on its best k per query; a last ranking per query merges
 groups, by score and then by the smaller id. All arithmetic is exact: whole
 numbers below 2^53 in doubles (bounds are rounded away from pruning), and
-Python integers for a group with larger ones.
+Python integers for a group with larger ones (a score beyond a long is given as
+the nearest long).
 
 Null vectors and vectors holding a null or non-finite component take no part.
 Vectors of different lengths meet on the components they share, missing ones
