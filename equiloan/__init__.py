@@ -1,6 +1,6 @@
 """equiloan: fair-lending analytics on Spark DataFrames.
 
-Prepare loan-application tables, measure group fairness of outcomes and of
+Prepare loan-application tables, measure group parity of outcomes and of
 model decisions, mitigate bias (reweighing, distribution repair), train and
 compare models with ``pyspark.ml``, and report the results as tables.
 """

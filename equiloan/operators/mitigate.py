@@ -32,7 +32,7 @@ from equiloan.operators.cumulative import (
     quantile_buckets,
     running_total,
 )
-from equiloan.operators.fairness import contingency
+from equiloan.operators.parity import contingency
 
 BROADCAST_ROWS = 2_000_000
 
@@ -113,14 +113,14 @@ def reweigh_report(df: DataFrame, attributes: Iterable[str], label: str = "appro
     labels before and after reweighing, per (by..., attribute). One
     contingency job; the weights are fitted on the same rows (so the
     reweighed values are 0, 1, 0)."""
-    from equiloan.operators.fairness import fairness_metrics
+    from equiloan.operators.parity import parity_metrics
 
     by = list(by)
     ct = contingency(df, attributes, label=label, decision=None, by=by)
     weights = _weights_from_cells(ct, by)
     part = [*by, "attribute"]
-    before = fairness_metrics(ct, by=by)
-    after = fairness_metrics(weighted_contingency(ct, weights, by), by=by, weighted=True)
+    before = parity_metrics(ct, by=by)
+    after = parity_metrics(weighted_contingency(ct, weights, by), by=by, weighted=True)
     keep = ["statistical_parity_difference", "disparate_impact", "mean_difference"]
     b = before.select(*part, "n_unprivileged", "n_privileged", *keep)
     a = after.select(*part, *[F.col(k).alias(f"{k}_reweighed") for k in keep])
@@ -275,7 +275,7 @@ def repair_report(df: DataFrame, repaired: DataFrame, features: Iterable[str], a
                   label: str = "approved") -> DataFrame:
     """M4: label parity before and after repair (repair leaves labels alone,
     so they are equal) and the feature gap (group means, KS) before and after."""
-    from equiloan.operators.fairness import label_metrics
+    from equiloan.operators.parity import label_metrics
 
     features = list(features)
     before = group_gap(df, features, attribute)

@@ -1,5 +1,5 @@
 """Models (L1-L10) with ``pyspark.ml``: distributed fits, predictions keyed
-by ``application_id``, and fairness of the decisions through the same
+by ``application_id``, and parity of the decisions through the same
 contingency table as everything else.
 
 Training data are never collected: forests, logistic regression and the

@@ -1,4 +1,4 @@
-"""Group fairness of labels and decisions.
+"""Group parity of labels and decisions.
 
 Everything is arithmetic on one small table, the *contingency*:
 (by..., attribute, g, y, yhat) -> n, sum of weights. The protected attributes
@@ -115,7 +115,7 @@ METRIC_NAMES = [
 ]
 
 
-def fairness_metrics(ct: DataFrame, by: Iterable[str] = (), weighted: bool = False,
+def parity_metrics(ct: DataFrame, by: Iterable[str] = (), weighted: bool = False,
                      rounded: bool = True, with_total: bool = False) -> DataFrame:
     """One row per (by..., attribute) with group sizes and every
     metric. ``weighted`` uses the weight sums (G10); Theil stays unweighted.
@@ -140,7 +140,7 @@ def label_metrics(df: DataFrame, attributes: Iterable[str], label: str = "approv
     """G7-G10 on labels only: parity difference, disparate impact, mean
     difference per attribute (weighted when ``weight`` is given)."""
     ct = contingency(df, attributes, label=label, decision=None, weight=weight, by=by)
-    m = fairness_metrics(ct, by=by, weighted=weight is not None)
+    m = parity_metrics(ct, by=by, weighted=weight is not None)
     return m.select(*by, "attribute", "n_unprivileged", "n_privileged", "base_rate_unprivileged",
                     "base_rate_privileged", "statistical_parity_difference", "disparate_impact",
                     "mean_difference")

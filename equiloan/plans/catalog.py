@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from equiloan.constants import ATTRIBUTES
-from equiloan.operators import fairness
+from equiloan.operators import parity
 from equiloan.plans import oracle as O
 from equiloan.plans import views
 
 from equiloan.plans.registry import ORACLE, QUERIES, register  # noqa: E402,F401
 
 
-# --- flagship: fairness of outcomes and decisions per tract threshold -------
+# --- flagship: parity of outcomes and decisions per tract threshold -------
 
-FAIRNESS_BY_THRESHOLD_SQL = O.with_inputs(
+PARITY_BY_THRESHOLD_SQL = O.with_inputs(
     f"""SELECT c.attribute, {O.metric_select()}
 FROM c JOIN th ON TRUE
 """,
@@ -29,13 +29,13 @@ FROM c JOIN th ON TRUE
 )
 
 
-@register("fairness_by_threshold", FAIRNESS_BY_THRESHOLD_SQL)
-def fairness_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("parity_by_threshold", PARITY_BY_THRESHOLD_SQL)
+def parity_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each tract threshold, how unequal are outcomes
     (labels) and decisions (the scorecard)? One contingency pass."""
     df = views.labelled(spark, sf_dir)
-    ct = fairness.contingency(df, ATTRIBUTES, label="approved", decision="rule_decision")
-    return fairness.fairness_metrics(ct)
+    ct = parity.contingency(df, ATTRIBUTES, label="approved", decision="rule_decision")
+    return parity.parity_metrics(ct)
 
 
 # The other query modules register themselves on import.

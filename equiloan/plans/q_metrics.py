@@ -14,7 +14,7 @@ from equiloan.constants import (
     SLICE_YEAR,
 )
 from equiloan.functions.columns import round6, sanitize_name
-from equiloan.operators import compose, describe, fairness, mitigate, prep, report, splits
+from equiloan.operators import compose, describe, parity, mitigate, prep, report, splits
 from equiloan.plans import oracle as O
 from equiloan.plans import views
 from equiloan.plans.q_prep import CASCADE_SQL
@@ -38,7 +38,7 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = views.labelled(spark, sf_dir)
-    return fairness.fairness_metrics(fairness.contingency(df, ATTRIBUTES))
+    return parity.parity_metrics(parity.contingency(df, ATTRIBUTES))
 
 
 # --- G6-G13, G18 -------------------------------------------------------------
@@ -48,7 +48,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                            ("long", O.attribute_long("labelled"))))
 def q_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(attribute, group, label, decision) -> rows, weight sum."""
-    return fairness.contingency(views.labelled(spark, sf_dir), ATTRIBUTES)
+    return parity.contingency(views.labelled(spark, sf_dir), ATTRIBUTES)
 
 
 def _one_metric(sid: str, name: str, metric: str, label_only: bool):
@@ -62,8 +62,8 @@ def _one_metric(sid: str, name: str, metric: str, label_only: bool):
         if label_only else FLAGSHIP_CTES)))
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = views.labelled(spark, sf_dir)
-        ct = fairness.contingency(df, ATTRIBUTES, decision=None if label_only else "rule_decision")
-        return fairness.fairness_metrics(ct).select("attribute", "n_unprivileged", "n_privileged", metric)
+        ct = parity.contingency(df, ATTRIBUTES, decision=None if label_only else "rule_decision")
+        return parity.parity_metrics(ct).select("attribute", "n_unprivileged", "n_privileged", metric)
 
     source = "the labels" if label_only else "the scorecard decisions"
     q.__doc__ = f"{sid}: {metric.replace('_', ' ')} of {source} per attribute, from one contingency pass."
@@ -98,10 +98,10 @@ def q_weighted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parity difference, disparate impact and mean difference with
     reweighing weights (M1, fitted on the same rows): 0, 1, 0; weights sum to N."""
     df = views.labelled(spark, sf_dir)
-    ct = fairness.contingency(df, ATTRIBUTES, decision=None)
+    ct = parity.contingency(df, ATTRIBUTES, decision=None)
     weights = mitigate.reweigh_weights(df, ATTRIBUTES)
     wct = mitigate.weighted_contingency(ct, weights)
-    m = fairness.fairness_metrics(wct, weighted=True, with_total=True)
+    m = parity.parity_metrics(wct, weighted=True, with_total=True)
     return m.select("attribute", "sum_weights", "statistical_parity_difference", "disparate_impact",
                     "mean_difference")
 
@@ -117,7 +117,7 @@ LONG_SQL = "\nUNION ALL\n".join(f"SELECT attribute, '{m}' AS metric, CAST({m} AS
 @register("metric_by_attribute", W(LONG_SQL, *FLAGSHIP_CTES))
 def q_metric_by_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metric for every attribute as a long table (no driver loop)."""
-    return fairness.metrics_long(_metrics(spark, sf_dir), metric_names=METRIC_COLS)
+    return parity.metrics_long(_metrics(spark, sf_dir), metric_names=METRIC_COLS)
 
 
 @register("results_matrix", W(
@@ -125,7 +125,7 @@ def q_metric_by_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM ml GROUP BY metric", *FLAGSHIP_CTES, ("ml", LONG_SQL)))
 def q_results_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics as rows, attributes as columns."""
-    long = fairness.metrics_long(_metrics(spark, sf_dir), metric_names=METRIC_COLS)
+    long = parity.metrics_long(_metrics(spark, sf_dir), metric_names=METRIC_COLS)
     return report.results_matrix(long, ATTRIBUTES)
 
 
@@ -142,7 +142,7 @@ FROM splitted GROUP BY split"""
 @register("classification_scores", W(SCORE_SQL, *O.split_ctes()))
 def q_classification_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy, F1, recall, precision of the decisions, per split."""
-    return fairness.binary_scores(_split(spark, sf_dir), "approved", "rule_decision", by=["split"])
+    return parity.binary_scores(_split(spark, sf_dir), "approved", "rule_decision", by=["split"])
 
 
 @register("multiclass_accuracy", W(
@@ -153,7 +153,7 @@ def q_multiclass_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of rows whose denial reason under the decision (P18) equals
     the one under the label (P17), per split."""
     df = prep.denial_reason_for(prep.denial_reason_final(_split(spark, sf_dir)), "rule_decision", "pred")
-    return fairness.multiclass_accuracy(df, "denial_reason_final", "pred", by=["split"])
+    return parity.multiclass_accuracy(df, "denial_reason_final", "pred", by=["split"])
 
 
 # --- G1-G5, G16, J2, R2 ------------------------------------------------------------
@@ -510,7 +510,7 @@ W_DEC_CTES = [
 
 
 @register("plot_series", W("\nUNION ALL\n".join(
-    f"SELECT '{m}' AS chart, 'fairness' AS section, 'scorecard' AS model, '{cat}' AS category, '{m}' AS metric, "
+    f"SELECT '{m}' AS chart, 'parity' AS section, 'scorecard' AS model, '{cat}' AS category, '{m}' AS metric, "
     f"CAST(substr(attribute, 2) AS INT) AS threshold, CAST({m} AS DOUBLE) AS value FROM {t}"
     for cat, t in (("original", "fm"), ("reweighed", "fw")) for m in PLOT_METRICS),
     *FLAGSHIP_CTES, *W_DEC_CTES))
@@ -518,13 +518,13 @@ def q_plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chart series (chart, section, model, category, metric, threshold,
     value) for the original and the reweighed data."""
     df = views.labelled(spark, sf_dir)
-    ct = fairness.contingency(df, ATTRIBUTES)
+    ct = parity.contingency(df, ATTRIBUTES)
     weights = mitigate.reweigh_weights(df, ATTRIBUTES)
-    orig = fairness.metrics_long(fairness.fairness_metrics(ct), metric_names=PLOT_METRICS)
-    rew = fairness.metrics_long(fairness.fairness_metrics(mitigate.weighted_contingency(ct, weights), weighted=True),
+    orig = parity.metrics_long(parity.parity_metrics(ct), metric_names=PLOT_METRICS)
+    rew = parity.metrics_long(parity.parity_metrics(mitigate.weighted_contingency(ct, weights), weighted=True),
                                 metric_names=PLOT_METRICS)
-    a = report.plot_series(orig, F.col("metric"), "fairness", "scorecard", F.lit("original"))
-    b = report.plot_series(rew, F.col("metric"), "fairness", "scorecard", F.lit("reweighed"))
+    a = report.plot_series(orig, F.col("metric"), "parity", "scorecard", F.lit("original"))
+    b = report.plot_series(rew, F.col("metric"), "parity", "scorecard", F.lit("reweighed"))
     return a.unionByName(b)
 
 
@@ -536,7 +536,7 @@ def q_plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("long", O.attribute_long("labelled"))))
 def q_approval_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approval rate per model (label, decision), attribute and group."""
-    return report.approval_series(fairness.contingency(views.labelled(spark, sf_dir), ATTRIBUTES))
+    return report.approval_series(parity.contingency(views.labelled(spark, sf_dir), ATTRIBUTES))
 
 
 @register("compare_mitigations", W(
@@ -554,13 +554,13 @@ def q_compare_mitigations(spark: SparkSession, sf_dir: str) -> DataFrame:
     reweighing weights, and on repaired features, per attribute, with the
     change each mitigation makes."""
     df, long = _repaired_decisions(spark, sf_dir)
-    ct = fairness.contingency(df, ATTRIBUTES)
+    ct = parity.contingency(df, ATTRIBUTES)
     weights = mitigate.reweigh_weights(df, ATTRIBUTES)
-    orig = fairness.fairness_metrics(ct)
-    rew = fairness.fairness_metrics(mitigate.weighted_contingency(ct, weights), weighted=True)
+    orig = parity.parity_metrics(ct)
+    rew = parity.parity_metrics(mitigate.weighted_contingency(ct, weights), weighted=True)
     rct = (long.groupBy("attribute", "g", F.col("approved").alias("y"), F.col("decision").alias("yhat"))
            .agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("n").cast("double")))
-    rep = fairness.fairness_metrics(rct)
+    rep = parity.parity_metrics(rct)
     return report.compare_mitigations({"original": orig, "reweighed": rew, "repaired": rep},
                                       "decision_parity_difference")
 
@@ -615,19 +615,19 @@ PERFORMANCE_RESULTS_SQL = W(
 def q_performance_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The single-year experiment end to end: S2 year slice -> P13 exclusion
     -> P16 bins -> T1 split -> per split, label parity before and after
-    reweighing (M1 fitted per split), decision fairness (AOD, EOD, Theil; the
+    reweighing (M1 fitted per split), decision parity (AOD, EOD, Theil; the
     reweighed ones with weights) and scores of the decisions -> R1 matrix of
     metric x attribute. One contingency job carries all of it."""
     df = prep.exclude_where(views.labelled_year(spark, sf_dir))
     df = splits.stratified_split(prep.equal_width_bins(df))
-    ct = fairness.contingency(df, ATTRIBUTES, decision="rule_decision", by=["split"])
+    ct = parity.contingency(df, ATTRIBUTES, decision="rule_decision", by=["split"])
     weights = mitigate.reweigh_weights(df, ATTRIBUTES, by=["split"])
     names = EXP_LABEL_METRICS + EXP_DECISION_METRICS
-    orig = fairness.metrics_long(fairness.fairness_metrics(ct, by=["split"]), by=["split"], metric_names=names)
-    rew = fairness.metrics_long(
-        fairness.fairness_metrics(mitigate.weighted_contingency(ct, weights, ["split"]), by=["split"], weighted=True),
+    orig = parity.metrics_long(parity.parity_metrics(ct, by=["split"]), by=["split"], metric_names=names)
+    rew = parity.metrics_long(
+        parity.parity_metrics(mitigate.weighted_contingency(ct, weights, ["split"]), by=["split"], weighted=True),
         by=["split"], metric_names=names)
-    sc = fairness.classification_scores(ct, by=["split"])
+    sc = parity.classification_scores(ct, by=["split"])
     scl = sc.unpivot(ids=["split", "attribute"], values=EXP_SCORES, variableColumnName="metric",
                      valueColumnName="value")
 

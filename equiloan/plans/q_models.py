@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from equiloan.constants import ATTRIBUTES, PREDICTORS
 from equiloan.functions.columns import round6
-from equiloan.operators import fairness, mitigate, models, prep, report, splits
+from equiloan.operators import parity, mitigate, models, prep, report, splits
 from equiloan.operators.cumulative import materialize
 from equiloan.plans import views
 from equiloan.plans.registry import register
@@ -41,7 +41,7 @@ def _data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _scores(pred: DataFrame, label: str = "approved") -> DataFrame:
-    return fairness.binary_scores(pred, label, "prediction", by=["split"])
+    return parity.binary_scores(pred, label, "prediction", by=["split"])
 
 
 def _both(m, train: DataFrame, test: DataFrame, keep) -> DataFrame:
@@ -99,7 +99,7 @@ def q_fit_logistic_denial(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, train, test = _data(spark, sf_dir)
     m = models.fit_logistic(train, PREDICTORS, label="primary_denial_reason", multinomial=True, max_iter=100)
     p = _both(m, train, test, ["application_id", "primary_denial_reason"])
-    return fairness.multiclass_accuracy(p, "primary_denial_reason", "prediction", by=["split"])
+    return parity.multiclass_accuracy(p, "primary_denial_reason", "prediction", by=["split"])
 
 
 @register("fit_mlp")
@@ -118,7 +118,7 @@ def q_fit_mlp_denial(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, train, test = _data(spark, sf_dir)
     m = models.fit_mlp(train, PREDICTORS, label="primary_denial_reason", multiclass=True, max_iter=30)
     p = _both(m, train, test, ["application_id", "primary_denial_reason"])
-    return fairness.multiclass_accuracy(p, "primary_denial_reason", "prediction", by=["split"])
+    return parity.multiclass_accuracy(p, "primary_denial_reason", "prediction", by=["split"])
 
 
 @register("fit_forest_denial")
@@ -127,7 +127,7 @@ def q_fit_forest_denial(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, train, test = _data(spark, sf_dir)
     m = models.fit_forest(train, PREDICTORS, label="primary_denial_reason", num_trees=TREES)
     p = _both(m, train, test, ["application_id", "primary_denial_reason"])
-    return fairness.multiclass_accuracy(p, "primary_denial_reason", "prediction", by=["split"])
+    return parity.multiclass_accuracy(p, "primary_denial_reason", "prediction", by=["split"])
 
 
 @register("predict")
@@ -141,16 +141,16 @@ def q_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("fit_mitigated")
 def q_fit_mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model grid {forest, logistic} x {reweighing, repair} for a50
-    plus the unmitigated baselines (fitted once); decision fairness and
+    plus the unmitigated baselines (fitted once); decision parity and
     accuracy per (model, split), from one long prediction table."""
     _, train, test = _data(spark, sf_dir)
     grid = models.model_grid(["rf", "lr"], ["reweighing", "repair"], [ATTR])
     preds = materialize(models.fit_grid(train, test, PREDICTORS, grid, forest_trees=TREES))
-    ct = fairness.contingency(preds, [ATTR], decision="prediction", by=["model_id", "split"])
-    fm = fairness.fairness_metrics(ct, by=["model_id", "split"]).select(
+    ct = parity.contingency(preds, [ATTR], decision="prediction", by=["model_id", "split"])
+    fm = parity.parity_metrics(ct, by=["model_id", "split"]).select(
         "model_id", "split", "attribute", "decision_parity_difference", "average_odds_difference",
         "equal_opportunity_difference", "theil_index")
-    sc = fairness.binary_scores(preds, "approved", "prediction", by=["model_id", "split"])
+    sc = parity.binary_scores(preds, "approved", "prediction", by=["model_id", "split"])
     return fm.join(sc, ["model_id", "split"], "inner")
 
 

@@ -1,3 +1,3 @@
-"""Structured Streaming: incremental fairness monitoring over arriving files."""
+"""Structured Streaming: incremental parity monitoring over arriving files."""
 
 from equiloan.streaming.monitor import contingency_stream, run_monitor  # noqa: F401

@@ -1,4 +1,4 @@
-"""Incremental fairness monitoring with Structured Streaming.
+"""Incremental parity monitoring with Structured Streaming.
 
 Application files arriving in a folder are read as a stream (declared
 schema, ``maxFilesPerTrigger`` bounds each micro-batch the way the chunked
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from equiloan.constants import ATTRIBUTES
-from equiloan.operators import fairness
+from equiloan.operators import parity
 
 
 def contingency_stream(spark: SparkSession, source_dir: str, schema: T.StructType, fmt: str = "parquet",
@@ -26,7 +26,7 @@ def contingency_stream(spark: SparkSession, source_dir: str, schema: T.StructTyp
 
     apps = (spark.readStream.schema(schema).format(fmt)
             .option("maxFilesPerTrigger", files_per_trigger).load(source_dir))
-    return fairness.contingency(prepare(apps), attributes, decision=decision)
+    return parity.contingency(prepare(apps), attributes, decision=decision)
 
 
 def run_monitor(spark: SparkSession, source_dir: str, schema: T.StructType, metrics_path: str,
@@ -36,7 +36,7 @@ def run_monitor(spark: SparkSession, source_dir: str, schema: T.StructType, metr
     ct = contingency_stream(spark, source_dir, schema, fmt, files_per_trigger)
 
     def write_metrics(batch: DataFrame, epoch_id: int) -> None:
-        fairness.fairness_metrics(batch).write.mode("overwrite").parquet(metrics_path)
+        parity.parity_metrics(batch).write.mode("overwrite").parquet(metrics_path)
 
     q = (ct.writeStream.outputMode("complete").foreachBatch(write_metrics)
          .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())

@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
-SQL_KEYS = ["fairness_by_threshold", "contingency", "weighted_metrics", "describe_by_year", "stratified_split",
+SQL_KEYS = ["parity_by_threshold", "contingency", "weighted_metrics", "describe_by_year", "stratified_split",
             "reweigh_report", "repair_disparate_impact", "compare_mitigations", "denial_reason_counts",
             "one_hot", "min_max", "condition_counts", "stage_audit", "performance_results", "attach_model_decisions",
             "describe_splits", "downsample_majority", "plot_series"]

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from equiloan.operators import fairness, mitigate
+from equiloan.operators import parity, mitigate
 
 
 def _df(spark, n=600, seed=1):
@@ -22,7 +22,7 @@ def test_reweighing_zeroes_weighted_parity_and_keeps_total(spark):
     assert wdf.count() == df.count()
     total = wdf.agg(F.sum("weight")).first()[0]
     assert total == pytest.approx(600.0)
-    m = fairness.label_metrics(wdf, ["a"], weight="weight").first()
+    m = parity.label_metrics(wdf, ["a"], weight="weight").first()
     assert m["statistical_parity_difference"] == pytest.approx(0.0, abs=1e-9)
     assert m["disparate_impact"] == pytest.approx(1.0, abs=1e-9)
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from equiloan.operators import fairness
+from equiloan.operators import parity
 
 
 def _rows(spark, rows):
@@ -12,8 +12,8 @@ def _rows(spark, rows):
 
 def _metrics(spark, rows, weighted=False):
     df = _rows(spark, rows).withColumnRenamed("g", "a")
-    ct = fairness.contingency(df, ["a"], label="y", decision="yhat")
-    return fairness.fairness_metrics(ct, rounded=False).first().asDict()
+    ct = parity.contingency(df, ["a"], label="y", decision="yhat")
+    return parity.parity_metrics(ct, rounded=False).first().asDict()
 
 
 def test_hand_computed_metrics(spark):
@@ -72,7 +72,7 @@ def test_swapping_groups_negates_differences_and_inverts_ratios(spark):
 def test_several_attributes_in_one_pass(spark):
     df = spark.createDataFrame([(i, i % 2, i % 3 == 0, int(i % 5 == 0), int(i % 7 == 0)) for i in range(50)],
                                "id long, a int, b boolean, y int, yhat int").withColumn("b", F.col("b").cast("int"))
-    ct = fairness.contingency(df, ["a", "b"], label="y", decision="yhat")
+    ct = parity.contingency(df, ["a", "b"], label="y", decision="yhat")
     assert ct.select("attribute").distinct().count() == 2
     total = {r["attribute"]: r["n"] for r in ct.groupBy("attribute").agg(F.sum("n").alias("n")).collect()}
     assert total == {"a": 50, "b": 50}
@@ -80,7 +80,7 @@ def test_several_attributes_in_one_pass(spark):
 
 def test_classification_scores(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (0, 1), (0, 0)], "y int, yhat int")
-    s = fairness.binary_scores(df, "y", "yhat").first()
+    s = parity.binary_scores(df, "y", "yhat").first()
     assert s["accuracy"] == pytest.approx(0.6)
     assert s["precision"] == pytest.approx(2 / 3, abs=1e-6)
     assert s["recall"] == pytest.approx(2 / 3, abs=1e-6)

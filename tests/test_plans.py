@@ -2,7 +2,7 @@
 shuffle, prune columns at the scan, and never funnel the table into one task."""
 
 from equiloan.constants import ATTRIBUTES
-from equiloan.operators import fairness
+from equiloan.operators import parity
 from equiloan.plans import views
 
 from conftest import SF_SMALL
@@ -14,7 +14,7 @@ def _plan(df):
 
 def test_contingency_plan_is_jvm_side_and_partial(spark):
     df = views.labelled(spark, SF_SMALL)
-    ct = fairness.contingency(df, ATTRIBUTES)
+    ct = parity.contingency(df, ATTRIBUTES)
     plan = _plan(ct)
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "SinglePartition" not in plan
@@ -24,7 +24,7 @@ def test_contingency_plan_is_jvm_side_and_partial(spark):
 
 def test_scan_prunes_columns(spark):
     df = views.labelled(spark, SF_SMALL)
-    ct = fairness.contingency(df, ATTRIBUTES)
+    ct = parity.contingency(df, ATTRIBUTES)
     plan = ct._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert scans

@@ -2,7 +2,7 @@
 equal the batch computation over the same rows."""
 
 from equiloan.constants import ATTRIBUTES
-from equiloan.operators import fairness
+from equiloan.operators import parity
 from equiloan.plans import views
 from equiloan.streaming import run_monitor
 
@@ -17,7 +17,7 @@ def test_stream_equals_batch(spark, tmp_path):
     out = run_monitor(spark, src, schema, str(tmp_path / "metrics"), str(tmp_path / "ckpt"), files_per_trigger=2)
     streamed = {r["attribute"]: r.asDict() for r in spark.read.parquet(out).collect()}
     batch = {r["attribute"]: r.asDict() for r in
-             fairness.fairness_metrics(fairness.contingency(views.prepare(apps), ATTRIBUTES)).collect()}
+             parity.parity_metrics(parity.contingency(views.prepare(apps), ATTRIBUTES)).collect()}
     assert streamed == batch
 
 
