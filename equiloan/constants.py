@@ -166,3 +166,4 @@ ATTRIBUTES = [f"a{t}" for t in THRESHOLDS]
 # Portable arithmetic hash used for repeatable splits.
 HASH_MODULUS = 1000003
 HASH_MULTIPLIER = 48271
+HASH_QUOTIENT = 69621

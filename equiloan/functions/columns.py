@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from equiloan.constants import HASH_MODULUS, HASH_MULTIPLIER
+from equiloan.constants import HASH_MODULUS, HASH_MULTIPLIER, HASH_QUOTIENT
 
 
 def sanitize_name(name: str) -> str:
@@ -64,12 +64,31 @@ def normalize_code(c: str | Column) -> Column:
 def portable_hash(key: str | Column, seed: int) -> Column:
     """Repeatable arithmetic hash in [0, HASH_MODULUS) of an integer key.
 
-    h = (pmod(key, M) * 48271 + seed) mod M. It depends only on the key and the
-    seed, never on partitioning, and any SQL engine computes the same value
-    (the product fits a BIGINT).
+    Both halves of the key (its remainder and its quotient by the prime
+    modulus M) and the seed are mixed linearly, the result is raised to the
+    fifth power modulo M (a permutation, as 5 has no factor in common with
+    M - 1) and mixed once more. So another seed gives another order, not a
+    rotated one, and keys that are equal modulo M part. It depends only on key
+    and seed, never on partitioning, and any SQL engine computes the same value
+    (every product fits a BIGINT); ``portable_hash_sql`` is its SQL.
     """
     m = F.lit(HASH_MODULUS).cast("bigint")
-    return F.pmod(F.pmod(col_of(key).cast("bigint"), m) * F.lit(HASH_MULTIPLIER) + F.lit(seed), m)
+    k = col_of(key).cast("bigint")
+    low = F.pmod(k, m)
+    high = F.pmod(F.call_function("div", k - low, m), m)
+    x = (low * F.lit(HASH_MULTIPLIER) + high * F.lit(HASH_QUOTIENT) + F.lit(seed)) % m
+    x2 = (x * x) % m
+    x5 = (((x2 * x2) % m) * x) % m
+    return (x5 * F.lit(HASH_MULTIPLIER) + F.lit(seed)) % m
+
+
+def portable_hash_sql(key: str, seed: int) -> str:
+    """``portable_hash`` of a non-negative key as SQL."""
+    m = HASH_MODULUS
+    x = f"((({key}) % {m}) * {HASH_MULTIPLIER} + ((({key}) // {m}) % {m}) * {HASH_QUOTIENT} + {seed}) % {m}"
+    x2 = f"(({x}) * ({x})) % {m}"
+    x5 = f"((({x2}) * ({x2})) % {m} * ({x})) % {m}"
+    return f"((({x5}) * {HASH_MULTIPLIER} + {seed}) % {m})"
 
 
 def clamp(c: str | Column, lo, hi) -> Column:

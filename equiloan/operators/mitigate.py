@@ -39,7 +39,7 @@ BROADCAST_ROWS = 2_000_000
 
 # --- M1, M2: reweighing -------------------------------------------------------
 
-def _weights_from_cells(ct: DataFrame, by: list[str]) -> DataFrame:
+def weights_from_contingency(ct: DataFrame, by: list[str]) -> DataFrame:
     """(by..., attribute, g, y) -> n, weight from a contingency table: one
     conditional-sum aggregation per (by, attribute) gives the four cell counts,
     the weights are arithmetic on them, and ``stack`` turns the row back into
@@ -65,37 +65,26 @@ def reweigh_weights(df: DataFrame, attributes: Iterable[str], label: str = "appr
     At most 4 rows per (by, attribute); a cell with no rows has no weight
     (and no row needs one). One pass over the rows (the contingency)."""
     by = list(by)
-    return _weights_from_cells(contingency(df, attributes, label=label, decision=None, by=by), by)
-
-
-LITERAL_WEIGHT_ROWS = 10_000
+    return weights_from_contingency(contingency(df, attributes, label=label, decision=None, by=by), by)
 
 
 def apply_weights(df: DataFrame, weights: DataFrame, attribute: str, label: str = "approved",
                   by: Iterable[str] = (), out: str = "weight") -> DataFrame:
     """M1 transform: each row gets the weight of its (group, label) cell for
-    ``attribute``. The fitted table has at most 4 rows per ``by`` value: it is
-    fetched once and applied as a literal map (a projection: no join, and
-    learners that pass over the rows many times never refit it). A table
-    beyond ``LITERAL_WEIGHT_ROWS`` rows is joined instead."""
+    ``attribute``. The fitted table has at most 4 rows per ``by`` value; it is
+    joined on its typed keys (null ``by`` values match each other), broadcast
+    behind a check of its size."""
     from equiloan.operators.compose import broadcast_if_small
 
     by = list(by)
     w = (weights.filter(F.col("attribute") == F.lit(attribute))
-         .select(*by, F.col("g").alias("_g"), F.col("y").alias("_y"), F.col("weight").alias(out)))
-    rows = w.limit(LITERAL_WEIGHT_ROWS + 1).collect()
-    if len(rows) <= LITERAL_WEIGHT_ROWS:
-        key = F.concat_ws("|", *[F.col(b).cast("string") for b in by],
-                          F.col(attribute).cast("int").cast("string"), F.col(label).cast("int").cast("string"))
-        pairs = []
-        for r in rows:
-            k = "|".join([*(str(r[b]) for b in by), str(r["_g"]), str(r["_y"])])
-            pairs += [F.lit(k), F.lit(r[out]).cast("double")]
-        m = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-        return df.withColumn(out, F.element_at(m, key))
-    cond = [df[attribute] == w["_g"], df[label] == w["_y"]] + [df[b] == w[b] for b in by]
-    joined = df.join(broadcast_if_small(w), cond, "left")
-    return joined.drop("_g", "_y", *[w[b] for b in by])
+         .select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("g").alias("_g"), F.col("y").alias("_y"),
+                 F.col("weight").alias("_weight")))
+    cond = (F.col(attribute).cast("int") == F.col("_g")) & (F.col(label).cast("int") == F.col("_y"))
+    for i, b in enumerate(by):
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    joined = df.drop(out).join(broadcast_if_small(w), cond, "left")
+    return joined.select(*[F.col(c) for c in df.columns if c != out], F.col("_weight").alias(out))
 
 
 def weighted_contingency(ct: DataFrame, weights: DataFrame, by: Iterable[str] = ()) -> DataFrame:
@@ -117,7 +106,7 @@ def reweigh_report(df: DataFrame, attributes: Iterable[str], label: str = "appro
 
     by = list(by)
     ct = contingency(df, attributes, label=label, decision=None, by=by)
-    weights = _weights_from_cells(ct, by)
+    weights = weights_from_contingency(ct, by)
     part = [*by, "attribute"]
     before = parity_metrics(ct, by=by)
     after = parity_metrics(weighted_contingency(ct, weights, by), by=by, weighted=True)

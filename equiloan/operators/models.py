@@ -60,8 +60,22 @@ class FittedModel:
         return self.pipeline.transform(self.prepare(df))
 
 
+def complete(df: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
+    """The rows a learner can use: every feature and the label known."""
+    return df.dropna(subset=[*features, *([label] if label else [])])
+
+
+def _known(features: list[str]):
+    cond = F.lit(True)
+    for f in features:
+        cond = cond & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    return cond
+
+
 def _assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=FEATURES_COL, handleInvalid="skip")
+    # "keep" passes unknown features on as NaN: a prediction then exists for
+    # every row, and ``predict`` takes back those that rest on a NaN.
+    return VectorAssembler(inputCols=list(features), outputCol=FEATURES_COL, handleInvalid="keep")
 
 
 def _label(df: DataFrame, label: str) -> DataFrame:
@@ -77,7 +91,7 @@ def fit_forest(train: DataFrame, features: list[str], label: str = "approved", w
                                 seed=seed)
     if weight:
         rf.setWeightCol(weight)
-    pipe = Pipeline(stages=[_assembler(features), rf]).fit(_label(train, label))
+    pipe = Pipeline(stages=[_assembler(features), rf]).fit(_label(complete(train, features, label), label))
     return FittedModel(pipe, list(features), label)
 
 
@@ -95,10 +109,12 @@ def feature_importance(model: FittedModel) -> list[tuple[str, float]]:
 
 
 def tune_forest(train: DataFrame, features: list[str], label: str = "approved", grid: dict | None = None,
-                folds: int = 3, seed: int = SEED_FOREST, parallelism: int = 4):
+                folds: int = 3, seed: int = SEED_FOREST, parallelism: int = 4, key: str = "application_id"):
     """L3: grid search with k-fold cross-validation on accuracy; the best
-    setting is refitted on all training rows. The grid is built from the
-    same estimator object that is tuned (params are bound to its uid)."""
+    setting is refitted on all training rows. A row's fold is its keyed hash
+    modulo ``folds``, so folds do not depend on partitioning. The grid is
+    built from the same estimator object that is tuned (params are bound to
+    its uid)."""
     grid = grid or TUNE_GRID
     rf = RandomForestClassifier(featuresCol=FEATURES_COL, labelCol="_label", seed=seed)
     b = ParamGridBuilder()
@@ -112,8 +128,9 @@ def tune_forest(train: DataFrame, features: list[str], label: str = "approved",
     pipe = Pipeline(stages=[_assembler(features), rf])
     ev = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="prediction", metricName="accuracy")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
-                        parallelism=parallelism)
-    cvm = cv.fit(_label(train, label))
+                        parallelism=parallelism, foldCol="_fold")
+    fold = (portable_hash(key, seed) % F.lit(folds)).cast("int")
+    cvm = cv.fit(_label(complete(train, features, label), label).withColumn("_fold", fold))
     rows = []
     for pm, acc in zip(maps, cvm.avgMetrics):
         rows.append((int(pm.get(rf.numTrees, rf.getNumTrees())), int(pm.get(rf.maxDepth, rf.getMaxDepth())),
@@ -127,8 +144,8 @@ def fit_logistic(train: DataFrame, features: list[str], label: str = "approved",
     """Logistic regression on features standardised with the training
     split's mean and population sd (P20). L2 penalty with the usual C = 1
     convention (regParam = 1 / (C * n))."""
-    stats = prep.fit_standardize(train, features)
-    n = train.count()
+    train = complete(train, features, label)
+    stats, n = prep.fit_standardize(train, features, with_count=True)
     lr = LogisticRegression(featuresCol=FEATURES_COL, labelCol="_label", maxIter=max_iter,
                             regParam=1.0 / (reg_c * max(n, 1)), elasticNetParam=0.0, standardization=False,
                             family="multinomial" if multinomial else "auto")
@@ -139,10 +156,11 @@ def fit_logistic(train: DataFrame, features: list[str], label: str = "approved",
     return FittedModel(pipe, list(features), label, scaler=stats)
 
 
-def class_list(df: DataFrame, label: str, cap: int = 1000) -> list:
-    """Sorted distinct class labels (bounded; fetched once)."""
-    vals = [r[0] for r in df.select(label).distinct().limit(cap + 1).collect() if r[0] is not None]
-    if len(vals) > cap:
+def class_list(df: DataFrame, label: str, cap: int | None = None) -> list:
+    """Sorted distinct class labels (one output of the network each); more
+    than ``cap`` raise, if given."""
+    vals = [r[0] for r in df.select(label).distinct().collect() if r[0] is not None]
+    if cap is not None and len(vals) > cap:
         raise ValueError("too many classes")
     return sorted(vals)
 
@@ -157,10 +175,16 @@ def replicate_by_weight(df: DataFrame, weight: str, key: str = "application_id",
                         mean_copies: float = 4.0) -> DataFrame:
     """Instance weights for learners without ``weightCol`` (the MLP): row i
     appears floor(s w_i) + [hash01(key, seed) < frac(s w_i)] times, with s
-    chosen so that the mean copy count is ``mean_copies``. Deterministic and
-    independent of partitioning."""
-    mean_w = df.agg(F.avg(weight)).first()[0] or 1.0
-    s = mean_copies / mean_w
+    chosen so that the mean copy count is ``mean_copies``: every pass of the
+    learner reads that many times the rows, and a weight is met to within one
+    copy. Deterministic and independent of partitioning. A missing or negative
+    weight raises; a row whose weight gives it no copy is left out of the fit
+    (its expected share is below one copy) and ``rows_without_copies`` counts
+    such rows."""
+    r = df.agg(F.avg(weight).alias("m"), F.count_if(F.col(weight).isNull() | (F.col(weight) < 0)).alias("bad")).first()
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} rows have no usable weight")
+    s = mean_copies / (r["m"] or 1.0)
     sw = F.col(weight) * F.lit(s)
     u = portable_hash(key, seed).cast("double") / F.lit(float(HASH_MODULUS))
     copies = (F.floor(sw) + (u < (sw - F.floor(sw))).cast("long")).cast("int")
@@ -168,16 +192,23 @@ def replicate_by_weight(df: DataFrame, weight: str, key: str = "application_id",
     return rep.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
 
 
+def rows_without_copies(df: DataFrame, replicated: DataFrame, key: str = "application_id") -> int:
+    """Rows of ``df`` that ``replicate_by_weight`` gave no copy."""
+    return df.select(key).join(replicated.select(key).distinct(), key, "left_anti").count()
+
+
 def fit_mlp(train: DataFrame, features: list[str], label: str = "approved", hidden: Iterable[int] = (64, 32),
             weight: str | None = None, max_iter: int = 100, seed: int = SEED_FOREST, block_size: int = 128,
-            multiclass: bool = False, key: str = "application_id") -> FittedModel:
+            multiclass: bool = False, key: str = "application_id", mean_copies: float = 4.0) -> FittedModel:
     """Multilayer perceptron (distributed L-BFGS) on standardised
-    features. Weights are honoured by deterministic replication; multiclass
-    labels are re-indexed to 0..K-1."""
+    features. Weights are honoured by deterministic replication
+    (``mean_copies`` per row on average); multiclass labels are re-indexed to
+    0..K-1."""
+    train = complete(train, features, label)
     stats = prep.fit_standardize(train, features)
     data = prep.standardize(train, features, stats=stats)
     if weight:
-        data = replicate_by_weight(data, weight, key, seed)
+        data = replicate_by_weight(data, weight, key, seed, mean_copies)
     classes = class_list(train, label) if multiclass else [0, 1]
     data = reindex(data, label, classes) if multiclass else _label(data, label)
     layers = [len(features), *hidden, len(classes)]
@@ -192,17 +223,18 @@ def predict(model: FittedModel, df: DataFrame, keep: Iterable[str] = ("applicati
     """Decisions (and the class-1 probability) for every row, keyed.
 
     Binary models decide probability >= ``threshold`` (P23) when one is
-    given; multiclass predictions are mapped back to the original classes."""
+    given; multiclass predictions are mapped back to the original classes. A
+    row with an unknown feature keeps its place with a null decision."""
     keep = list(keep)
-    p = model.transform(df)
+    p = model.transform(df.withColumn("_known", _known(model.features)))
     cols = [*keep]
     if model.classes is not None:
         m = F.create_map(*[x for i, c in enumerate(model.classes) for x in (F.lit(float(i)), F.lit(c))])
-        cols.append(F.element_at(m, F.col("prediction")).alias(out))
+        cols.append(F.when(F.col("_known"), F.element_at(m, F.col("prediction"))).alias(out))
     else:
         prob1 = vector_to_array(F.col("probability"))[1]
         dec = (prob1 >= F.lit(threshold)).cast("int") if threshold is not None else F.col("prediction").cast("int")
-        cols += [dec.alias(out), prob1.alias("probability_1")]
+        cols += [F.when(F.col("_known"), dec).alias(out), F.when(F.col("_known"), prob1).alias("probability_1")]
     return p.select(*cols)
 
 
@@ -225,47 +257,53 @@ def model_grid(kinds: Iterable[str], mitigations: Iterable[str], attributes: Ite
     return grid
 
 
-def fit_grid(train: DataFrame, test: DataFrame, features: list[str], grid: list[GridEntry],
-             label: str = "approved", forest_trees: int = FOREST_TREES, mlp_iter: int = 100,
-             key: str = "application_id", parallel: int = 4) -> DataFrame:
+def fit_grid(df: DataFrame, features: list[str], grid: list[GridEntry], label: str = "approved",
+             split: str = "split", forest_trees: int = FOREST_TREES, logistic_iter: int = LOGISTIC_MAX_ITER,
+             mlp_iter: int = 100, key: str = "application_id", parallel: int = 4) -> DataFrame:
     """Fit every grid entry and return long predictions
-    (model_id, split, key, attribute value..., label, prediction).
-
-    Reweighing fits take the train split's weights for the entry's attribute
-    (``weightCol``); repair fits take features repaired per split (M3). Fits
-    are submitted from a small driver thread pool so Spark can run them side
-    by side; the predictions of all models form one long frame.
+    (key, split, attribute values..., label, model_id, prediction).
+
+    ``df`` holds both splits (``split`` = train / test) and should be a stored
+    table. Reweighing fits take the train split's weights for the entry's
+    attribute; repair fits take features repaired per split (M3), stored once
+    per attribute for all model kinds. Fits are submitted from a small driver
+    thread pool so Spark can run them side by side; a fitted model then decides
+    both splits in one pass over its table.
     """
+    from equiloan.operators.cumulative import materialize
     from equiloan.operators.mitigate import apply_weights, repair_disparate_impact, reweigh_weights
 
     attrs = sorted({g.attribute for g in grid if g.attribute})
-    weights = reweigh_weights(train, attrs, label) if attrs else None
-    repaired = {a: (repair_disparate_impact(train, features, a), repair_disparate_impact(test, features, a))
-                for a in attrs if any(g.mitigation == "repair" and g.attribute == a for g in grid)}
+    train = df.filter(F.col(split) == "train")
+    weights = materialize(reweigh_weights(train, attrs, label), "grid-weights") if attrs else None
+    repaired = {}
+    for a in attrs:
+        if any(g.mitigation == "repair" and g.attribute == a for g in grid):
+            parts = [repair_disparate_impact(df.filter(F.col(split) == s), features, a) for s in ("train", "test")]
+            repaired[a] = materialize(parts[0].unionByName(parts[1]), "grid-repaired")
 
     def one(g: GridEntry) -> DataFrame:
-        tr, te, w = train, test, None
+        rows, w = df, None
+        if g.mitigation == "repair":
+            rows = repaired[g.attribute]
+        tr = rows.filter(F.col(split) == "train")
         if g.mitigation == "reweighing":
-            tr = apply_weights(train, weights, g.attribute, label)
+            tr = apply_weights(tr, weights, g.attribute, label)
             w = "weight"
-        elif g.mitigation == "repair":
-            tr, te = repaired[g.attribute]
         if g.kind == "rf":
             m = fit_forest(tr, features, label, weight=w, num_trees=forest_trees)
         elif g.kind == "lr":
-            m = fit_logistic(tr, features, label, weight=w)
+            m = fit_logistic(tr, features, label, weight=w, max_iter=logistic_iter)
         elif g.kind == "mlp":
             m = fit_mlp(tr, features, label, weight=w, max_iter=mlp_iter, key=key)
         else:
             raise ValueError(g.kind)
-        keep = [key, label, *[a for a in attrs if a in train.columns]]
-        p_tr = predict(m, tr, keep).withColumn("split", F.lit("train"))
-        p_te = predict(m, te, keep).withColumn("split", F.lit("test"))
-        return p_tr.unionByName(p_te).withColumn("model_id", F.lit(g.model_id))
+        keep = [key, split, label, *[a for a in attrs if a in df.columns]]
+        return predict(m, rows, keep).drop("probability_1").withColumn("model_id", F.lit(g.model_id))
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         parts = list(pool.map(one, grid))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("probability_1")
+    return out

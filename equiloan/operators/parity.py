@@ -49,9 +49,23 @@ def _cell(c: Column, **eq) -> Column:
     return F.sum(F.when(cond, c).otherwise(F.lit(0.0)))
 
 
+#: Cells that metrics may count: a missing decision is not a rejection.
+KNOWN = "y is not null and yhat is not null and g is not null"
+
+
+def excluded_rows(ct: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """(by..., attribute, n_excluded): rows without label, decision or group,
+    which no metric counts."""
+    by = list(by)
+    return ct.groupBy(*by, "attribute").agg(
+        F.sum(F.when(F.expr(KNOWN), F.lit(0)).otherwise(F.col("n"))).alias("n_excluded"))
+
+
 def group_counts(ct: DataFrame, by: Iterable[str] = (), weighted: bool = False) -> DataFrame:
-    """Per (by..., attribute): the cell sums every metric needs."""
+    """Per (by..., attribute): the cell sums every metric needs, over the rows
+    whose label and decision are known (``excluded_rows`` counts the others)."""
     by = list(by)
+    ct = ct.filter(KNOWN)
     c = F.col("w") if weighted else F.col("n").cast("double")
     n = F.col("n").cast("double")
     aggs = []
@@ -152,7 +166,7 @@ def classification_scores(ct: DataFrame, by: Iterable[str] = (), weighted: bool
     across attributes; weighted ones differ because weights are per attribute."""
     by = list(by)
     c = F.col("w") if weighted else F.col("n").cast("double")
-    agg = ct.groupBy(*by, "attribute").agg(
+    agg = ct.filter(KNOWN).groupBy(*by, "attribute").agg(
         F.sum(c).alias("total"),
         F.sum(F.when(F.col("y") == F.col("yhat"), c).otherwise(F.lit(0.0))).alias("correct"),
         F.sum(F.when((F.col("y") == 1) & (F.col("yhat") == 1), c).otherwise(F.lit(0.0))).alias("tp"),
@@ -171,11 +185,12 @@ def _score_columns() -> list[Column]:
 
 
 def binary_scores(df: DataFrame, label: str, decision: str, by: Iterable[str] = ()) -> DataFrame:
-    """G14 without attributes: one grouped pass with conditional counts."""
+    """G14 without attributes: one grouped pass with conditional counts, over
+    the rows whose label and decision are known."""
     by = list(by)
     y, yhat = F.col(label).cast("int"), F.col(decision).cast("int")
     one = F.lit(1.0)
-    agg = df.groupBy(*by).agg(
+    agg = df.filter(y.isNotNull() & yhat.isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).cast("double").alias("total"),
         F.sum(F.when(y == yhat, one).otherwise(F.lit(0.0))).alias("correct"),
         F.sum(F.when((y == 1) & (yhat == 1), one).otherwise(F.lit(0.0))).alias("tp"),
@@ -186,9 +201,10 @@ def binary_scores(df: DataFrame, label: str, decision: str, by: Iterable[str] =
 
 
 def multiclass_accuracy(df: DataFrame, label: str, prediction: str, by: Iterable[str] = ()) -> DataFrame:
-    """Share of rows whose predicted class equals the label."""
+    """Share of rows whose predicted class equals the label; ``n`` counts
+    the rows with both, which are the ones compared."""
     hit = (F.col(label).cast("double") == F.col(prediction).cast("double")).cast("double")
-    return df.groupBy(*list(by)).agg(F.count(F.lit(1)).alias("n"), round6(F.avg(hit)).alias("accuracy"))
+    return df.groupBy(*list(by)).agg(F.count(hit).alias("n"), round6(F.avg(hit)).alias("accuracy"))
 
 
 def metrics_long(metrics: DataFrame, by: Iterable[str] = (), metric_names: Iterable[str] | None = None) -> DataFrame:

@@ -29,7 +29,9 @@ from equiloan.constants import (
 from equiloan.functions.columns import clamp, code_is, flag, safe_div, sanitize_name
 
 TRACT_PCT = "tract_minority_population_percent"
-DEFAULT_VOCAB_CAP = 200
+#: No cap on vocabularies by default; give one to refuse columns that are not
+#: categorical.
+DEFAULT_VOCAB_CAP: int | None = None
 
 
 # --- P1, P9: vocabularies, codes and one-hot indicators ----------------------
@@ -49,15 +51,15 @@ def vocabulary(df: DataFrame, cols: Iterable[str]) -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def code_table(df: DataFrame, cols: Iterable[str], cap: int = DEFAULT_VOCAB_CAP) -> DataFrame:
+def code_table(df: DataFrame, cols: Iterable[str], cap: int | None = DEFAULT_VOCAB_CAP) -> DataFrame:
     """(column, value, code) with 0-based codes in value order per column.
 
-    The rank runs on the distinct-value table, partitioned by column. Each
-    column's vocabulary is checked against ``cap`` first (one small
-    aggregation: one row per column), so a window never holds more than
-    ``cap`` rows; a column with more values is not categorical and raises."""
+    The rank runs on the distinct-value table, partitioned by column. With
+    ``cap``, a column with more values raises (one small aggregation: one row
+    per column)."""
     vocab = vocabulary(df, cols)
-    sizes = vocab.groupBy("column").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > cap).collect()
+    sizes = [] if cap is None else vocab.groupBy("column").agg(F.count(F.lit(1)).alias("k")).filter(
+        F.col("k") > cap).collect()
     if sizes:
         raise ValueError(f"columns above the vocabulary cap of {cap}: {sorted(r['column'] for r in sizes)}")
     w = Window.partitionBy("column").orderBy("value")
@@ -65,24 +67,24 @@ def code_table(df: DataFrame, cols: Iterable[str], cap: int = DEFAULT_VOCAB_CAP)
             .select("column", "value", "code"))
 
 
-def collect_vocabulary(df: DataFrame, cols: Iterable[str], cap: int = DEFAULT_VOCAB_CAP) -> dict[str, list[str]]:
-    """Distinct values per column, sorted, fetched to the driver. Raises when a
-    column has more than ``cap`` values: its indicators would not fit a row."""
+def collect_vocabulary(df: DataFrame, cols: Iterable[str], cap: int | None = DEFAULT_VOCAB_CAP) -> dict[str, list[str]]:
+    """Distinct values per column, sorted, fetched to the driver: they become
+    the columns of a table, so they fit a row by intent. With ``cap``, a column
+    with more values raises before more than cap x columns rows are fetched."""
     cols = [c for c in cols if c in df.columns]
-    # At most cap x columns rows ever reach the driver: the limit stops the
-    # fetch as soon as the vocabulary is certainly too large.
-    budget = cap * len(cols)
-    rows = vocabulary(df, cols).select("column", "value").limit(budget + 1).collect()
+    found = vocabulary(df, cols).select("column", "value")
+    budget = None if cap is None else cap * len(cols)
+    rows = (found if budget is None else found.limit(budget + 1)).collect()
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         out[r["column"]].append(r["value"])
-    too_big = [c for c, v in out.items() if len(v) > cap]
-    if too_big or len(rows) > budget:
+    too_big = [c for c, v in out.items() if cap is not None and len(v) > cap]
+    if too_big or (budget is not None and len(rows) > budget):
         raise ValueError(f"columns {too_big or 'several'} have more than {cap} values each")
     return {c: sorted(v) for c, v in out.items()}
 
 
-def categorize(df: DataFrame, cols: Iterable[str], cap: int = DEFAULT_VOCAB_CAP,
+def categorize(df: DataFrame, cols: Iterable[str], cap: int | None = DEFAULT_VOCAB_CAP,
                suffix: str = "_code") -> DataFrame:
     """Integer category codes next to the string columns (``<col>_code``)."""
     vocab = collect_vocabulary(df, cols, cap)
@@ -97,7 +99,7 @@ def categorize(df: DataFrame, cols: Iterable[str], cap: int = DEFAULT_VOCAB_CAP,
 
 
 def one_hot(df: DataFrame, cols: Iterable[str], vocab: dict[str, list[str]] | None = None,
-            cap: int = DEFAULT_VOCAB_CAP, drop_source: bool = True) -> DataFrame:
+            cap: int | None = DEFAULT_VOCAB_CAP, drop_source: bool = True) -> DataFrame:
     """``<col>_<value>`` 0/1 indicators; a null gives all zeros.
 
     The vocabulary comes from one aggregation (or is passed in, e.g. fitted on
@@ -121,9 +123,9 @@ def one_hot(df: DataFrame, cols: Iterable[str], vocab: dict[str, list[str]] | No
 
 # --- P2-P7: year flags, filters, label, thresholds, attributes --------------
 
-def distinct_years(df: DataFrame, col: str = "activity_year", cap: int = 1000) -> list[int]:
-    years = [r[0] for r in df.select(col).distinct().limit(cap + 1).collect() if r[0] is not None]
-    if len(years) > cap:
+def distinct_years(df: DataFrame, col: str = "activity_year", cap: int | None = None) -> list[int]:
+    years = [r[0] for r in df.select(col).distinct().collect() if r[0] is not None]
+    if cap is not None and len(years) > cap:
         raise ValueError("too many distinct years for indicator columns")
     return sorted(years)
 
@@ -248,11 +250,14 @@ def coerce_and_drop(df: DataFrame, keep: Iterable[str] = ("application_id",)) ->
     return out.dropna()
 
 
-def fit_standardize(df: DataFrame, cols: Iterable[str]) -> dict[str, tuple]:
+def fit_standardize(df: DataFrame, cols: Iterable[str], with_count: bool = False):
+    """{column: (mean, population sd)}, with the row count if asked for: one
+    aggregation."""
     cols = list(cols)
     row = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
-    return {c: (row[f"m_{i}"], row[f"s_{i}"]) for i, c in enumerate(cols)}
+                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)], F.count(F.lit(1)).alias("n")).first()
+    stats = {c: (row[f"m_{i}"], row[f"s_{i}"]) for i, c in enumerate(cols)}
+    return (stats, row["n"]) if with_count else stats
 
 
 def standardize(df: DataFrame, cols: Iterable[str], fit_on: DataFrame | None = None,

@@ -4,9 +4,10 @@ A row's fate depends only on its key and the seed (``portable_hash``), never
 on partitioning or task order, so a rerun after a lost executor, or any
 ``repartition``, gives the same split. Selecting the k lowest hashes of a
 stratum is done without a global sort and without a per-stratum window: the
-hash counts of each stratum are summed with a bucketed running total, the one
-boundary hash value per stratum is found in that small table, and only the
-rows that tie on the boundary hash are ranked.
+hash counts of each stratum are summed with a bucketed running total, which
+gives the one hash value at which the stratum is cut; the keys that share that
+hash (about n / 1e6 of a stratum) are ranked to find the last key still in.
+The rows are then marked by one comparison with the stratum's (hash, key).
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ from pyspark.sql import functions as F
 
 from equiloan.constants import HASH_MODULUS, SEED_SPLIT, TEST_FRACTION
 from equiloan.functions.columns import portable_hash
-from equiloan.operators.cumulative import running_total
+from equiloan.operators.compose import broadcast_if_small
+from equiloan.operators.cumulative import materialize, running_total
 
-_NULL_STRATUM = -2147483648
-MAX_STRATA = 100_000
+
+def _same(left: Iterable[str], right: Iterable[str]) -> Column:
+    cond = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        cond = cond & F.col(a).eqNullSafe(F.col(b))
+    return cond
 
 
 def lowest_k_by_hash(df: DataFrame, strata: Iterable[str], k_of_n: Callable[[Column], Column],
@@ -29,51 +35,36 @@ def lowest_k_by_hash(df: DataFrame, strata: Iterable[str], k_of_n: Callable[[Col
                      out: str = "selected") -> DataFrame:
     """Mark the k rows with the lowest (hash, key) in each stratum.
 
-    ``k_of_n`` maps a stratum's row count (a Column) to k. The key must be
-    unique: it breaks ties between equal hashes.
+    ``k_of_n`` maps a stratum's row count (a Column) to k. Strata are compared
+    in the column's own type, null being a stratum of its own. The key must be
+    unique: it breaks ties between equal hashes. The cut-off table has at most
+    one row per stratum and is broadcast behind a check of its size.
     """
     strata = list(strata)
     sk = [f"_s{i}" for i in range(len(strata))]
-    d = df.select("*", *[F.coalesce(F.col(s).cast("long"), F.lit(_NULL_STRATUM)).alias(k)
-                         for s, k in zip(strata, sk)],
-                  portable_hash(key, seed).alias("_h"))
-    counts = d.groupBy(*sk, "_h").agg(F.count(F.lit(1)).alias("_n"))
+    bk = [f"_b{i}" for i in range(len(strata))]
+    h = portable_hash(key, seed)
+    keyed = df.select(*[F.col(s).alias(k) for s, k in zip(strata, sk, strict=True)], F.col(key).alias("_key"), h.alias("_h"))
+    counts = materialize(keyed.groupBy(*sk, "_h").agg(F.count(F.lit(1)).alias("_n")), "split-counts")
+    # One text key per stratum, so that null joins like a value.
+    group = F.to_json(F.struct(*sk), {"ignoreNullFields": "false"}) if sk else F.lit("")
+    counts = counts.withColumn("_g", group)
     # Natural coarse grid on the hash: ~1000 buckets of 1024 hash values.
-    cum = running_total(counts, sk, "_h", "_n", coarse=F.floor(F.col("_h") / F.lit(1024)))
-    size = counts.groupBy(*sk).agg(F.sum("_n").alias("_total"))
-    kk = size.select(*sk, k_of_n(F.col("_total")).cast("long").alias("_k"))
-    # The boundary: the hash value whose cumulative range contains rank k.
-    bound = (cum.join(kk, sk, "inner")
+    cum = running_total(counts, ["_g"], "_h", "_n", coarse=F.floor(F.col("_h") / F.lit(1024)))
+    kk = counts.groupBy("_g").agg(F.sum("_n").alias("_total")).select("_g", k_of_n(F.col("_total")).cast("long").alias("_k"))
+    bound = (cum.join(kk, "_g", "inner")
              .filter((F.col("cum__n") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("cum__n")))
-             .select(*sk, F.col("_h").alias("_hb"), (F.col("_k") - (F.col("cum__n") - F.col("_n"))).alias("_need")))
-    # At most one row per stratum: fetched once and applied as literals, so
-    # marking the rows is a projection (no join, no shuffle of the rows).
-    rows = bound.limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    skey = sk[0] if len(sk) == 1 else None
-    if skey is None:
-        key_expr = F.concat_ws("|", *[F.col(k).cast("string") for k in sk])
-        keys = ["|".join(str(r[k]) for k in sk) for r in rows]
-    else:
-        key_expr = F.col(skey)
-        keys = [r[skey] for r in rows]
-    if rows:
-        hb_map = F.create_map(*[x for k, r in zip(keys, rows) for x in (F.lit(k), F.lit(int(r["_hb"])))])
-        need_map = F.create_map(*[x for k, r in zip(keys, rows) for x in (F.lit(k), F.lit(int(r["_need"])))])
-        marked = d.withColumn("_hb", F.element_at(hb_map, key_expr)).withColumn("_need", F.element_at(need_map, key_expr))
-    else:
-        marked = d.withColumn("_hb", F.lit(None).cast("long")).withColumn("_need", F.lit(None).cast("long"))
-    below = F.col("_hb").isNotNull() & (F.col("_h") < F.col("_hb"))
-    tie = F.col("_hb").isNotNull() & (F.col("_h") == F.col("_hb"))
-    clear = marked.filter(~tie).withColumn(out, below)
-    # Only rows tying on a stratum's boundary hash are ranked (about
-    # n / 1e6 per stratum): the window never sees a whole stratum.
-    ties = marked.filter(tie)
-    w = Window.partitionBy(*sk).orderBy(F.col(key))
-    ranked = ties.withColumn(out, F.row_number().over(w) <= F.col("_need"))
-    res = clear.unionByName(ranked)
-    return res.drop(*sk, "_h", "_hb", "_need")
+             .select(*[F.col(s).alias(b) for s, b in zip(sk, bk, strict=True)], F.col("_h").alias("_hb"),
+                     (F.col("_k") - (F.col("cum__n") - F.col("_n"))).alias("_need")))
+    bound = materialize(bound, "split-bounds")
+    small = broadcast_if_small(bound)
+    ties = keyed.join(small, _same(sk, bk) & (F.col("_h") == F.col("_hb")), "inner")
+    rank = F.row_number().over(Window.partitionBy(*bk).orderBy("_key"))
+    last = ties.withColumn("_r", rank).filter(F.col("_r") == F.col("_need")).select(*bk, "_hb", F.col("_key").alias("_kb"))
+    edge = broadcast_if_small(materialize(last, "split-edges"))
+    below = (h < F.col("_hb")) | ((h == F.col("_hb")) & (F.col(key) <= F.col("_kb")))
+    marked = df.join(edge, _same(strata, bk), "left")
+    return marked.select(*[F.col(c) for c in df.columns], F.coalesce(below, F.lit(False)).alias(out))
 
 
 def stratified_split(df: DataFrame, by: str = "bins", test_fraction: float = TEST_FRACTION,
@@ -95,8 +86,10 @@ def random_split(df: DataFrame, test_fraction: float = TEST_FRACTION, key: str =
 def downsample_majority(df: DataFrame, label: str = "approved", key: str = "application_id",
                         seed: int = SEED_SPLIT) -> DataFrame:
     """Keep every row of the smaller class and as many rows of the larger
-    class (its lowest hashes), so both classes end the same size. The class
-    sizes are one small aggregation (one row per class)."""
+    class (its lowest hashes), so both classes end the same size. Rows without
+    a label belong to neither class and go. The class sizes are one small
+    aggregation (one row per class)."""
+    df = df.filter(F.col(label).isNotNull())
     m = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c")).agg(F.min("_c").alias("_m")).first()["_m"] or 0
     kept = lowest_k_by_hash(df, [label], lambda n: F.least(n, F.lit(int(m))), key, seed, "_keep")
     return kept.filter(F.col("_keep")).drop("_keep")

@@ -9,6 +9,7 @@ rounded to 6 places and every ratio divides by ``NULLIF(d, 0)`` on both sides.
 from __future__ import annotations
 
 from equiloan.constants import ATTRIBUTES
+from equiloan.functions.columns import portable_hash_sql
 from equiloan.sources.standin import applications_sql_for_oracle
 
 LABELLED_SQL = """
@@ -107,7 +108,7 @@ def split_ctes(source: str = "labelled", seed: int = 42, fraction: float = 0.25)
                f"MAX(tract_minority_population_percent) AS mx FROM {source}"),
         ("binned", f"SELECT s.*, CAST(LEAST(GREATEST(CEIL((tract_minority_population_percent - mn) "
                    f"/ ((mx - mn) / 10.0)) - 1, 0), 9) AS INT) AS bins FROM {source} s, mm"),
-        ("hashed", f"SELECT *, ((application_id % 1000003) * 48271 + {seed}) % 1000003 AS h FROM binned"),
+        ("hashed", f"SELECT *, {portable_hash_sql('application_id', seed)} AS h FROM binned"),
         ("splitted", f"SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY bins ORDER BY h, application_id) "
                      f"<= ROUND({fraction} * COUNT(*) OVER (PARTITION BY bins)) THEN 'test' ELSE 'train' END "
                      f"AS split FROM hashed"),

@@ -13,7 +13,7 @@ from equiloan.constants import (
     PREDICTORS,
     SLICE_YEAR,
 )
-from equiloan.functions.columns import round6, sanitize_name
+from equiloan.functions.columns import portable_hash_sql, round6, sanitize_name
 from equiloan.operators import compose, describe, parity, mitigate, prep, report, splits
 from equiloan.plans import oracle as O
 from equiloan.plans import views
@@ -99,7 +99,7 @@ def q_weighted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     reweighing weights (M1, fitted on the same rows): 0, 1, 0; weights sum to N."""
     df = views.labelled(spark, sf_dir)
     ct = parity.contingency(df, ATTRIBUTES, decision=None)
-    weights = mitigate.reweigh_weights(df, ATTRIBUTES)
+    weights = mitigate.weights_from_contingency(ct, [])
     wct = mitigate.weighted_contingency(ct, weights)
     m = parity.parity_metrics(wct, weighted=True, with_total=True)
     return m.select("attribute", "sum_weights", "statistical_parity_difference", "disparate_impact",
@@ -292,7 +292,7 @@ def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).select("application_id", "bins", "split")
 
 
-@register("random_split", W("SELECT application_id, CASE WHEN ((application_id % 1000003) * 48271 + 42) % 1000003 "
+@register("random_split", W(f"SELECT application_id, CASE WHEN {portable_hash_sql('application_id', 42)} "
                             "< 0.25 * 1000003 THEN 'test' ELSE 'train' END AS split FROM labelled"))
 def q_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain seeded split by hash threshold."""
@@ -301,7 +301,7 @@ def q_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("downsample_majority", W(
     "SELECT application_id, approved FROM (SELECT application_id, approved, ROW_NUMBER() OVER "
-    "(PARTITION BY approved ORDER BY ((application_id % 1000003) * 48271 + 42) % 1000003, application_id) AS rn "
+    f"(PARTITION BY approved ORDER BY {portable_hash_sql('application_id', 42)}, application_id) AS rn "
     "FROM labelled) r WHERE rn <= (SELECT MIN(c) FROM (SELECT COUNT(*) AS c FROM labelled GROUP BY approved) m)"))
 def q_downsample_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The larger class sampled down to the size of the smaller."""
@@ -433,6 +433,24 @@ def q_align_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      test, prediction="rule_decision", out="prediction_test")
 
 
+@register("aligned_metrics", W(
+    f"SELECT c.attribute, {O.metric_select()}, CAST(x.n AS BIGINT) AS n_excluded FROM c JOIN th ON TRUE JOIN x ON TRUE",
+    *O.split_ctes(),
+    ("test", "SELECT * FROM splitted WHERE split = 'test'"),
+    ("long", O.attribute_long("test")),
+    ("c", f"SELECT attribute, {O.conditional_sums()} FROM long GROUP BY attribute"),
+    ("th", O.theil_per_row("test")),
+    ("x", "SELECT COUNT(*) AS n FROM splitted WHERE split <> 'test'")))
+def q_aligned_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6-G13 over J3's output: decisions known only for the test split. Rows
+    without a decision are counted apart and enter no metric."""
+    df = _split(spark, sf_dir)
+    test = df.filter(F.col("split") == "test").select("application_id", "rule_decision")
+    aligned = compose.align_predictions(df.drop("rule_decision"), test, prediction="rule_decision", out="prediction_test")
+    ct = parity.contingency(aligned, ATTRIBUTES, decision="prediction_test")
+    return parity.parity_metrics(ct).join(parity.excluded_rows(ct), "attribute")
+
+
 RULE_FEATURES = ["income", "loan_to_value_ratio"]
 MODEL_IDS = ["scorecard"] + [f"scorecard_repair_{a}" for a in ATTRIBUTES]
 
@@ -519,7 +537,7 @@ def q_plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     value) for the original and the reweighed data."""
     df = views.labelled(spark, sf_dir)
     ct = parity.contingency(df, ATTRIBUTES)
-    weights = mitigate.reweigh_weights(df, ATTRIBUTES)
+    weights = mitigate.weights_from_contingency(ct, [])
     orig = parity.metrics_long(parity.parity_metrics(ct), metric_names=PLOT_METRICS)
     rew = parity.metrics_long(parity.parity_metrics(mitigate.weighted_contingency(ct, weights), weighted=True),
                                 metric_names=PLOT_METRICS)
@@ -555,7 +573,7 @@ def q_compare_mitigations(spark: SparkSession, sf_dir: str) -> DataFrame:
     change each mitigation makes."""
     df, long = _repaired_decisions(spark, sf_dir)
     ct = parity.contingency(df, ATTRIBUTES)
-    weights = mitigate.reweigh_weights(df, ATTRIBUTES)
+    weights = mitigate.weights_from_contingency(ct, [])
     orig = parity.parity_metrics(ct)
     rew = parity.parity_metrics(mitigate.weighted_contingency(ct, weights), weighted=True)
     rct = (long.groupBy("attribute", "g", F.col("approved").alias("y"), F.col("decision").alias("yhat"))
@@ -617,11 +635,12 @@ def q_performance_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     -> P16 bins -> T1 split -> per split, label parity before and after
     reweighing (M1 fitted per split), decision parity (AOD, EOD, Theil; the
     reweighed ones with weights) and scores of the decisions -> R1 matrix of
-    metric x attribute. One contingency job carries all of it."""
+    metric x attribute. Weights, metrics and scores all come from one
+    contingency table."""
     df = prep.exclude_where(views.labelled_year(spark, sf_dir))
     df = splits.stratified_split(prep.equal_width_bins(df))
     ct = parity.contingency(df, ATTRIBUTES, decision="rule_decision", by=["split"])
-    weights = mitigate.reweigh_weights(df, ATTRIBUTES, by=["split"])
+    weights = mitigate.weights_from_contingency(ct, ["split"])
     names = EXP_LABEL_METRICS + EXP_DECISION_METRICS
     orig = parity.metrics_long(parity.parity_metrics(ct, by=["split"]), by=["split"], metric_names=names)
     rew = parity.metrics_long(

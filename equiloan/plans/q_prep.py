@@ -51,7 +51,26 @@ def q_read_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = apps.select(*[F.col(c).alias(RAW_NAMES.get(c, c)) for c in apps.columns])
     path = shared_path(spark, "applications-csv")
     sinks.write_prepared(raw, path, fmt="csv", partition_by=None)
-    return src.read_applications(spark, path, fmt="csv")
+    return src.read_applications(spark, path, fmt="csv", missing="null").select(*APPS_COLS)
+
+
+UNCLEAN = ["NaN", "1e12", "Exempt", " 7 ", "3.0", ""]
+
+
+@register("read_unclean_numbers", W(
+    "SELECT application_id, CASE application_id % 6 WHEN 3 THEN 7 WHEN 4 THEN 3 END AS total_units, "
+    "CASE application_id % 6 WHEN 1 THEN 1e12 WHEN 3 THEN 7.0 WHEN 4 THEN 3.0 END AS income FROM applications"))
+def q_read_unclean_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 on unclean numbers: every application's units and income spelt as
+    ``NaN``, ``1e12``, ``Exempt``, blanks around a number, ``3.0`` or nothing,
+    written as CSV and scanned back; what is no number of the declared type is
+    null and the job goes on (NaN incomes count as missing)."""
+    spelt = F.element_at(F.array(*[F.lit(x) for x in UNCLEAN]), (F.col("application_id") % 6 + 1).cast("int"))
+    raw = views.applications(spark, sf_dir).select("application_id", spelt.alias("total_units"), spelt.alias("income"))
+    path = shared_path(spark, "unclean-csv")
+    sinks.write_prepared(raw, path, fmt="csv", partition_by=None)
+    got = src.read_applications(spark, path, fmt="csv", missing="null")
+    return got.select("application_id", "total_units", F.when(~F.isnan("income"), F.col("income")).alias("income"))
 
 
 @register("year_slice", W(f"SELECT application_id, activity_year, approved FROM labelled "

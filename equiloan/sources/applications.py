@@ -53,19 +53,19 @@ def _typed(df: DataFrame, missing: str) -> DataFrame:
             # Parse through string so that '1.0', ' 12 ' and 'Exempt' all behave.
             expr = F.expr(f"try_cast(trim(cast(`{raw}` as string)) as {field.dataType.simpleString()})")
             if isinstance(field.dataType, T.IntegerType):
-                expr = F.coalesce(expr, F.expr(f"cast(try_cast(trim(cast(`{raw}` as string)) as double) as int)"))
+                expr = F.coalesce(expr, F.expr(f"try_cast(try_cast(trim(cast(`{raw}` as string)) as double) as int)"))
         out.append(expr.alias(field.name))
     return df.select(*out)
 
 
 def read_applications(spark: SparkSession, path: str, fmt: str = "csv",
-                      missing: str = "skip", null_value: str = "NA") -> DataFrame:
+                      missing: str = "error", null_value: str = "NA") -> DataFrame:
     """Typed scan of the declared application columns out of a wider file.
 
     CSV is read as strings (no schema inference pass) and parsed per column;
     only the selected columns are parsed by the CSV reader. ``missing`` says
-    what to do with a declared column the file lacks: ``skip`` it, add a
-    ``null`` column, or raise an ``error``.
+    what to do with a declared column the file lacks: raise an ``error``
+    (default), add a ``null`` column, or ``skip`` it.
     """
     if fmt == "csv":
         df = (spark.read.option("header", True).option("nullValue", null_value)

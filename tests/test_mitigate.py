@@ -97,3 +97,15 @@ def test_repaired_long_equals_per_attribute_repair(spark):
         assert got.keys() == one.keys()
         for k in got:
             assert got[k] == pytest.approx(one[k])
+
+
+def test_weights_by_typed_keys(spark):
+    """Boolean, null and text ``by`` values get the weights of their own cells."""
+    rows = [(i, i % 2, (i // 6) % 2, [True, False, None][i % 3]) for i in range(240)]
+    df = spark.createDataFrame([(i, int(y), int(g), b) for i, g, y, b in rows], "id long, approved int, a50 int, part boolean")
+    for by in (F.col("part"), F.when(F.col("part"), "a|b").when(~F.col("part"), "a"), F.col("part").cast("int")):
+        d = df.withColumn("part", by)
+        w = mitigate.reweigh_weights(d, ["a50"], by=["part"])
+        out = mitigate.apply_weights(d, w, "a50", by=["part"])
+        assert out.count() == 240 and out.filter("weight is null").count() == 0
+        assert abs(out.agg(F.sum("weight")).first()[0] - 240) < 1e-6

@@ -85,3 +85,18 @@ def test_classification_scores(spark):
     assert s["precision"] == pytest.approx(2 / 3, abs=1e-6)
     assert s["recall"] == pytest.approx(2 / 3, abs=1e-6)
     assert s["f1"] == pytest.approx(2 / 3, abs=1e-6)
+
+
+def test_missing_decisions_enter_no_metric(spark):
+    rows = [(1, 1, 1, 1)] * 30 + [(1, 0, 0, 0)] * 30 + [(1, 1, 1, 0)] * 20 + [(1, 0, 0, 1)] * 20
+    rows += [(1, 1, None, 1)] * 200 + [(1, None, 1, 0)] * 100
+    df = spark.createDataFrame([(y, yh, g) for _, y, yh, g in rows], "approved int, d int, a50 int")
+    ct = parity.contingency(df, ["a50"], decision="d")
+    m = parity.parity_metrics(ct).first()
+    assert m["theil_index"] == 0 and m["n_privileged"] == 50 and m["n_unprivileged"] == 50
+    assert m["decision_rate_privileged"] == 0.6 and m["decision_rate_unprivileged"] == 0.4
+    assert parity.classification_scores(ct).first()["accuracy"] == 1
+    assert parity.binary_scores(df, "approved", "d").first()["accuracy"] == 1
+    acc = parity.multiclass_accuracy(df, "approved", "d").first()
+    assert (acc["n"], acc["accuracy"]) == (100, 1)
+    assert parity.excluded_rows(ct).first()["n_excluded"] == 300
