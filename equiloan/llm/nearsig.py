@@ -12,12 +12,16 @@ signatures, confirmed on the full shingle sets (operator 8).
    6, 2 errors: distance 17 of 36) two documents of similarity exactly 0.8 lie
    within the distance with probability 0.99995, more similar ones more surely.
 3. Keys held by several nodes are buckets. First every member of a bucket is
-   compared with the bucket's smallest node, as a star; then components are
-   formed, and only buckets that still hold several components compare the
-   rest of their pairs across components. So a bucket of n near copies costs
-   n comparisons, not n squared, and no link between different components is
-   lost. A pair is first held to the signature distance, then confirmed on the
-   two full sets; only confirmed pairs link.
+   compared with one pivot, as a star: the member that meets the most others
+   over all its buckets, which in a group of copies is the original they were
+   made from. Then components are formed, and only buckets that still hold
+   several components compare the rest of their pairs across components. So a
+   bucket of n near copies costs n comparisons, not n squared, and no link
+   between different components is lost. Such a pair is taken up in one of
+   the buckets it shares, is held to the signature distance and to a longer
+   signature (512 values of 4 bits, which a pair of similarity 0.8 fails with
+   a probability of 10^-6), and then confirmed on the two full sets. Only
+   confirmed pairs link.
 4. Connected components of the links; the smallest doc_id of each stays.
 
 Null and empty texts have an empty set (size 0) and link with nothing. A text
@@ -45,12 +49,15 @@ from equiloan.llm.textops import distinct, mix, span_hashes, texts, words
 PARTS, CHUNKS, ERRORS = 36, 6, 2
 #: Nodes whose ids may be broadcast to fetch their texts (40 bytes each);
 #: more are joined by a shuffle.
-BROADCAST_NODES = 200_000
+BROADCAST_NODES = 500_000
+#: Values of the long signature, and the standard deviations by which it may
+#: miss its expected agreement.
+LONG_PARTS, LONG_SLACK = 512, 4.75
 
 _RNG = np.random.default_rng(8)
 _STEP = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SCALE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
+_SCALE = _RNG.integers(0, 2**63, 256 + LONG_PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _RNG.integers(0, 2**64, 256 + LONG_PARTS, dtype=np.uint64)
 
 
 def shingle_sets(docs: list[bytes], width: int) -> list[np.ndarray]:
@@ -77,13 +84,33 @@ def shingle_sets(docs: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
+def _least(shingles: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    low = np.full(len(scale), np.uint64(2**64 - 1))
+    step = max(1, 150_000 // len(scale))
+    for at in range(0, len(shingles), step):
+        v = shingles[at: at + step, None] * scale[None, :] + shift[None, :]
+        np.minimum(low, v.min(axis=0), out=low)
+    return mix(low)
+
+
 def signature(shingles: np.ndarray, parts: int) -> np.ndarray:
     """``parts`` MinHash values, 16 bits of each."""
-    low = np.full(parts, np.uint64(2**64 - 1))
-    for at in range(0, len(shingles), 4096):
-        v = shingles[at: at + 4096, None] * _SCALE[None, :parts] + _SHIFT[None, :parts]
-        np.minimum(low, v.min(axis=0), out=low)
-    return (mix(low) >> np.uint64(48)).astype(np.uint16)
+    return (_least(shingles, _SCALE[:parts], _SHIFT[:parts]) >> np.uint64(48)).astype(np.uint16)
+
+
+def long_signature(shingles: np.ndarray) -> bytes:
+    """LONG_PARTS further MinHash values, 4 bits of each, two to a byte."""
+    v = (_least(shingles, _SCALE[256:], _SHIFT[256:]) >> np.uint64(60)).astype(np.uint8)
+    return (v[0::2] << 4 | v[1::2]).tobytes()
+
+
+_AGREE = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.int64)
+
+
+def long_floor(percent: int) -> float:
+    """The least agreement of long signatures that ``percent`` allows."""
+    q = percent / 100 + (1 - percent / 100) / 16
+    return LONG_PARTS * q - LONG_SLACK * (LONG_PARTS * q * (1 - q)) ** 0.5
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()),
@@ -116,7 +143,8 @@ def _sketch(width: int, parts: int):
 
 def index_keys(sig: np.ndarray, chunks: int, errors: int) -> np.ndarray:
     """(rows, keys) 64-bit keys of signatures (rows, parts): each chunk with
-    every choice of ``errors`` places left out."""
+    every choice of ``errors`` places left out. The low 10 bits number the
+    choice."""
     edges = np.linspace(0, sig.shape[1], chunks + 1).astype(int)
     wide = sig.astype(np.uint64)
     out = []
@@ -125,10 +153,23 @@ def index_keys(sig: np.ndarray, chunks: int, errors: int) -> np.ndarray:
             h = np.full(len(sig), len(out) + 1, np.uint64)
             for p in places:
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + wide[:, p])
-            out.append(h)
+            out.append(h >> np.uint64(10) << np.uint64(10) | np.uint64(len(out)))
     return np.stack(out, axis=1).view(np.int64)
 
 
+def first_shared(differ: np.ndarray, chunks: int, errors: int) -> np.ndarray:
+    """Number of the first key that signatures share, given where they differ
+    (rows, parts): the first choice of places that leaves out all differences
+    of its chunk."""
+    edges = np.linspace(0, differ.shape[1], chunks + 1).astype(int)
+    out, number = np.full(len(differ), 1 << 20), 0
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for places in combinations(range(a, b), max(b - a - errors, 1)):
+            out = np.minimum(out, np.where(differ[:, places].any(axis=1), 1 << 20, number))
+            number += 1
+    return out
+
+
 def _keys(parts: int, chunks: int, errors: int):
     def run(batches):
         for batch in batches:
@@ -144,30 +185,22 @@ def _keys(parts: int, chunks: int, errors: int):
 
 
 def _buckets(batches):
-    """Rows of runs of equal keys longer than one, with the run's first
-    (smallest) node; rows come sorted by key and node. Only the run's first
-    node is carried from batch to batch."""
-    last_key = pivot = None
-    waiting = False  # the run's first row is not out yet
+    """Rows of runs of equal keys longer than one; rows come sorted by key.
+    Only one row is carried from batch to batch."""
+    last_key = last_node = None
+    waiting = False  # the last row began a run and is not out yet
     for batch in batches:
         key, node = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "node"))
         if not len(key):
             continue
         start = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
-        follows = np.concatenate((~start[1:], [False]))
-        lead = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
-        pivots = np.where(lead >= 0, node[lead], pivot if pivot is not None else 0)
-        rows = ~start | follows
-        k, p, n = key[rows], pivots[rows], node[rows]
+        rows = ~start | np.concatenate((~start[1:], [False]))
+        k, n = key[rows], node[rows]
         if waiting and not start[0]:
-            k, p, n = (np.concatenate(([v], x)) for v, x in ((last_key, k), (pivot, p), (pivot, n)))
-            waiting = False
-        if start[-1]:
-            waiting = True
-        elif start.any():
-            waiting = False
-        last_key, pivot = key[-1], pivots[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p), pa.array(n)], names=["key", "pivot", "node"])
+            k, n = np.concatenate(([last_key], k)), np.concatenate(([last_node], n))
+        waiting = bool(start[-1])
+        last_key, last_node = key[-1], node[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "node"])
 
 
 def _near(parts: int, distance: int):
@@ -182,26 +215,51 @@ def _near(parts: int, distance: int):
     return run
 
 
-def _across(parts: int, distance: int):
-    """Pairs of different components within the signature distance, of runs of
-    equal keys (rows sorted by key); a run's signatures are held, 88 bytes a
-    row, and compared row against rows."""
+def _long(width: int):
+    def run(batches):
+        for batch in batches:
+            docs = texts(batch)
+            out = []
+            for a, b in text_chunks(docs):
+                out += [long_signature(s) for s in shingle_sets(docs[a:b], width)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("node")), pa.array(out, pa.binary())], names=["node", "long"])
+    return run
+
+
+def _across(parts: int, chunks: int, errors: int, floor: float):
+    """Pairs of different components within both signature bounds, of runs of
+    equal keys (rows sorted by key), each pair in the first key it shares. A
+    run's signatures are held, some 350 bytes a row; rows of its largest
+    component are only compared with the others."""
+    distance = chunks * (errors + 1) - 1
+
     def pairs(rows):
+        number = rows[0][0] & 1023
         node, comp = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, parts)
-        for i in range(len(rows) - 1):
+        long = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        values, counts = np.unique(comp, return_counts=True)
+        main = comp == values[np.argmax(counts)]
+        order = np.concatenate((np.flatnonzero(~main), np.flatnonzero(main)))
+        node, comp, sig, long = node[order], comp[order], sig[order], long[order]
+        for i in range(int((~main).sum())):
             rest = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
-            if len(rest):
-                hit = rest[(sig[rest] != sig[i]).sum(axis=1) <= distance]
-                if len(hit):
-                    yield np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])
+            differ = sig[rest] != sig[i]
+            ok = differ.sum(axis=1) <= distance
+            rest, differ = rest[ok], differ[ok]
+            ok = _AGREE[long[rest] ^ long[i]].sum(axis=1) >= floor
+            rest, differ = rest[ok], differ[ok]
+            hit = rest[first_shared(differ, chunks, errors) == number] if len(rest) else rest
+            if len(hit):
+                yield np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
             a, b = [], []
             for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist()
-                             for c in ("key", "node", "component", "sig")), strict=True):
+                             for c in ("key", "node", "component", "sig", "long")), strict=True):
                 if held and row[0] != held[0][0]:
                     for x, y in pairs(held):
                         a.append(x)
@@ -252,14 +310,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, parts: i
                   .select(F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"), F.col("x.sig").alias("sig"),
                           "hi", "lo"), "near-nodes")
     keyed = nodes.select("node", "sig").mapInArrow(_keys(parts, chunks, errors), "key long, node long")
-    buckets = stash(keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "node")
-                    .mapInArrow(_buckets, "key long, pivot long, node long"), "near-buckets")
+    buckets = stash(keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+                    .mapInArrow(_buckets, "key long, node long"), "near-buckets")
     sig = nodes.select("node", "sig")
     side = lambda c: sig.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    star = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(parts, distance), "a long, b long")
-    wanted = buckets.select("node").distinct().join(nodes.drop("sig"), "node")
-    if nodes.count() <= BROADCAST_NODES:
+    per_key = buckets.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
+    met = buckets.join(per_key, "key").groupBy("node").agg(F.sum("others").alias("met"))
+    pivots = (buckets.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("x"))).alias("p"))
+              .select("key", (-F.col("p.x")).alias("pivot")))
+    star = stash(buckets.join(pivots, "key").filter("node <> pivot")
+                 .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "near-star")
+    close = star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(parts, distance), "a long, b long")
+    wanted = stash(buckets.select("node").distinct().join(nodes.drop("sig"), "node"), "near-wanted")
+    if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
     bodies = stash(
         base.join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
@@ -271,7 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, parts: i
         return (pairs.join(body("b"), "b").join(body("a"), "a").select("a", "b", "text_a", "text_b")
                 .mapInArrow(_confirm(width, percent), "a long, b long"))
 
-    links = stash(confirmed(star), "near-links")
+    links = stash(confirmed(close), "near-links")
     # Rows that share an id are one document.
     placed = sketches.filter("sig is not null").join(nodes.select("hi", "lo", "node"), ["hi", "lo"])
     same = (placed.filter("doc_id is not null").groupBy("doc_id")
@@ -285,11 +348,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, parts: i
                 .select("key", "node", F.coalesce("component", "node").alias("component")))
     mixed = (labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
              .filter("x <> y").select("key"))
-    left = (labelled.join(mixed, "key").join(sig, "node").select("key", "node", "component", "sig")
-            .repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-            .mapInArrow(_across(parts, distance), "a long, b long").distinct())
-    tested = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    left = stash(left.join(tested, ["a", "b"], "left_anti"), "near-left")
+    longer = bodies.mapInArrow(_long(width), "node long, long binary")
+    inside = stash(labelled.join(mixed, "key"), "near-mixed")
+    both = stash(inside.select("node").distinct().join(sig, "node").join(longer, "node"), "near-long")
+    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = stash(inside.join(both, "node").select("key", "node", "component", "sig", "long")
+                 .repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+                 .mapInArrow(_across(parts, chunks, errors, long_floor(percent)), "a long, b long")
+                 .join(tested, ["a", "b"], "left_anti"), "near-left")
     more = stash(confirmed(left), "near-links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
