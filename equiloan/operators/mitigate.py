@@ -14,8 +14,9 @@ the original by ``level``. Our definition, for groups g and distinct values:
   previous one (leading ones from the next), mid(b) = mean over groups,
   repaired = (1 - level) * x + level * mid(b(x)).
 Null stays null; a feature whose group is empty is left unchanged. The rank
-is the exact bucketed running total of ``cumulative``: no task sorts more than
-about 200,000 distinct values of a group.
+is the exact bucketed running total of ``cumulative``. What the fit hands on are
+the buckets' edges, at most ``max_buckets`` per feature and group, and applying
+them is a lookup in a projection.
 """
 
 from __future__ import annotations
@@ -28,15 +29,13 @@ from pyspark.sql import functions as F
 from equiloan.functions.columns import round6, safe_div
 from equiloan.operators.cumulative import (
     buckets_for,
+    materialize,
     materialize_counted,
     quantile_buckets,
     running_total,
 )
 from equiloan.operators.parity import contingency
 
-BROADCAST_ROWS = 2_000_000
-
-
 # --- M1, M2: reweighing -------------------------------------------------------
 
 def weights_from_contingency(ct: DataFrame, by: list[str]) -> DataFrame:
@@ -124,11 +123,16 @@ def _feature_long(df: DataFrame, features: list[str], attribute: str) -> DataFra
             .filter(F.col("g").isNotNull() & F.col("value").isNotNull()))
 
 
-def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[str] | str, level: float = 1.0,
-                 max_buckets: int = 1000, coarse_buckets: int | None = None, with_size: bool = False):
-    """M3 fit: (attribute, feature, g, value) -> repaired value, for every
-    distinct value, for one or several protected attributes in one pipeline.
-    ``with_size`` also returns the table's row count (from the written files)."""
+def repair_edges(df: DataFrame, features: Iterable[str], attributes: Iterable[str] | str,
+                 max_buckets: int = 1000, coarse_buckets: int | None = None) -> DataFrame:
+    """M3 fit: one row per (attribute, g) with, for every feature, the upper
+    edges of the group's quantile buckets (``hi_<f>``), every ``BLOCK``-th of
+    them (``top_<f>``) and the bucket's median-distribution value
+    (``mid_<f>``). A value's bucket is monotone in the value within its group,
+    so the edges say everything the repair needs: at most ``max_buckets``
+    numbers per feature and group, whatever the number of distinct values.
+    ``max_buckets`` is the resolution of the quantiles (part of the
+    definition; the smaller group's size bounds it from above)."""
     features = list(features)
     attributes = [attributes] if isinstance(attributes, str) else list(attributes)
     keys = ["attribute", "feature", "g"]
@@ -141,9 +145,9 @@ def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[st
                      *[F.col(f).cast("double").alias(f) for f in features])
     by_value = (base.unpivot(ids=attributes, values=features, variableColumnName="feature", valueColumnName="value")
                 .filter(F.col("value").isNotNull()))
-    wide, wide_rows = materialize_counted(by_value.groupBy("feature", "value").agg(
+    features_rows, wide_rows = materialize_counted(by_value.groupBy("feature", "value").agg(
         *[F.count_if(F.col(a) == F.lit(g)).alias(f"c{i}") for i, (a, g) in enumerate(cells)]), "repair-dist")
-    wide = quantile_buckets(wide, ["feature"], "value",
+    wide = quantile_buckets(features_rows, ["feature"], "value",
                             coarse_buckets if coarse_buckets is not None else buckets_for(wide_rows))
     wcum = running_total(wide, ["feature"], "value", [f"c{i}" for i in range(len(cells))])
     stack = ", ".join(f"'{a}', {g}, c{i}, cum_c{i}" for i, (a, g) in enumerate(cells))
@@ -170,74 +174,60 @@ def repair_table(df: DataFrame, features: Iterable[str], attributes: Iterable[st
                                            F.first("m", ignorenulls=True).over(w_next)))
     # mid: at most attributes x features x max_buckets rows - a bounded broadcast.
     mid = filled.groupBy("attribute", "feature", "b").agg(F.avg("mf").alias("mid"))
+    edges = (ub.filter(F.col("ngroups") >= 2).groupBy(*keys, "b").agg(F.max("value").alias("hi"))
+             .join(F.broadcast(mid), ["attribute", "feature", "b"], "inner")
+             .groupBy("attribute", "g", "feature")
+             .agg(F.sort_array(F.collect_list(F.struct("b", "hi", "mid"))).alias("e")))
+    tops = F.transform(F.sequence(F.lit(1), F.floor(F.size("e") / F.lit(BLOCK)).cast("int")),
+                       lambda i: F.element_at("e", i * F.lit(BLOCK))["hi"])
+    edges = edges.select("attribute", "g", "feature", F.col("e.hi").alias("hi"), F.col("e.mid").alias("mid"),
+                         F.when(F.size("e") >= BLOCK, tops).otherwise(F.array().cast("array<double>")).alias("top"))
+    pick = lambda f, c: F.first(F.when(F.col("feature") == F.lit(f), F.col(c)), ignorenulls=True)
+    wide = edges.groupBy("attribute", "g").agg(
+        *[pick(f, c).alias(f"{c}_{i}") for i, f in enumerate(features) for c in ("hi", "top", "mid")])
+    return materialize(wide, "repair-edges")
+
+
+#: Edges are searched in two steps: among every BLOCK-th, then inside a block.
+BLOCK = 32
+
+
+def _repaired(x, i: int, level: float):
+    """The repaired value of column ``x`` given the arrays of feature ``i``."""
+    hi, top, mid = (F.col(f"{c}_{i}") for c in ("hi", "top", "mid"))
+    skip = F.size(F.filter(top, lambda t: t < x)) * F.lit(BLOCK)
+    place = skip + F.size(F.filter(F.slice(hi, skip + F.lit(1), F.lit(BLOCK)), lambda t: t < x)) + F.lit(1)
+    at = F.element_at(mid, F.least(place, F.size(hi)))
     lam = F.lit(float(level))
-    table = (ub.join(F.broadcast(mid), ["attribute", "feature", "b"], "left")
-             .select(*keys, "value",
-                     F.when(F.col("ngroups") < 2, F.col("value"))
-                     .otherwise((F.lit(1.0) - lam) * F.col("value") + lam * F.col("mid")).alias("repaired")))
-    # Fitted once; every lookup join reads the written table.
-    table, rows = materialize_counted(table, "repair-table")
-    return (table, rows) if with_size else table
+    return F.when(x.isNull() | hi.isNull(), x).otherwise((F.lit(1.0) - lam) * x + lam * at)
 
 
-def _maybe_broadcast(t: DataFrame, n_rows: int, limit: int) -> DataFrame:
-    return F.broadcast(t) if n_rows <= limit else t
+def _with_arrays(df: DataFrame, edges: DataFrame, features: list[str], attribute: str) -> DataFrame:
+    e = edges.filter(F.col("attribute") == F.lit(attribute)).drop("attribute").withColumnRenamed("g", "_g")
+    # Two rows: the groups' edges.
+    return df.join(F.broadcast(e), F.col(attribute).cast("int") == F.col("_g"), "left")
 
 
-def _feature_sizes(table: DataFrame, total: int, features: list[str], limit: int) -> dict[str, int]:
-    """Rows of the repair table per feature. When the whole table is under
-    the broadcast limit (its row count comes from the written files) every feature is;
-    only a larger table costs a counting pass."""
-    if total <= limit:
-        return {f: total for f in features}
-    return {r["feature"]: r["k"] for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()}
+def repaired_columns(df: DataFrame, edges: DataFrame, features: Iterable[str], attribute: str, level: float = 1.0,
+                     names: dict[str, str] | None = None) -> DataFrame:
+    """M3 transform: features (or new columns, given ``names``) with their
+    repaired values for ``attribute``: a lookup in the group's edges, which
+    come from a join with a table of two rows. The rows are not shuffled."""
+    features = list(features)
+    names = names or {f: f for f in features}
+    joined = _with_arrays(df, edges, features, attribute)
+    new = {names[f]: _repaired(F.col(f).cast("double"), i, level) for i, f in enumerate(features)}
+    return joined.withColumns(new).drop("_g", *[f"{c}_{i}" for i in range(len(features)) for c in ("hi", "top", "mid")])
 
 
 def repair_disparate_impact(df: DataFrame, features: Iterable[str], attribute: str, level: float = 1.0,
-                            max_buckets: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """M3: replace each feature by its repaired value; labels untouched.
-
-    The (g, value) -> repaired table has one row per distinct value. Its row
-    count is measured first; it is broadcast when under ``broadcast_rows``,
-    otherwise the join shuffles on (group, value) and AQE splits skewed values.
-    """
+                            max_buckets: int = 1000, coarse_buckets: int | None = None) -> DataFrame:
+    """M3: replace each feature by its repaired value; labels untouched. A
+    missing value, a row without group, and features of which one group has no
+    value stay as they are."""
     features = list(features)
-    table, total = repair_table(df, features, attribute, level, max_buckets, with_size=True)
-    sizes = _feature_sizes(table, total, features, broadcast_rows)
-    out = df
-    for f in features:
-        t = table.filter(F.col("feature") == F.lit(f)).select(
-            F.col("g").alias("_g"), F.col("value").alias("_x"), F.col("repaired").alias("_r"))
-        t = _maybe_broadcast(t, sizes.get(f, 0), broadcast_rows)
-        cond = [out[attribute].cast("int") == t["_g"], out[f].cast("double") == t["_x"]]
-        out = (out.join(t, cond, "left")
-               .withColumn(f, F.when(F.col(f).isNull(), F.col(f)).otherwise(F.coalesce(F.col("_r"), F.col(f))))
-               .drop("_g", "_x", "_r"))
-    return out
-
-
-def repaired_long(df: DataFrame, features: Iterable[str], attributes: Iterable[str], keep: Iterable[str],
-                  level: float = 1.0, max_buckets: int = 1000,
-                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """M3 for several attributes at once, in long form: one row per (input
-    row, attribute) with ``keep`` columns, ``attribute``, ``g`` and the
-    features repaired for that attribute. Lets one job score repaired data
-    for every attribute (R6, J4) instead of one pipeline per attribute."""
-    features, attributes, keep = list(features), list(attributes), list(keep)
-    table, total = repair_table(df, features, attributes, level, max_buckets, with_size=True)
-    sizes = _feature_sizes(table, total, features, broadcast_rows)
-    long = (df.select(*keep, *features, *[F.col(a).cast("int").alias(a) for a in attributes])
-            .unpivot(ids=[*keep, *features], values=attributes, variableColumnName="attribute", valueColumnName="g"))
-    for f in features:
-        t = table.filter(F.col("feature") == F.lit(f)).select(
-            F.col("attribute").alias("_a"), F.col("g").alias("_g"), F.col("value").alias("_x"),
-            F.col("repaired").alias("_r"))
-        t = _maybe_broadcast(t, sizes.get(f, 0), broadcast_rows)
-        cond = [long["attribute"] == t["_a"], long["g"] == t["_g"], long[f].cast("double") == t["_x"]]
-        long = (long.join(t, cond, "left")
-                .withColumn(f, F.when(F.col(f).isNull(), F.col(f)).otherwise(F.coalesce(F.col("_r"), F.col(f))))
-                .drop("_a", "_g", "_x", "_r"))
-    return long
+    return repaired_columns(df, repair_edges(df, features, attribute, max_buckets, coarse_buckets), features, attribute,
+                            level)
 
 
 def group_gap(df: DataFrame, features: Iterable[str], attribute: str, coarse_buckets: int | None = None) -> DataFrame:

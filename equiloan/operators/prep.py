@@ -136,14 +136,27 @@ def year_indicators(df: DataFrame, years: list[int] | None = None, col: str = "a
     return df.withColumns({f"{col}_{y}": flag(F.col(col) == F.lit(y)) for y in years})
 
 
+def no_missing(cols: Iterable[str]) -> Column:
+    """The predicate of P3: none of ``cols`` is null (or NaN)."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return cond
+
+
 def drop_missing(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Drop rows with a null in any of ``cols``."""
-    return df.dropna(subset=list(cols))
+    return df.filter(no_missing(cols))
+
+
+def has_valid_action(col: str = "action_taken", values=VALID_ACTIONS) -> Column:
+    """The predicate of P4: the action code is one of ``values``."""
+    return F.coalesce(F.col(col).isin(list(values)), F.lit(False))
 
 
 def valid_actions(df: DataFrame, col: str = "action_taken", values=VALID_ACTIONS) -> DataFrame:
     """Keep rows whose action code is one of ``values``."""
-    return df.filter(F.col(col).isin(list(values)))
+    return df.filter(has_valid_action(col, values))
 
 
 def recode_label(df: DataFrame, col: str = "action_taken", out: str = "approved") -> DataFrame:
@@ -276,6 +289,16 @@ def standardize(df: DataFrame, cols: Iterable[str], fit_on: DataFrame | None = N
 
 # --- P13-P16: exclusion, drops, retention, bins -----------------------------
 
+def not_excluded(columns: Iterable[str], conditions=CONDITIONS) -> Column:
+    """The predicate of P13 in ``drop`` mode: no condition on a column that is
+    present is met; a null code meets none."""
+    columns, cond = set(columns), F.lit(True)
+    for c, v in conditions:
+        if c in columns:
+            cond = cond & ~F.col(c).cast("string").eqNullSafe(F.lit(v))
+    return cond
+
+
 def exclude_where(df: DataFrame, conditions=CONDITIONS, mode: str = "drop") -> DataFrame:
     """For each (column, code) present, drop rows whose indicator
     ``<column>_<code>`` is 1 (mode ``drop``, as written), or keep only rows
@@ -286,9 +309,7 @@ def exclude_where(df: DataFrame, conditions=CONDITIONS, mode: str = "drop") -> D
         return df
     hits = [F.col(c).cast("string").eqNullSafe(F.lit(v)) for c, v in present]
     if mode == "drop":
-        cond = ~hits[0]
-        for h in hits[1:]:
-            cond = cond & ~h
+        cond = not_excluded(df.columns, conditions)
     elif mode == "keep":
         cond = hits[0]
         for h in hits[1:]:

@@ -19,6 +19,7 @@ from equiloan.plans import oracle as O
 from equiloan.plans import views
 from equiloan.plans.q_prep import CASCADE_SQL
 from equiloan.plans.registry import register
+from equiloan.sources import applications as src
 from equiloan.sources.standin import rule_decision
 
 R = O.R
@@ -266,20 +267,14 @@ def q_stage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and columns after each stage of the single-year experiment,
     counted in one pass over the applications."""
     apps = views.applications(spark, sf_dir)
-    not_null = F.lit(True)
-    for p in PREDICTORS:
-        not_null = not_null & F.col(p).isNotNull()
-    excl = F.lit(True)
-    for c, v in CONDITIONS:
-        excl = excl & ~F.col(c).eqNullSafe(F.lit(v))
-    labelled_cols = len(views.prepare(apps).columns)
+    labelled = views.prepare(apps)
     stages = [
         ("loaded", F.lit(True), len(apps.columns)),
-        ("dropped_missing", not_null, len(apps.columns)),
-        ("labelled", F.col("action_taken").isin(1, 2, 3), labelled_cols),
-        ("year_slice", F.col("activity_year") == SLICE_YEAR, labelled_cols),
-        ("excluded", excl, labelled_cols),
-        ("model_columns", F.lit(True), len(PREDICTORS) + 2),
+        ("dropped_missing", prep.no_missing(PREDICTORS), len(apps.columns)),
+        ("labelled", prep.has_valid_action(), len(labelled.columns)),
+        ("year_slice", src.in_year(SLICE_YEAR), len(labelled.columns)),
+        ("excluded", prep.not_excluded(apps.columns), len(labelled.columns)),
+        ("model_columns", F.lit(True), len(prep.retain(labelled, PREDICTORS).columns)),
     ]
     return describe.stage_audit(apps, stages)
 
@@ -452,16 +447,20 @@ def q_aligned_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULE_FEATURES = ["income", "loan_to_value_ratio"]
-MODEL_IDS = ["scorecard"] + [f"scorecard_repair_{a}" for a in ATTRIBUTES]
 
 
-def _repaired_decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(prepared table, long decisions (application_id, attribute, g, approved, decision)) of the
-    scorecard on features repaired for each attribute: one repair job for all."""
+def _repaired_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared table with the scorecard's decision on features repaired
+    for each attribute (``decision_scorecard_repair_<a>``): one repair fit for
+    all attributes, then columns computed from the same row."""
     df = views.labelled(spark, sf_dir)
-    long = mitigate.repaired_long(df, RULE_FEATURES, ATTRIBUTES, keep=["application_id", "approved"])
-    long = rule_decision(long, out="decision")
-    return df, long
+    edges = mitigate.repair_edges(df, RULE_FEATURES, ATTRIBUTES)
+    for a in ATTRIBUTES:
+        names = {f: f"_{f}" for f in RULE_FEATURES}
+        df = mitigate.repaired_columns(df, edges, RULE_FEATURES, a, names=names)
+        df = rule_decision(df, names["income"], names["loan_to_value_ratio"], f"decision_scorecard_repair_{a}").drop(
+            *names.values())
+    return df
 
 
 def _rep_long_sql() -> list[tuple[str, str]]:
@@ -486,14 +485,11 @@ def _rep_long_sql() -> list[tuple[str, str]]:
     + " FROM rd GROUP BY application_id) p USING (application_id)", *_rep_long_sql()))
 def q_attach_model_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of several models (the scorecard on original features,
-    and on features repaired for each attribute) as long predictions,
-    pivoted on the known model ids and joined to the table by key."""
-    df, long = _repaired_decisions(spark, sf_dir)
-    preds = long.select("application_id", F.concat(F.lit("scorecard_repair_"), F.col("attribute")).alias("model_id"),
-                        "decision")
-    orig = df.select("application_id", F.lit("scorecard").alias("model_id"), F.col("rule_decision").alias("decision"))
-    out = compose.attach_model_decisions(df.select("application_id", "approved"), orig.unionByName(preds), MODEL_IDS)
-    return out
+    and on features repaired for each attribute) beside the rows: one
+    projection of the same rows, no join or pivot of the table."""
+    df = _repaired_decisions(spark, sf_dir)
+    return df.select("application_id", "approved", F.col("rule_decision").alias("decision_scorecard"),
+                     *[f"decision_scorecard_repair_{a}" for a in ATTRIBUTES])
 
 
 @register("merge_result_tables", W(
@@ -571,12 +567,15 @@ def q_compare_mitigations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision parity of the scorecard on the original data, with
     reweighing weights, and on repaired features, per attribute, with the
     change each mitigation makes."""
-    df, long = _repaired_decisions(spark, sf_dir)
+    df = _repaired_decisions(spark, sf_dir)
     ct = parity.contingency(df, ATTRIBUTES)
     weights = mitigate.weights_from_contingency(ct, [])
     orig = parity.parity_metrics(ct)
     rew = parity.parity_metrics(mitigate.weighted_contingency(ct, weights), weighted=True)
-    rct = (long.groupBy("attribute", "g", F.col("approved").alias("y"), F.col("decision").alias("yhat"))
+    long = df.select("approved", F.explode(F.array(*[
+        F.struct(F.lit(a).alias("attribute"), F.col(a).cast("int").alias("g"),
+                 F.col(f"decision_scorecard_repair_{a}").alias("yhat")) for a in ATTRIBUTES])).alias("x"))
+    rct = (long.groupBy("x.attribute", "x.g", F.col("approved").alias("y"), "x.yhat")
            .agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("n").cast("double")))
     rep = parity.parity_metrics(rct)
     return report.compare_mitigations({"original": orig, "reweighed": rew, "repaired": rep},

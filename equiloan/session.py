@@ -3,6 +3,7 @@ the shared folder used to cut lineage or hand tables between jobs."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -40,8 +41,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     The folder the cluster names (``spark.checkpoint.dir``, or one already set
-    on the context) is used as it is. Only where none is set (local runs and
-    tests) is a fresh local folder created and set.
+    on the context) is used as it is. Only where none is set and the master is
+    local (tests, the bench) is a fresh local folder created and set; on a
+    cluster a folder of one machine would be lost to the others, so there the
+    setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="equiloan-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -57,7 +62,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh location under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    app = spark.sparkContext.applicationId
+    if app not in _HANDED_OUT:
+        atexit.register(release, spark)
+    _HANDED_OUT.setdefault(app, []).append(path)
+    return path
+
+
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has written to the
+    shared folder (their DataFrames cannot be read afterwards); returns how
+    many were there. Also runs when the interpreter ends with a live session."""
+    try:
+        paths = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+        hadoop = spark._jsc.hadoopConfiguration()
+        jvm, gone = spark._jvm, 0
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            gone += bool(path.getFileSystem(hadoop).delete(path, True))
+        return gone
+    except Exception:  # noqa: BLE001 - the session is gone already; its folder is the platform's to clean
+        return 0
+
+
+def table_version(spark: SparkSession, path: str) -> tuple:
+    """(path, length, time of change) of a table's files: tells whether an
+    input has changed."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(hadoop)
+    status = fs.getFileStatus(p)
+    files = list(fs.listStatus(p)) if status.isDirectory() else [status]
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:

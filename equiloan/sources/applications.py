@@ -75,10 +75,15 @@ def read_applications(spark: SparkSession, path: str, fmt: str = "csv",
     return _typed(df, missing)
 
 
+def in_year(year: int):
+    """The predicate of S2."""
+    return F.col("activity_year") == F.lit(year)
+
+
 def year_slice(df: DataFrame, year: int) -> DataFrame:
     """Rows of one activity year. On a table written partitioned by year
     this prunes whole directories; on Parquet it is a pushed-down filter."""
-    return df.filter(F.col("activity_year") == F.lit(year))
+    return df.filter(in_year(year))
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str], fmt: str = "parquet") -> DataFrame:

@@ -32,13 +32,26 @@ def contingency_stream(spark: SparkSession, source_dir: str, schema: T.StructTyp
 def run_monitor(spark: SparkSession, source_dir: str, schema: T.StructType, metrics_path: str,
                 checkpoint_path: str, fmt: str = "parquet", files_per_trigger: int = 1) -> str:
     """Process every file available now, keeping ``metrics_path`` up to date
-    after each micro-batch; returns ``metrics_path``."""
+    after each micro-batch; returns the folder of the last batch's metrics.
+
+    Every micro-batch writes a folder of its own (``batch=<id>``, overwritten
+    only by a retry of the same batch), so a reader always finds the complete
+    metrics of the batch before while the next one is written."""
     ct = contingency_stream(spark, source_dir, schema, fmt, files_per_trigger)
 
     def write_metrics(batch: DataFrame, epoch_id: int) -> None:
-        parity.parity_metrics(batch).write.mode("overwrite").parquet(metrics_path)
+        parity.parity_metrics(batch).write.mode("overwrite").parquet(f"{metrics_path}/batch={epoch_id}")
 
     q = (ct.writeStream.outputMode("complete").foreachBatch(write_metrics)
          .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
     q.awaitTermination()
-    return metrics_path
+    return latest_metrics(spark, metrics_path)
+
+
+def latest_metrics(spark: SparkSession, metrics_path: str) -> str:
+    """The folder of the last batch that was written completely."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(metrics_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [f.getPath() for f in fs.listStatus(path)
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return max(done, key=lambda p: int(p.getName().split("=")[1])).toString()

@@ -87,16 +87,29 @@ def test_repair_with_one_group_is_identity(spark):
     assert a == b
 
 
-def test_repaired_long_equals_per_attribute_repair(spark):
+def test_one_fit_for_several_attributes(spark):
+    """One fit for all attributes gives each attribute's own repair, also as
+    new columns and with several blocks and buckets of edges."""
     df = _df(spark).withColumn("b", (F.col("application_id") % 3 == 0).cast("int"))
-    long = mitigate.repaired_long(df, ["x"], ["a", "b"], keep=["application_id"])
-    for attr in ("a", "b"):
-        one = {r[0]: r[1] for r in mitigate.repair_disparate_impact(df, ["x"], attr)
-               .select("application_id", "x").collect()}
-        got = {r[0]: r[1] for r in long.filter(F.col("attribute") == attr).select("application_id", "x").collect()}
-        assert got.keys() == one.keys()
-        for k in got:
-            assert got[k] == pytest.approx(one[k])
+    edges = mitigate.repair_edges(df, ["x"], ["a", "b"], coarse_buckets=7)
+    for attr in ["a", "b"]:
+        one = {r[0]: r[1] for r in mitigate.repair_disparate_impact(df, ["x"], attr).select("application_id", "x").collect()}
+        new = mitigate.repaired_columns(df, edges, ["x"], attr, names={"x": "x2"})
+        assert {r[0]: r[1] for r in new.select("application_id", "x2").collect()} == one
+        assert new.columns == [*df.columns, "x2"]
+
+
+def test_repair_resolution_follows_the_parameter(spark):
+    df = _df(spark)
+    fine, coarse = (mitigate.repair_disparate_impact(df, ["x"], "a", max_buckets=n).select("x").distinct().count()
+                    for n in (200, 5))
+    assert coarse <= 5 < fine
+
+
+def test_repair_plan_does_not_shuffle_the_rows(spark):
+    df = _df(spark)
+    plan = mitigate.repair_disparate_impact(df, ["x"], "a")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
 
 
 def test_weights_by_typed_keys(spark):

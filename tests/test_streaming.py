@@ -30,7 +30,7 @@ def test_stream_restarts_from_checkpoint(spark, tmp_path):
     metrics, ckpt = str(tmp_path / "metrics"), str(tmp_path / "ckpt")
     run_monitor(spark, str(src / "*"), schema, metrics, ckpt)
     second.write.parquet(str(src / "b"))
-    run_monitor(spark, str(src / "*"), schema, metrics, ckpt)   # resumes: only new files are read
-    got = {r["attribute"]: r["n_unprivileged"] + r["n_privileged"] for r in spark.read.parquet(metrics).collect()}
+    out = run_monitor(spark, str(src / "*"), schema, metrics, ckpt)   # resumes: only new files are read
+    got = {r["attribute"]: r["n_unprivileged"] + r["n_privileged"] for r in spark.read.parquet(out).collect()}
     n = views.prepare(apps).count()
     assert set(got.values()) == {n}
