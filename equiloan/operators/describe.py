@@ -1,15 +1,18 @@
 """Descriptive statistics and counts.
 
-Quartiles are exact and distributed (``cumulative.exact_quantiles``), not the
-``percentile`` aggregate, which gathers a group's values in one task;
-``approx=True`` switches to ``percentile_approx`` sketches.
+Quartiles are exact and distributed, not the ``percentile`` aggregate, which
+gathers a group's values in one task. One aggregation gives the plain
+statistics and, from quantile sketches, a narrow bracket around every wanted
+position; a second counts the rows below each bracket; the few values inside
+the brackets are then ranked. Nothing of the table's size is written or
+shuffled. ``approx=True`` takes the sketches' values instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiloan.constants import CONDITIONS, DENIAL_CODES, DENIAL_SLOTS
@@ -20,51 +23,110 @@ STATS = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 PROBS = [0.25, 0.5, 0.75]
 
 
-def describe_long(df: DataFrame, cols: Iterable[str], scope: Column, approx: bool = False,
-                  buckets: int | None = None) -> DataFrame:
+#: 1 / relative rank error of the sketches; brackets are four errors wide.
+SKETCH_ACCURACY = 5000
+
+
+def describe_scopes(df: DataFrame, cols: Iterable[str], scope: Column | None = None, overall: str | None = None,
+                    approx: bool = False) -> DataFrame:
     """G1-G3 core: (predictor, scope) -> count, mean, sd (sample), min,
-    quartiles, max. ``scope`` is an array<string> column: each row counts in
-    every scope it lists (e.g. its year and "All_years"), so grouping sets
-    cost one Expand, not one scan per scope."""
+    quartiles, max, for every value of ``scope`` (null: in none) and, named
+    ``overall``, for all rows. Scopes are few (years, splits): their sketches,
+    one row per scope, are fetched."""
     cols = list(cols)
-    long = (df.select(F.explode(scope).alias("scope"), *[F.col(c).cast("double").alias(c) for c in cols])
+    spark = df.sparkSession
+    base = df.select((scope if scope is not None else F.lit(None)).cast("string").alias("_s"),
+                     *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    slack = 2.0 / SKETCH_ACCURACY
+    probs = [q for p in PROBS for q in (max(p - slack, 0.0), p, min(p + slack, 1.0))]
+    aggs = []
+    for i in range(len(cols)):
+        c = F.col(f"_c{i}")
+        aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"d{i}"),
+                 F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}"),
+                 F.percentile_approx(c, F.array(*[F.lit(q) for q in probs]), F.lit(SKETCH_ACCURACY)).alias(f"q{i}")]
+    found = base.rollup("_s").agg(F.grouping("_s").alias("_all"), F.count(F.lit(1)).alias("_rows"), *aggs).collect()
+    rows, brackets = [], []
+    for r in found:
+        name = overall if r["_all"] else r["_s"]
+        if name is None or not r["_rows"]:
+            continue
+        for i, c in enumerate(cols):
+            q = r[f"q{i}"]
+            rows.append((c, name, r[f"n{i}"], r[f"a{i}"], r[f"d{i}"], r[f"l{i}"],
+                         *([None] * 3 if q is None or not approx else [q[1], q[4], q[7]]), r[f"h{i}"]))
+            if q is not None and not approx:
+                for j, p in enumerate(PROBS):
+                    low = r[f"l{i}"] if probs[3 * j] == 0 else q[3 * j]
+                    pos = p * (r[f"n{i}"] - 1)
+                    brackets.append((i, None if r["_all"] else name, j, float(low), float(q[3 * j + 2]), int(pos),
+                                     min(int(pos) + 1, r[f"n{i}"] - 1), pos - int(pos), c, name))
+    table = spark.createDataFrame(rows, "predictor string, scope string, count long, mean double, std double, min double, "
+                                        "q25 double, q50 double, q75 double, max double")
+    if brackets:
+        found = _ranked(base, brackets)
+        if found is None:  # a sketch outside its promise: rank everything
+            found = _all_ranked(base, cols, overall)
+        table = table.drop("q25", "q50", "q75").join(found, ["predictor", "scope"], "left")
+    return table.select("predictor", "scope", "count",
+                        *[round6(c).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
+
+
+def _ranked(base: DataFrame, brackets: list[tuple]) -> DataFrame | None:
+    """Exact quartiles from the brackets (column, scope or None for all rows,
+    quartile, low, high, ranks of the two order statistics, fraction, names);
+    None if a rank is not inside its bracket."""
+    spark = base.sparkSession
+    mine = lambda b: F.lit(True) if b[1] is None else F.col("_s").eqNullSafe(F.lit(b[1]))
+    below = base.agg(*[F.count_if(mine(b) & (F.col(f"_c{b[0]}") < F.lit(b[3]))).alias(f"b{k}")
+                       for k, b in enumerate(brackets)]).first()
+    keys = spark.createDataFrame(
+        [(k, b[2], int(below[f"b{k}"]), b[5], b[6], b[7], b[8], b[9]) for k, b in enumerate(brackets)],
+        "k int, quartile int, below long, r0 long, r1 long, part double, predictor string, scope string")
+    inside = F.array_compact(F.array(*[
+        F.when(mine(b) & F.col(f"_c{b[0]}").between(F.lit(b[3]), F.lit(b[4])),
+               F.struct(F.lit(k).alias("k"), F.col(f"_c{b[0]}").alias("value"))) for k, b in enumerate(brackets)]))
+    counts = (base.select(F.explode(inside).alias("x")).groupBy("x.k", "x.value").agg(F.count(F.lit(1)).alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).join(F.broadcast(keys), "k")  # one row per bracket
+    holds = lambda r: ((F.col("below") + F.col("upto") - F.col("n") <= F.col(r))
+                       & (F.col(r) < F.col("below") + F.col("upto")))
+    got = ranked.groupBy("predictor", "scope", "quartile", "part").agg(
+        F.max(F.when(holds("r0"), F.col("value"))).alias("v0"), F.max(F.when(holds("r1"), F.col("value"))).alias("v1"))
+    rows = got.collect()  # one row per bracket
+    if len(rows) < len(brackets) or any(r["v0"] is None or r["v1"] is None for r in rows):
+        return None
+    out: dict[tuple, list] = {}
+    for r in rows:
+        out.setdefault((r["predictor"], r["scope"]), [None] * 3)[r["quartile"]] = (
+            r["v0"] + (r["v1"] - r["v0"]) * r["part"])
+    return spark.createDataFrame([(*k, *v) for k, v in out.items()],
+                                 "predictor string, scope string, q25 double, q50 double, q75 double")
+
+
+def _all_ranked(base: DataFrame, cols: list[str], overall: str | None) -> DataFrame:
+    scopes = F.array_compact(F.array(F.col("_s"), F.lit(overall).cast("string")))
+    long = (base.select(F.explode(scopes).alias("scope"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])
             .unpivot(ids=["scope"], values=cols, variableColumnName="predictor", valueColumnName="value"))
-    basic = long.groupBy("predictor", "scope").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    if approx:
-        q = long.groupBy("predictor", "scope").agg(
-            F.percentile_approx("value", PROBS, 10000).alias("_q")).select(
-            "predictor", "scope", *[F.col("_q")[i].alias(f"q{int(p * 100)}") for i, p in enumerate(PROBS)])
-    else:
-        q = exact_quantiles(long, ["predictor", "scope"], "value", PROBS, buckets=buckets,
-                            names=["q25", "q50", "q75"])
-    out = basic.join(q, ["predictor", "scope"], "left")
-    return out.select("predictor", "scope", "count",
-                      *[round6(c).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
-
-
-def year_scopes(years: list[int], col: str = "activity_year", overall: str = "All_years") -> Column:
-    """array(activity_year_<y> if the row's year is listed, 'All_years')."""
-    y = F.col(col)
-    return F.array_compact(F.array(
-        F.when(y.isin(list(years)), F.concat(F.lit(f"{col}_"), y.cast("string"))),
-        F.lit(overall)))
+    return exact_quantiles(long, ["predictor", "scope"], "value", PROBS, names=["q25", "q50", "q75"])
 
 
-def describe_by_year(df: DataFrame, cols: Iterable[str], years: list[int], approx: bool = False) -> DataFrame:
+def describe_by_year(df: DataFrame, cols: Iterable[str], years: list[int], approx: bool = False,
+                     col: str = "activity_year") -> DataFrame:
     """G1 + G2: per predictor, statistics for each listed year and over all years."""
-    return describe_long(df, cols, year_scopes(years), approx=approx)
+    y = F.col(col)
+    scope = F.when(y.isin(list(years)), F.concat(F.lit(f"{col}_"), y.cast("string")))
+    return describe_scopes(df, cols, scope, "All_years", approx)
+
+
+def describe_overall(df: DataFrame, cols: Iterable[str], approx: bool = False) -> DataFrame:
+    """The same statistics over all rows."""
+    return describe_scopes(df, cols, None, "All_years", approx)
 
 
 def describe_splits(df: DataFrame, col: str, split: str = "split", approx: bool = False) -> DataFrame:
     """One column described over all rows and per split."""
-    scope = F.array(F.lit("all"), F.col(split).cast("string"))
-    return describe_long(df, [col], scope, approx=approx)
+    return describe_scopes(df, [col], F.col(split), "all", approx)
 
 
 def side_by_side(desc: DataFrame, scopes: list[str]) -> DataFrame:

@@ -193,7 +193,7 @@ _ol, _os = _describe_sql("dropped", [("'All_years'", "")], PREDICTORS)
 def q_describe_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same statistics over all years only."""
     df = prep.drop_missing(views.applications(spark, sf_dir), PREDICTORS)
-    return describe.describe_long(df, PREDICTORS, F.array(F.lit("All_years")))
+    return describe.describe_overall(df, PREDICTORS)
 
 
 _sl, _ss = _describe_sql("splitted", [("'all'", ""), ("split", "")], ["tract_minority_population_percent"])

@@ -65,14 +65,34 @@ def test_results_matrix_and_energy(spark):
 
 def test_describe_approx_close_to_exact(spark):
     df = spark.range(1, 2001).select((F.col("id") * 1.5).alias("x"))
-    scope = F.array(F.lit("all"))
-    ex = describe.describe_long(df, ["x"], scope).first()
-    ap = describe.describe_long(df, ["x"], scope, approx=True).first()
+    ex = describe.describe_overall(df, ["x"]).first()
+    ap = describe.describe_overall(df, ["x"], approx=True).first()
     assert ex["q50"] == pytest.approx(1500.75)
     assert ap["q50"] == pytest.approx(ex["q50"], rel=0.01)
     assert ex["count"] == 2000 and ex["std"] == pytest.approx(866.17, rel=1e-3)
 
 
+@pytest.mark.parametrize("ranked", [True, False])
+def test_describe_is_exact_with_ties_nulls_and_scopes(spark, monkeypatch, ranked):
+    """Also where the sketches' brackets have to be given up."""
+    import numpy as np
+
+    if not ranked:
+        monkeypatch.setattr(describe, "_ranked", lambda base, brackets: None)
+    rng = np.random.default_rng(3)
+    rows = [(["p", "q", None][int(rng.integers(0, 3))], float(rng.integers(0, 40)), None if rng.random() < 0.3 else float(rng.normal()))
+            for _ in range(3000)] + [("solo", 5.0, None)]
+    df = spark.createDataFrame(rows, "s string, x double, y double")
+    got = {(r["predictor"], r["scope"]): r for r in describe.describe_scopes(df, ["x", "y"], F.col("s"), "every").collect()}
+    assert set(got) == {(c, s) for c in "xy" for s in ("p", "q", "solo", "every")}
+    for (c, s), r in got.items():
+        v = [x for k, *xy in rows for x in [xy["xy".index(c)]] if x is not None and s in (k, "every")]
+        assert r["count"] == len(v)
+        for name, p in (("min", 0), ("q25", 25), ("q50", 50), ("q75", 75), ("max", 100)):
+            assert (r[name] is None) if not v else abs(r[name] - np.percentile(v, p)) < 2e-6
+    assert describe.describe_overall(df.filter("x < 0"), ["x"]).count() == 0
+
+
 def test_write_report_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([("a40", 0.25, None)], "attribute string, v double, w double")
     path = str(tmp_path / "rep")
