@@ -20,8 +20,9 @@ signatures, confirmed on the full shingle sets (operator 8).
    between different components is lost. Such a pair is taken up in one of
    the buckets it shares, is held to the signature distance and to a longer
    signature (512 values of 4 bits, which a pair of similarity 0.8 fails with
-   a probability of 10^-6), and then confirmed on the two full sets. Only
-   confirmed pairs link.
+   a probability of 10^-6), and then confirmed on the two full sets; of each two
+   components the most alike pair goes first, and only where it does not
+   link the others follow. Only confirmed pairs link.
 4. Connected components of the links; the smallest doc_id of each stays.
 
 Null and empty texts have an empty set (size 0) and link with nothing. A text
@@ -248,29 +249,37 @@ def _across(parts: int, chunks: int, errors: int, floor: float):
             differ = sig[rest] != sig[i]
             ok = differ.sum(axis=1) <= distance
             rest, differ = rest[ok], differ[ok]
-            ok = _AGREE[long[rest] ^ long[i]].sum(axis=1) >= floor
-            rest, differ = rest[ok], differ[ok]
-            hit = rest[first_shared(differ, chunks, errors) == number] if len(rest) else rest
+            agree = _AGREE[long[rest] ^ long[i]].sum(axis=1)
+            ok = agree >= floor
+            rest, differ, agree = rest[ok], differ[ok], agree[ok]
+            ok = first_shared(differ, chunks, errors) == number if len(rest) else ok[:0]
+            hit = rest[ok]
             if len(hit):
-                yield np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])
+                swap = node[hit] < node[i]
+                a, b = np.where(swap, node[hit], node[i]), np.where(swap, node[i], node[hit])
+                x, y = np.minimum(comp[i], comp[hit]), np.maximum(comp[i], comp[hit])
+                yield a, b, x, y, agree[ok]
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            a, b = [], []
+            out = []
             for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist()
                              for c in ("key", "node", "component", "sig", "long")), strict=True):
                 if held and row[0] != held[0][0]:
-                    for x, y in pairs(held):
-                        a.append(x)
-                        b.append(y)
+                    out.extend(pairs(held))
                     held = []
                 held.append(row)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))],
-                                                 names=["a", "b"])
-        for x, y in pairs(held) if held else ():
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            if out:
+                yield table(out)
+        out = list(pairs(held)) if held else []
+        if out:
+            yield table(out)
+
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)],
+                                          names=["a", "b", "x", "y", "agree"])
+
     return run
 
 
@@ -354,11 +363,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, parts: i
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = stash(inside.join(both, "node").select("key", "node", "component", "sig", "long")
                  .repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-                 .mapInArrow(_across(parts, chunks, errors, long_floor(percent)), "a long, b long")
+                 .mapInArrow(_across(parts, chunks, errors, long_floor(percent)),
+                             "a long, b long, x long, y long, agree long")
                  .join(tested, ["a", "b"], "left_anti"), "near-left")
-    more = stash(confirmed(left), "near-links")
+    # Of each two components the most alike pair first: where it links, the
+    # others need no comparing.
+    best = stash(left.groupBy("x", "y").agg(F.max(F.struct("agree", "a", "b")).alias("p"))
+                 .select("p.a", "p.b", "x", "y"), "near-best")
+    joined = stash(confirmed(best.select("a", "b")), "near-links")
+    if not joined.isEmpty():
+        # Components of components; only the labels change.
+        merged = connected_components(best.join(joined, ["a", "b"], "left_semi")
+                                      .select(F.col("x").alias("a"), F.col("y").alias("b")))
+        merged = merged.select(F.col("node").alias("_c"), F.col("component").alias("_m"))
+        whole = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        found = stash(whole.join(merged, F.col("component") == F.col("_c"), "left")
+                      .select("node", F.coalesce("_m", "component").alias("component")), "near-found")
+        label = lambda c: merged.select(F.col("_c").alias(c), F.col("_m").alias(f"m{c}"))
+        left = (left.join(label("x"), "x", "left").join(label("y"), "y", "left")
+                .filter(F.coalesce("mx", "x") != F.coalesce("my", "y")).select("a", "b"))
+    rest = stash(left.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
+    more = stash(confirmed(rest), "near-links")
     if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
+        found = connected_components(links.unionByName(joined).unionByName(more))
 
     rows = (sketches.join(nodes.select("hi", "lo", "node"), ["hi", "lo"], "left")
             .join(found, "node", "left")
