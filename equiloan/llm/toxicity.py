@@ -12,7 +12,8 @@ that term instead, which stops the model from memorising positives.
 
 Features are indicators of hashed words, word openings (4 and 5 bytes) and word
 pairs of the lower-cased text, restricted to those that are more frequent in
-positives than the prior and chance explain. A document's margin is a sum over
+positives than the prior and chance explain, near copies in the samples counted
+once. A document's margin is a sum over
 the distinct features it holds, so one insult counts the same in a short and in
 a very long text.
 
@@ -67,6 +68,47 @@ def token_features(docs: list[bytes], useful: np.ndarray | None = None) -> tuple
     return key // BUCKETS, key % BUCKETS
 
 
+BANDS, DEPTH = 8, 3
+
+
+def copy_keys(docs: list[bytes]) -> np.ndarray:
+    """(documents, BANDS) banded MinHash keys of each document's word pairs
+    (its words, if it has no pair): two texts that share four fifths of their
+    pairs share a key with a probability of 0.997, two that share a tenth with
+    0.01."""
+    data, starts, ends, owner = words([t.lower() for t in docs])
+    one = span_hashes(data, starts, ends)
+    pair = np.flatnonzero(owner[1:] == owner[:-1]) if len(one) > 1 else np.zeros(0, np.int64)
+    alone = np.flatnonzero(np.bincount(owner, minlength=len(docs))[owner] == 1) if len(one) else pair
+    at = np.sort(np.concatenate((pair, alone)))
+    following = np.where(np.isin(at, alone), np.uint64(0), one[np.minimum(at + 1, max(len(one) - 1, 0))])
+    x, row = mix(one[at] * np.uint64(3) + following), owner[at]
+    out = np.zeros((len(docs), BANDS), np.uint64)
+    if len(x):
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        rng = np.random.default_rng(11)
+        for b in range(BANDS):
+            key = np.full(len(first), b + 1, np.uint64)
+            for _ in range(DEPTH):
+                scale, shift = rng.integers(1, 2**63, 2, dtype=np.uint64)
+                low = np.minimum.reduceat(mix(x * (scale * np.uint64(2) + np.uint64(1)) + shift), first)
+                key = mix(key * np.uint64(31) + low)
+            out[row[first], b] = key
+    return out
+
+
+def apart(label: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Mask of rows that are no near copy of an earlier row of their label. A
+    text that is copied many times would otherwise make all of its words look
+    typical of its label."""
+    keep, seen = np.ones(len(label), bool), set()
+    for i, (y, row) in enumerate(zip(label.tolist(), keys.tolist(), strict=True)):
+        own = {(y, b, k) for b, k in enumerate(row) if k}
+        keep[i] = bool(own) and not own & seen
+        seen |= own
+    return keep
+
+
 def _rows(batches):
     for batch in batches:
         docs = texts(batch)
@@ -77,34 +119,40 @@ def _rows(batches):
             body = bucket.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [label.slice(a, b - a),
-                 pa.array([body[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                names=["label", "x"])
+                 pa.array([body[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                 pa.array([k.tobytes() for k in copy_keys(docs[a:b])], pa.binary())],
+                names=["label", "x", "keys"])
 
 
 def collect_rows(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(label, flat buckets, row bounds) of a bounded sample (text, label), in
-    an order that does not depend on how the rows arrive."""
-    got = sample.select("text", "label").mapInArrow(_rows, "label int, x binary").toArrow()
-    rows = sorted(zip(got.column("label").to_pylist(), got.column("x").to_pylist(), strict=True))
+    """(label, flat buckets, row bounds) of a bounded sample (text, label)
+    without near copies, in an order that does not depend on how the rows
+    arrive."""
+    got = sample.select("text", "label").mapInArrow(_rows, "label int, x binary, keys binary").toArrow()
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("label", "x", "keys")), strict=True))
+    keys = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, BANDS)
+    rows = [r for r, own in zip(rows, apart(np.array([r[0] for r in rows]), keys), strict=True) if own]
     label = np.array([r[0] for r in rows], np.int64)
     size = np.array([len(r[1]) // 4 for r in rows], np.int64)
     return label, np.frombuffer(b"".join(r[1] for r in rows), np.int32), np.concatenate(([0], np.cumsum(size)))
 
 
 def fit_pu(label: np.ndarray, flat: np.ndarray, bounds: np.ndarray, prior: float, steps: int = 400,
-           ridge: float = 1e-3, least: int = 3):
+           ridge: float = 1e-3, least: int = 3, chance: float = 1e-6):
     """(bucket weights as a dense vector, bias). ``label`` is 1 for positives
     and 0 for unlabelled rows."""
     row = np.repeat(np.arange(len(label)), np.diff(bounds))
     n_pos, n_unl = max(int((label == 1).sum()), 1), max(int((label == 0).sum()), 1)
     pos = np.bincount(flat[label[row] == 1], minlength=BUCKETS)
     unl = np.bincount(flat[label[row] == 0], minlength=BUCKETS)
-    # Kept: buckets whose frequency in positives clearly exceeds that in the
-    # rest of the unlabelled text.
+    # Kept: buckets that positives hold more often than the rest of the
+    # unlabelled text explains, by Chernoff's bound on the Poisson tail with
+    # the rest's rate taken two documents too high.
     a, b = pos / n_pos, unl / n_unl
     rest = np.maximum(b - prior * a, 0) / max(1 - prior, 1e-9)
-    spread = np.sqrt((a * (1 - a) + 1e-9) / n_pos + (b * (1 - b) + 1e-9) / n_unl)
-    keep = (pos >= least) & (a - rest > 3 * spread) & (a > 3 * rest)
+    expected = n_pos * (rest + 2 / n_unl)
+    tail = pos - expected - pos * np.log(np.maximum(pos, 1) / expected)
+    keep = (pos >= least) & (pos > 3 * expected) & (tail < np.log(chance))
     if keep.any():
         # What occurs in (nearly) no negative occurs in unlabelled text as
         # often as the prior says; a prior above that would have the model

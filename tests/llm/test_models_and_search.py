@@ -94,6 +94,17 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert key(got) == key(again)
 
 
+def test_near_copies_are_found():
+    rng = random.Random(8)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(60)], k=120)).encode() for _ in range(40)]
+    copies = [b.replace(b"w3 ", b"w4 ", 1) for b in base[:20]]
+    docs = [*base, *copies, b"", b"one", b"ONE", b"two words"]
+    keep = toxicity.apart(np.zeros(len(docs), int), toxicity.copy_keys(docs))
+    assert keep[:40].sum() >= 38 and keep[40:60].sum() <= 2
+    assert keep[60:].tolist() == [False, True, False, True]
+    assert np.array_equal(toxicity.copy_keys(docs)[41], toxicity.copy_keys([docs[41]])[0])
+
+
 def test_non_negative_risk_keeps_bias_sane():
     rng = np.random.default_rng(0)
     label = np.array([1] * 50 + [0] * 500)
