@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from equiloan.llm.runtime import ship, stash
 from equiloan.llm.textops import chunks, texts, words
 
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 10_000
 FAN = 64
 _SIZES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("mark", pa.int64()), ("size", pa.int64())])
 
