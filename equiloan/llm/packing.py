@@ -176,6 +176,22 @@ def _price(dual: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(value[capacity]), pattern
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots. These matrices are small: a threaded
+    library's threads would wait for each other longer than they work."""
+    n = len(a)
+    w = np.hstack([a, np.eye(n)])
+    for k in range(n):
+        p = k + int(np.argmax(np.abs(w[k:, k])))
+        if p != k:
+            w[[k, p]] = w[[p, k]]
+        w[k] /= w[k, k]
+        rest = w[:, k].copy()
+        rest[k] = 0
+        w -= rest[:, None] * w[k]
+    return w[:, n:]
+
+
 def solve(counts: np.ndarray, steps: int = 4000) -> list[tuple[int, np.ndarray]]:
     """(uses, pattern) covering exactly ``counts[k]`` items of k + 1 units in
     sequences of ``len(counts)`` units. ``steps`` bounds the simplex steps; a
@@ -189,18 +205,18 @@ def solve(counts: np.ndarray, steps: int = 4000) -> list[tuple[int, np.ndarray]]
     basis = np.zeros((m, m))
     basis[np.arange(m), np.arange(m)] = capacity // (need + 1)
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand[need]
+    x = (inverse * demand[need]).sum(axis=1)
     for step in range(steps):
         if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand[need], 0)
+            inverse = _inverse(basis)
+            x = np.maximum((inverse * demand[need]).sum(axis=1), 0)
         dual = np.full(capacity, -1.0)
         dual[need] = inverse.sum(axis=0)
         best, pattern = _price(np.where(dual > 1e-12, dual, -1.0), capacity)
         if best <= 1 + 1e-7:
             break
         column = pattern[need].astype(float)
-        along = inverse @ column
+        along = (inverse * column).sum(axis=1)
         ok = along > 1e-10
         if not ok.any():
             break
