@@ -382,8 +382,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, parts: i
         label = lambda c: merged.select(F.col("_c").alias(c), F.col("_m").alias(f"m{c}"))
         left = (left.join(label("x"), "x", "left").join(label("y"), "y", "left")
                 .filter(F.coalesce("mx", "x") != F.coalesce("my", "y")).select("a", "b"))
-    rest = stash(left.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
-    more = stash(confirmed(rest), "near-links")
+    # (Most alike pairs that did not link are few; they may be tried again.)
+    more = stash(confirmed(left.select("a", "b")), "near-links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(joined).unionByName(more))
 
