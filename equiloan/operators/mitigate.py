@@ -9,14 +9,16 @@ Repair (after Feldman et al. 2015) moves each feature value to the same
 within-group quantile of the "median" distribution of the groups, mixed with
 the original by ``level``. Our definition, for groups g and distinct values:
   u = (cum - n/2) / N_g (mid-rank quantile; ties share one u),
-  bucket b = min(floor(u * B), B - 1), B = min(max_buckets, smallest group),
+  bucket b = min(floor(u * B), B - 1), B = the smallest group's size (or
+  ``max_buckets``, where a caller asks for a coarser repair),
   per (g, b) the count-weighted mean value, empty buckets filled from the
   previous one (leading ones from the next), mid(b) = mean over groups,
   repaired = (1 - level) * x + level * mid(b(x)).
 Null stays null; a feature whose group is empty is left unchanged. The rank
-is the exact bucketed running total of ``cumulative``. What the fit hands on are
-the buckets' edges, at most ``max_buckets`` per feature and group, and applying
-them is a lookup in a projection.
+is the exact bucketed running total of ``cumulative``. Up to ``ARRAY_EDGES``
+buckets, the fit hands on the buckets' edges as arrays and applying them is a
+lookup in a projection; above, it hands on a table of the distinct values and
+their targets that the rows join. Which of the two never changes a result.
 """
 
 from __future__ import annotations
@@ -124,15 +126,16 @@ def _feature_long(df: DataFrame, features: list[str], attribute: str) -> DataFra
 
 
 def repair_edges(df: DataFrame, features: Iterable[str], attributes: Iterable[str] | str,
-                 max_buckets: int = 1000, coarse_buckets: int | None = None) -> DataFrame:
+                 max_buckets: int | None = None, coarse_buckets: int | None = None) -> DataFrame:
     """M3 fit: one row per (attribute, g) with, for every feature, the upper
     edges of the group's quantile buckets (``hi_<f>``), every ``BLOCK``-th of
     them (``top_<f>``) and the bucket's median-distribution value
     (``mid_<f>``). A value's bucket is monotone in the value within its group,
-    so the edges say everything the repair needs: at most ``max_buckets``
-    numbers per feature and group, whatever the number of distinct values.
-    ``max_buckets`` is the resolution of the quantiles (part of the
-    definition; the smaller group's size bounds it from above)."""
+    so the edges say everything the repair needs. With more than
+    ``ARRAY_EDGES`` buckets in some feature: one row per (attribute, feature,
+    g, value) with its ``mid`` (null where the feature stays as it is).
+    The resolution of the quantiles is the smaller group's size; a
+    ``max_buckets`` below that gives a coarser repair."""
     features = list(features)
     attributes = [attributes] if isinstance(attributes, str) else list(attributes)
     keys = ["attribute", "feature", "g"]
@@ -156,24 +159,23 @@ def repair_edges(df: DataFrame, features: Iterable[str], attributes: Iterable[st
     tot = wide.selectExpr("feature", f"stack({len(cells)}, " + ", ".join(
         f"'{a}', {g}, c{i}" for i, (a, g) in enumerate(cells)) + ") as (attribute, g, n)") \
         .groupBy(*keys).agg(F.sum("n").alias("ng")).filter(F.col("ng") > 0)
-    per_feature = tot.groupBy("attribute", "feature").agg(
-        F.least(F.lit(max_buckets).cast("long"), F.min("ng")).alias("bb"),
-        F.count(F.lit(1)).alias("ngroups"))
-    sizes = tot.join(per_feature, ["attribute", "feature"], "inner")
+    bound = F.min("ng") if max_buckets is None else F.least(F.lit(max_buckets).cast("long"), F.min("ng"))
+    per_feature = tot.groupBy("attribute", "feature").agg(bound.alias("bb"), F.count(F.lit(1)).alias("ngroups"))
+    # At most 2 x attributes x features rows.
+    sizes = materialize(tot.join(per_feature, ["attribute", "feature"], "inner"), "repair-sizes")
+    largest = sizes.agg(F.max("bb")).first()[0] or 0
     u = safe_div(F.col("cum_n").cast("double") - F.col("n").cast("double") / F.lit(2.0), F.col("ng").cast("double"))
     b = F.least(F.floor(u * F.col("bb").cast("double")), F.col("bb") - F.lit(1)).cast("long")
-    ub = cum.join(sizes, keys, "inner").withColumn("b", b).select(*keys, "value", "n", "b", "ngroups")
+    ub = materialize(cum.join(F.broadcast(sizes), keys, "inner").withColumn("b", b)
+                     .select(*keys, "value", "n", "b", "ngroups"), "repair-ranks")
     means = ub.groupBy(*keys, "b").agg(
         safe_div(F.sum(F.col("value") * F.col("n").cast("double")), F.sum(F.col("n")).cast("double")).alias("m"))
-    # The bucket grid has at most max_buckets rows per (attribute, feature, g).
-    grid = sizes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bb") - F.lit(1))).alias("b"))
-    g = grid.join(means, [*keys, "b"], "left")
-    w_prev = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_next = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    filled = g.withColumn("mf", F.coalesce(F.last("m", ignorenulls=True).over(w_prev),
-                                           F.first("m", ignorenulls=True).over(w_next)))
-    # mid: at most attributes x features x max_buckets rows - a bounded broadcast.
-    mid = filled.groupBy("attribute", "feature", "b").agg(F.avg("mf").alias("mid"))
+    mid = _filled(sizes, means, keys).groupBy("attribute", "feature", "b").agg(F.avg("mf").alias("mid"))
+    if largest > ARRAY_EDGES:
+        return materialize(
+            ub.join(mid, ["attribute", "feature", "b"], "inner")
+            .select(*keys, "value", F.when(F.col("ngroups") >= 2, F.col("mid")).alias("mid")), "repair-values")
+    # mid: at most attributes x features x ARRAY_EDGES rows - a bounded broadcast.
     edges = (ub.filter(F.col("ngroups") >= 2).groupBy(*keys, "b").agg(F.max("value").alias("hi"))
              .join(F.broadcast(mid), ["attribute", "feature", "b"], "inner")
              .groupBy("attribute", "g", "feature")
@@ -190,6 +192,32 @@ def repair_edges(df: DataFrame, features: Iterable[str], attributes: Iterable[st
 
 #: Edges are searched in two steps: among every BLOCK-th, then inside a block.
 BLOCK = 32
+#: Up to so many edges per feature and group are handed on as arrays.
+ARRAY_EDGES = 1000
+#: Buckets are filled in runs of so many, one task each.
+FILL_RUN = 100_000
+
+
+def _filled(sizes: DataFrame, means: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, b, mf) for every bucket: its mean, an empty bucket's from the
+    previous one, a leading one's from the next. Each run of ``FILL_RUN``
+    buckets is filled on its own and takes over the last mean before it."""
+    run = F.floor(F.col("b") / F.lit(FILL_RUN)).cast("long")
+    last = F.col("bb") - F.lit(1)
+    runs = sizes.select(*keys, "bb", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / F.lit(FILL_RUN))))
+                        .alias("run"))
+    of_run = means.withColumn("run", run).groupBy(*keys, "run").agg(F.max_by("m", "b").alias("m_last"))
+    first = means.groupBy(*keys).agg(F.min_by("m", "b").alias("m_first"))
+    before = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (runs.join(of_run, [*keys, "run"], "left").join(first, keys, "left")
+               .select(*keys, "bb", "run",
+                       F.coalesce(F.last("m_last", ignorenulls=True).over(before), "m_first").alias("carry")))
+    start = F.col("run") * F.lit(FILL_RUN)
+    grid = carried.select(*keys, "run", "carry", F.explode(
+        F.sequence(start, F.least(last, start + F.lit(FILL_RUN - 1)))).alias("b"))
+    w = Window.partitionBy(*keys, "run").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return grid.join(means, [*keys, "b"], "left").select(
+        *keys, "b", F.coalesce(F.last("m", ignorenulls=True).over(w), F.col("carry")).alias("mf"))
 
 
 def _repaired(x, i: int, level: float):
@@ -212,16 +240,36 @@ def repaired_columns(df: DataFrame, edges: DataFrame, features: Iterable[str], a
                      names: dict[str, str] | None = None) -> DataFrame:
     """M3 transform: features (or new columns, given ``names``) with their
     repaired values for ``attribute``: a lookup in the group's edges, which
-    come from a join with a table of two rows. The rows are not shuffled."""
+    come from a join with a table of two rows, so the rows are not shuffled;
+    or, with more edges than arrays hold, one join per feature on the value."""
     features = list(features)
     names = names or {f: f for f in features}
+    if "mid" in edges.columns:
+        return _repaired_by_value(df, edges, features, attribute, level, names)
     joined = _with_arrays(df, edges, features, attribute)
     new = {names[f]: _repaired(F.col(f).cast("double"), i, level) for i, f in enumerate(features)}
     return joined.withColumns(new).drop("_g", *[f"{c}_{i}" for i in range(len(features)) for c in ("hi", "top", "mid")])
 
 
+def _repaired_by_value(df: DataFrame, values: DataFrame, features: list[str], attribute: str, level: float,
+                       names: dict[str, str]) -> DataFrame:
+    """``repaired_columns`` by a join on (group, value). A value that the fit
+    did not see raises."""
+    joined, new, g, lam = df, {}, F.col(attribute).cast("int"), F.lit(float(level))
+    for i, f in enumerate(features):
+        x = F.col(f).cast("double")
+        t = values.filter((F.col("attribute") == F.lit(attribute)) & (F.col("feature") == F.lit(f))).select(
+            F.col("g").alias(f"_g{i}"), F.col("value").alias(f"_v{i}"), F.col("mid").alias(f"_m{i}"))
+        joined = joined.join(t, (g == F.col(f"_g{i}")) & (x == F.col(f"_v{i}")), "left")
+        unseen = x.isNotNull() & g.isin(0, 1) & F.col(f"_g{i}").isNull()
+        at = F.when(unseen, F.raise_error(F.lit(f"{f}: a value that the repair was not fitted on")).cast("double")) \
+            .otherwise(F.col(f"_m{i}"))
+        new[names[f]] = F.when(at.isNull(), x).otherwise((F.lit(1.0) - lam) * x + lam * at)
+    return joined.withColumns(new).drop(*[f"_{c}{i}" for i in range(len(features)) for c in "gvm"])
+
+
 def repair_disparate_impact(df: DataFrame, features: Iterable[str], attribute: str, level: float = 1.0,
-                            max_buckets: int = 1000, coarse_buckets: int | None = None) -> DataFrame:
+                            max_buckets: int | None = None, coarse_buckets: int | None = None) -> DataFrame:
     """M3: replace each feature by its repaired value; labels untouched. A
     missing value, a row without group, and features of which one group has no
     value stay as they are."""

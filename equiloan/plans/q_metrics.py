@@ -343,6 +343,9 @@ def q_reweigh_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPAIR_ATTR = "a50"
+#: The quantile resolution that the SQL of the repair queries states; the
+#: operator's own default is the smaller group's size.
+SQL_BUCKETS = 1000
 _rsel, _rjoin = O.repaired_columns("rp", "s", REPAIR_ATTR, PREDICTORS)
 
 
@@ -353,7 +356,7 @@ _rsel, _rjoin = O.repaired_columns("rp", "s", REPAIR_ATTR, PREDICTORS)
     *O.repair_ctes("rp", "labelled", REPAIR_ATTR, PREDICTORS)))
 def q_repair_disparate_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: the six predictors repaired (level 1) for attribute a50."""
-    rep = mitigate.repair_disparate_impact(views.labelled(spark, sf_dir), PREDICTORS, REPAIR_ATTR)
+    rep = mitigate.repair_disparate_impact(views.labelled(spark, sf_dir), PREDICTORS, REPAIR_ATTR, max_buckets=SQL_BUCKETS)
     return rep.select("application_id", *[round6(p).alias(p) for p in PREDICTORS])
 
 
@@ -395,7 +398,7 @@ def q_repair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: group means and KS distance of each predictor before and after
     repair, with the label parity (unchanged by repair)."""
     df = views.labelled(spark, sf_dir)
-    rep = mitigate.repair_disparate_impact(df, PREDICTORS, REPAIR_ATTR)
+    rep = mitigate.repair_disparate_impact(df, PREDICTORS, REPAIR_ATTR, max_buckets=SQL_BUCKETS)
     out = mitigate.repair_report(df, rep, PREDICTORS, REPAIR_ATTR)
     return out.withColumn("spd_before", round6("spd_before")).withColumn("spd_after", round6("spd_after"))
 
@@ -454,7 +457,7 @@ def _repaired_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for each attribute (``decision_scorecard_repair_<a>``): one repair fit for
     all attributes, then columns computed from the same row."""
     df = views.labelled(spark, sf_dir)
-    edges = mitigate.repair_edges(df, RULE_FEATURES, ATTRIBUTES)
+    edges = mitigate.repair_edges(df, RULE_FEATURES, ATTRIBUTES, max_buckets=SQL_BUCKETS)
     for a in ATTRIBUTES:
         names = {f: f"_{f}" for f in RULE_FEATURES}
         df = mitigate.repaired_columns(df, edges, RULE_FEATURES, a, names=names)

@@ -122,3 +122,29 @@ def test_weights_by_typed_keys(spark):
         out = mitigate.apply_weights(d, w, "a50", by=["part"])
         assert out.count() == 240 and out.filter("weight is null").count() == 0
         assert abs(out.agg(F.sum("weight")).first()[0] - 240) < 1e-6
+
+
+def test_repair_resolution_follows_the_smaller_group(spark, monkeypatch):
+    """Groups of more than 1,000 rows: as many buckets as the smaller group has
+    rows, equal to a per-row computation, by arrays or by a join."""
+    df = spark.range(5200).selectExpr("id AS application_id", "CAST(id % 5 < 2 AS INT) AS a",
+                                      "CAST(CASE WHEN id % 97 <> 0 THEN pmod(id * 7919, 10007) + IF(id % 5 < 2, 900, 0) "
+                                      "END AS DOUBLE) AS x")
+    got = {r[0]: r[1] for r in mitigate.repair_disparate_impact(df, ["x"], "a").select("application_id", "x").collect()}
+    d = df.toPandas()
+    known = d[d.x.notna()].copy()
+    size = known.groupby("a").x.transform("size")
+    bb = int(size.min())
+    rank = known.groupby("a").x.rank(method="average") - 0.5
+    known["b"] = np.minimum(np.floor(rank / size * bb), bb - 1).astype(int)
+    filled = [m.reindex(range(bb)).ffill().bfill() for _, m in known.groupby(["a", "b"]).x.mean().groupby(level=0)
+              for m in [m.droplevel(0)]]
+    mid = sum(filled) / 2
+    want = dict(zip(known.application_id, known.b.map(mid)))
+    assert bb > 2000 and len(set(want.values())) > 1000
+    assert len(got) == 5200 and all(got[i] is None for i in d[d.x.isna()].application_id)
+    assert all(got[i] == pytest.approx(v) for i, v in want.items())
+    monkeypatch.setattr(mitigate, "FILL_RUN", 300)
+    monkeypatch.setattr(mitigate, "ARRAY_EDGES", 10_000)
+    again = mitigate.repair_disparate_impact(df, ["x"], "a").select("application_id", "x").collect()
+    assert {r[0]: r[1] for r in again} == got
