@@ -10,6 +10,8 @@ computed *from* decisions is value-checked elsewhere on the scorecard decision.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from equiloan.operators import compose, mitigate, models, parity, prep, report,
 from equiloan.operators.cumulative import materialize
 from equiloan.plans import oracle as O
 from equiloan.plans import views
+from equiloan.plans.q_metrics import PLOT_METRICS
 from equiloan.plans.registry import register
 from equiloan.session import shared_path
 from equiloan.sources import sinks
@@ -49,19 +52,26 @@ def _reweighed(df: DataFrame) -> DataFrame:
 SCORES = ["accuracy", "f1", "recall", "precision"]
 
 
+def _scored(model: models.FittedModel, df: DataFrame, label: str = "approved") -> tuple[DataFrame, bool]:
+    """Per split: rows, rows decided and the scores (the accuracy alone with
+    more than two classes), and whether there are only two."""
+    pred = materialize(models.predict(model, df, ["application_id", "split", label]), "predictions")
+    n = pred.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count("prediction").alias("n_decided"))
+    binary = model.classes is None and df.select(label).distinct().count() <= 2
+    sc = (parity.binary_scores(pred, label, "prediction", by=["split"]) if binary
+          else parity.multiclass_accuracy(pred, label, "prediction", by=["split"]).drop("n"))
+    return n.join(sc, "split"), binary
+
+
 def _checked(model: models.FittedModel, df: DataFrame, label: str = "approved") -> DataFrame:
     """Per split: rows, rows decided, and whether the scores lie in 0..1 (and
     the accuracy beats a fair coin between the classes)."""
-    pred = materialize(models.predict(model, df, ["application_id", "split", label]), "predictions")
-    n = pred.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count("prediction").alias("n_decided"))
-    if model.classes is None and df.select(label).distinct().count() <= 2:
-        sc, cols, floor = parity.binary_scores(pred, label, "prediction", by=["split"]), SCORES, 0.5
-    else:
-        sc, cols, floor = parity.multiclass_accuracy(pred, label, "prediction", by=["split"]).drop("n"), ["accuracy"], 0.0
+    sc, binary = _scored(model, df, label)
+    cols, floor = (SCORES, 0.5) if binary else (["accuracy"], 0.0)
     ok = F.col("accuracy") >= floor
     for c in cols:
         ok = ok & F.coalesce(F.col(c).between(0, 1), F.lit(True))
-    return n.join(sc.select("split", ok.alias("scores_valid")), "split")
+    return sc.select("split", "n", "n_decided", ok.alias("scores_valid"))
 
 
 COVERED_SQL = O.with_inputs("SELECT split, COUNT(*) AS n, COUNT(*) AS n_decided, TRUE AS scores_valid "
@@ -95,6 +105,14 @@ def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, ascending boolean, sums_to_one boolean")
 
 
+@register("feature_importance_values")
+def q_feature_importance_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 + R5: the importances of the 120-tree forest, ascending by rank."""
+    found = models.feature_importance(models.fit_forest(_train(_data(spark, sf_dir)), PREDICTORS))
+    return spark.createDataFrame([(i, f, float(v)) for i, (f, v) in enumerate(found)],
+                                 "rank int, feature string, importance double")
+
+
 _GRID_SQL = (f"SELECT t AS num_trees, d AS max_depth, m AS min_instances, TRUE AS accuracy_valid FROM "
              f"(SELECT CAST(UNNEST({TUNE_GRID['numTrees']}) AS INT) AS t), (SELECT CAST(UNNEST({TUNE_GRID['maxDepth']}) "
              f"AS INT) AS d), (SELECT CAST(UNNEST({TUNE_GRID['minInstancesPerNode']}) AS INT) AS m)")
@@ -109,6 +127,14 @@ def q_tune_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "num_trees int, max_depth int, min_instances int, accuracy_valid boolean")
 
 
+@register("tune_forest_values")
+def q_tune_forest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: the mean accuracy of every setting of the grid."""
+    _, rows = models.tune_forest(_train(_data(spark, sf_dir)), PREDICTORS, folds=3)
+    return spark.createDataFrame([(t, d, m, float(acc)) for t, d, m, acc in rows],
+                                 "num_trees int, max_depth int, min_instances int, accuracy double")
+
+
 @register("fit_logistic", COVERED_SQL)
 def q_fit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4: logistic regression (up to 1,000 iterations) on standardised
@@ -149,6 +175,30 @@ def q_fit_forest_denial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(models.fit_forest(_train(df), PREDICTORS, label="primary_denial_reason"), df, "primary_denial_reason")
 
 
+@register("fit_scores")
+def q_fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, F1, recall and precision per split of every model
+    that the fit_* queries fit (the accuracy alone on denial reasons)."""
+    df = _data(spark, sf_dir)
+    train, reweighed, reason = _train(df), _reweighed(df), "primary_denial_reason"
+    fits = {
+        "fit_forest": (models.fit_forest(reweighed, PREDICTORS, weight="weight"), "approved"),
+        "fit_forest_tuned_size": (models.fit_forest_tuned_size(train, PREDICTORS), "approved"),
+        "fit_logistic": (models.fit_logistic(reweighed, PREDICTORS, weight="weight"), "approved"),
+        "fit_logistic_denial": (models.fit_logistic(train, PREDICTORS, label=reason, multinomial=True), reason),
+        "fit_mlp": (models.fit_mlp(reweighed, PREDICTORS, weight="weight", max_iter=MLP_ITERATIONS), "approved"),
+        "fit_mlp_denial": (models.fit_mlp(train, PREDICTORS, label=reason, multiclass=True, max_iter=MLP_ITERATIONS), reason),
+        "fit_forest_denial": (models.fit_forest(train, PREDICTORS, label=reason), reason),
+    }
+    out = None
+    for name, (model, label) in fits.items():
+        sc = _scored(model, df, label)[0].withColumn("query", F.lit(name))
+        rows = sc.select("query", "split", "n", "n_decided", *[
+            F.col(c) if c in sc.columns else F.lit(None).cast("double").alias(c) for c in SCORES])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("predict", O.with_inputs("SELECT application_id, split, TRUE AS decided FROM splitted", *O.split_ctes()))
 def q_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions for every row of both splits, keyed by application: each
@@ -181,8 +231,23 @@ GRID = models.model_grid(KINDS, MITIGATIONS, ATTRIBUTES)
 _MODELS_SQL = "SELECT UNNEST([" + ", ".join(f"'{g.model_id}'" for g in GRID) + "]) AS model_id"
 
 
-def _grid_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(models.fit_grid(_data(spark, sf_dir), PREDICTORS, GRID, mlp_iter=MLP_ITERATIONS), "grid")
+_GRIDS: dict[tuple, tuple[str, str]] = {}
+_GRID_LOCK = threading.Lock()
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(predictions, their cells) of the whole grid, fitted once per
+    application and version of the input files and stored."""
+    key = (spark.sparkContext.applicationId, *views.versions(spark, sf_dir))
+    with _GRID_LOCK:
+        if key not in _GRIDS:
+            paths = shared_path(spark, "grid"), shared_path(spark, "grid-cells")
+            models.fit_grid(_data(spark, sf_dir), PREDICTORS, GRID, mlp_iter=MLP_ITERATIONS).write.parquet(paths[0])
+            parity.contingency(spark.read.parquet(paths[0]), ATTRIBUTES, decision="prediction",
+                               by=["model_id", "split"]).write.parquet(paths[1])
+            _GRIDS[key] = paths
+        preds, cells = _GRIDS[key]
+    return spark.read.parquet(preds), spark.read.parquet(cells)
 
 
 @register("fit_mitigated", O.with_inputs(
@@ -190,14 +255,13 @@ def _grid_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM splitted, models, (SELECT UNNEST([" + ", ".join(f"'{a}'" for a in ATTRIBUTES) + "]) AS attribute) "
     "GROUP BY model_id, split, attribute", *O.split_ctes(), ("models", _MODELS_SQL)))
 def q_fit_mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L10 with R1, R3, R4, R6 on real models: the whole grid of 39 models
+    """The whole grid of 39 models
     {forest, logistic, network} x {reweighing, repair} x six attributes and the
     three unmitigated baselines, fitted once each. Per model, split and
     attribute: rows, rows decided, and whether every decision metric and score
     lies in its range."""
-    preds = _grid_predictions(spark, sf_dir)
     by = ["model_id", "split"]
-    ct = materialize(parity.contingency(preds, ATTRIBUTES, decision="prediction", by=by), "grid-cells")
+    _, ct = _grid(spark, sf_dir)
     unit = lambda c, lo: F.coalesce(F.col(c).between(lo, 1), F.lit(True))
     m = parity.parity_metrics(ct, by=by).select(
         *by, "attribute", (unit("decision_parity_difference", -1) & unit("average_odds_difference", -1)
@@ -210,6 +274,42 @@ def q_fit_mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(*by, "attribute", "n", "n_decided", (F.col("a") & F.col("b")).alias("metrics_valid")))
 
 
+@register("mitigated_results")
+def q_mitigated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 of the 39 models: per model and split every parity metric and score,
+    attributes as columns."""
+    return report.grid_results(_grid(spark, sf_dir)[1], ATTRIBUTES)
+
+
+@register("mitigated_plot_series")
+def q_mitigated_plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 of the 39 models: parity and score series, original, reweighed and
+    repaired."""
+    return report.grid_plot_series(_grid(spark, sf_dir)[1], GRID, ATTRIBUTES, {"parity": PLOT_METRICS, "scores": SCORES})
+
+
+@register("mitigated_approval_series")
+def q_mitigated_approval_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 of the 39 models: approval rate of labels and decisions per model,
+    split, attribute and group."""
+    return report.approval_series(_grid(spark, sf_dir)[1], by=["model_id", "split"])
+
+
+@register("mitigated_comparison")
+def q_mitigated_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 of the 39 models: decision parity original, reweighed and repaired
+    per kind, split and attribute, with the changes."""
+    return report.grid_comparison(_grid(spark, sf_dir)[1], GRID, ATTRIBUTES, "decision_parity_difference")
+
+
+@register("mitigated_decisions")
+def q_mitigated_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 of the 39 models: every model's decision beside the row."""
+    rows = views.labelled(spark, sf_dir).select("application_id", "approved")
+    return compose.attach_model_decisions(rows, _grid(spark, sf_dir)[0], [g.model_id for g in GRID],
+                                          decision="prediction")
+
+
 @register("attach_statistics", O.with_inputs(
     "SELECT l.application_id, CAST(n AS BIGINT) AS n_year, (ROUND(m, 6) + 0.0) AS mean_income FROM labelled l "
     "JOIN (SELECT activity_year, COUNT(*) AS n, AVG(income) AS m FROM labelled GROUP BY activity_year) s USING (activity_year)"))

@@ -24,6 +24,14 @@ _LOCK = threading.Lock()
 _INPUTS = ("orders", "customer", "lineitem")
 
 
+def versions(spark: SparkSession, sf_dir: str) -> list:
+    """The versions of the driver's tables that the application table is built
+    from."""
+    from equiloan.session import table_version
+
+    return [table_version(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in _INPUTS]
+
+
 def applications(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
     """The application table. With ``stored`` (default), the stand-in is
     built from the driver's tables once per application and version of those
@@ -33,10 +41,9 @@ def applications(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataF
     files)."""
     if not stored:
         return stand_in_applications(spark, sf_dir)
-    from equiloan.session import shared_path, table_version
+    from equiloan.session import shared_path
 
-    folder = sf_dir.rstrip("/")
-    key = (spark.sparkContext.applicationId, *(table_version(spark, f"{folder}/{t}.parquet") for t in _INPUTS))
+    key = (spark.sparkContext.applicationId, *versions(spark, sf_dir))
     with _LOCK:
         path = _STORED.get(key)
         if path is None:

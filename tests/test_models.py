@@ -71,3 +71,41 @@ def test_save_and_load_give_equal_predictions(spark, tmp_path):
     a = {r[0]: r[1] for r in models.predict(m, df).select("application_id", "prediction").collect()}
     b = {r[0]: r[1] for r in models.predict(loaded, df).select("application_id", "prediction").collect()}
     assert a == b
+
+
+def test_reports_of_fitted_models_hold_values(spark):
+    """R1, R3, R4 and R6 of a small grid against a count over its predictions."""
+    from equiloan.operators import parity, report
+
+    attrs = ["a50", "a60"]
+    df = _data(spark, 600).withColumn("a50", (F.col("f1") > 0.2).cast("int")).withColumn(
+        "a60", (F.col("f3") > 0).cast("int"))
+    grid = models.model_grid(["lr"], ["reweighing", "repair"], attrs)
+    preds = models.fit_grid(df, FEATS, grid, logistic_iter=20).localCheckpoint()
+    ct = parity.contingency(preds, attrs, decision="prediction", by=["model_id", "split"])
+    p = preds.filter("split = 'test'").toPandas()
+
+    def rate(model, attr, g):
+        x = p[(p.model_id == model) & (p[attr] == g)]
+        return x.prediction.mean()
+
+    diff = lambda m, a: rate(m, a, 0) - rate(m, a, 1)
+    res = {(r["model_id"], r["metric"]): r for r in report.grid_results(ct, attrs).filter("split = 'test'").collect()}
+    assert len(res) == len(grid) * (len(parity.METRIC_NAMES) + 4)
+    x = p[p.model_id == "lr_original"]
+    assert res["lr_original", "accuracy"]["a50"] == pytest.approx((x.prediction == x.approved).mean(), abs=1e-6)
+    for a in attrs:
+        assert res["lr_repair_a60", "decision_parity_difference"][a] == pytest.approx(diff("lr_repair_a60", a), abs=1e-6)
+    apr = report.approval_series(ct, ["model_id", "split"]).filter(
+        "split = 'test' and model = 'decision' and model_id = 'lr_repair_a50' and attribute = 'a50' and g = 1").first()
+    assert apr["approval_rate"] == pytest.approx(rate("lr_repair_a50", "a50", 1), abs=1e-6)
+    cmp = {r["attribute"]: r for r in report.grid_comparison(ct, grid, attrs, "decision_parity_difference")
+           .filter("split = 'test'").collect()}
+    series = {(r["section"], r["category"], r["metric"], r["threshold"]): r["value"] for r in report.grid_plot_series(
+        ct, grid, attrs, {"parity": ["decision_parity_difference"], "scores": ["f1"]}).collect()}
+    assert len(series) == 2 * 2 * 3 * len(attrs)
+    for a in attrs:
+        for c, m in (("original", "lr_original"), ("reweighed", f"lr_reweighing_{a}"), ("repaired", f"lr_repair_{a}")):
+            assert cmp[a][f"decision_parity_difference_{c}"] == pytest.approx(diff(m, a), abs=1e-6)
+            assert series["parity test", c, "decision_parity_difference", int(a[1:])] == pytest.approx(diff(m, a), abs=1e-6)
+        assert cmp[a]["change_repaired"] == pytest.approx(diff(f"lr_repair_{a}", a) - diff("lr_original", a), abs=2e-6)
