@@ -51,6 +51,8 @@ PARTS, CHUNKS, ERRORS = 36, 6, 2
 #: Nodes whose ids may be broadcast to fetch their texts (40 bytes each);
 #: more are joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: Rows of a mixed bucket that one group holds; larger ones are cut.
+BLOCK_ROWS = 4096
 #: Values of the long signature, and the standard deviations by which it may
 #: miss its expected agreement.
 LONG_PARTS, LONG_SLACK = 512, 4.75
@@ -228,24 +230,59 @@ def _long(width: int):
     return run
 
 
+def spread(inside: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key, i, j, node, component, second (of block j): the groups (key, i, j) that compare the
+    mixed buckets ``inside`` (key, node, component, n rows of the key). A
+    bucket of up to ``block_rows`` is one group. A larger one is cut by a hash
+    of the node into blocks of about so many rows, first those outside its
+    largest component, then those of that component; a group holds two blocks
+    (i < j) or one (i = j), so that any two rows of different components meet
+    in exactly one group."""
+    whole = inside.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "component",
+                           F.lit(False).alias("second"))
+    large = inside.filter(F.col("n") > F.lit(block_rows))
+    sizes = (large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+             .agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("m")))
+    per = lambda c: F.ceil(c / F.lit(block_rows)).cast("int")
+    sizes = stash(sizes.select("key", F.col("m.component").alias("main"), per(F.col("n") - F.col("m.c")).alias("others"),
+                               per(F.col("m.c")).alias("mains")), "near-blocks")
+    if sizes.isEmpty():
+        return whole
+    own = F.col("component") == F.col("main")
+    place = lambda blocks: F.pmod(F.xxhash64("node", F.lit("block")), F.col(blocks)).cast("int")
+    block = F.when(own, F.col("others") + place("mains")).otherwise(place("others"))
+    with_ = F.sequence(F.lit(0), F.when(own, F.col("others")).otherwise(F.col("others") + F.col("mains")) - F.lit(1))
+    cut = (large.join(sizes, "key").select("key", "node", "component", block.alias("own"), F.explode(with_).alias("other"))
+           .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component",
+                   (F.col("own") > F.col("other")).alias("second")))
+    return whole.join(sizes.select("key"), "key", "left_anti").unionByName(cut)
+
+
 def _across(parts: int, chunks: int, errors: int, floor: float):
     """Pairs of different components within both signature bounds, of runs of
-    equal keys (rows sorted by key), each pair in the first key it shares. A
-    run's signatures are held, some 350 bytes a row; rows of its largest
-    component are only compared with the others."""
+    equal (key, i, j) (sorted), each pair in the first key it shares. A run's
+    signatures are held, some 350 bytes a row; in a run of one block rows of
+    its largest component are only compared with the others, in a run of two
+    blocks the rows of one with those of the other."""
     distance = chunks * (errors + 1) - 1
 
     def pairs(rows):
-        number = rows[0][0] & 1023
+        number = rows[0][0][0] & 1023
         node, comp = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, parts)
         long = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        values, counts = np.unique(comp, return_counts=True)
-        main = comp == values[np.argmax(counts)]
-        order = np.concatenate((np.flatnonzero(~main), np.flatnonzero(main)))
+        if rows[0][0][1] == rows[0][0][2]:
+            values, counts = np.unique(comp, return_counts=True)
+            last = comp == values[np.argmax(counts)]
+            across = 0
+        else:
+            last = np.array([r[5] for r in rows])
+            across = int((~last).sum())
+        order = np.concatenate((np.flatnonzero(~last), np.flatnonzero(last)))
         node, comp, sig, long = node[order], comp[order], sig[order], long[order]
-        for i in range(int((~main).sum())):
-            rest = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
+        for i in range(int((~last).sum())):
+            start = max(i + 1, across)
+            rest = np.flatnonzero(comp[start:] != comp[i]) + start
             differ = sig[rest] != sig[i]
             ok = differ.sum(axis=1) <= distance
             rest, differ = rest[ok], differ[ok]
@@ -264,8 +301,9 @@ def _across(parts: int, chunks: int, errors: int, floor: float):
         held: list[tuple] = []
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist()
-                             for c in ("key", "node", "component", "sig", "long")), strict=True):
+            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
+            groups = zip(column("key"), column("i"), column("j"), strict=True)
+            for row in zip(groups, *map(column, ("node", "component", "sig", "long", "second")), strict=True):
                 if held and row[0] != held[0][0]:
                     out.extend(pairs(held))
                     held = []
@@ -304,7 +342,7 @@ def _confirm(width: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, parts: int = PARTS, chunks: int = CHUNKS,
-                    errors: int = ERRORS) -> DataFrame:
+                    errors: int = ERRORS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row. Documents with at
     least ``percent`` % common of all their shingles are linked."""
     spark = docs.sparkSession
@@ -355,14 +393,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, parts: i
     # What is left to compare: pairs of different components in one bucket.
     labelled = (buckets.select("key", "node").join(found, "node", "left")
                 .select("key", "node", F.coalesce("component", "node").alias("component")))
-    mixed = (labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-             .filter("x <> y").select("key"))
+    mixed = (labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
+                                         F.count(F.lit(1)).alias("n"))
+             .filter("x <> y").select("key", "n"))
     longer = bodies.mapInArrow(_long(width), "node long, long binary")
     inside = stash(labelled.join(mixed, "key"), "near-mixed")
     both = stash(inside.select("node").distinct().join(sig, "node").join(longer, "node"), "near-long")
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = stash(inside.join(both, "node").select("key", "node", "component", "sig", "long")
-                 .repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    left = stash(spread(inside, block_rows).join(both, "node")
+                 .select("key", "i", "j", "node", "component", "sig", "long", "second")
+                 .repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
                  .mapInArrow(_across(parts, chunks, errors, long_floor(percent)),
                              "a long, b long, x long, y long, agree long")
                  .join(tested, ["a", "b"], "left_anti"), "near-left")

@@ -109,6 +109,43 @@ def test_buckets_across_batches():
     assert got == sorted((k, n) for k, v in groups.items() if len(v) > 1 for n in v)
 
 
+def test_mixed_buckets_are_compared_in_bounded_groups(spark):
+    """Any two rows of different components of a bucket meet in one group, and
+    no group holds much more than two blocks."""
+    rows = [(1, n, 7 if n % 3 else n, 900) for n in range(900)] + [(2, n, n, 40) for n in range(40)]
+    got = nearsig.spread(spark.createDataFrame(rows, "key long, node long, component long, n long"), 50).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["key"], r["i"], r["j"]), []).append((r["node"], r["component"], r["second"]))
+    assert max(map(len, groups.values())) < 4 * 50
+    assert sorted(g for g in groups if g[0] == 2) == [(2, 0, 0)] and len(groups) > 50
+    met = Counter()
+    for (key, i, j), members in groups.items():
+        for a, x, s in members:
+            for b, y, t in members:
+                met[key, a, b] += a < b and x != y and (i == j or s != t)
+    for key, n in ((1, 900), (2, 40)):
+        comp = {r[1]: r[2] for r in rows if r[0] == key}
+        assert all(met[key, a, b] == (comp[a] != comp[b]) for a in range(n) for b in range(a + 1, n))
+
+
+def test_near_duplicates_do_not_depend_on_the_blocks(spark):
+    """A template family whose members differ by more than the threshold."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice((1, 2, 3, 4))):
+            words[at] = f"v{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(words), "en", "web"))
+    frame = docs_frame(spark, rows)
+    want = _near(rows, 4, 80)
+    for block_rows in (5, 4096):
+        got = nearsig.near_duplicates(frame, width=4, percent=80, block_rows=block_rows).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == want
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 150)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
