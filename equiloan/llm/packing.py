@@ -8,8 +8,11 @@
    generation: a revised simplex holds the basis, knapsack dynamic programming
    over the duals prices the next pattern. The patterns are used their
    rounded-down number of times; what remains in the histogram is packed by
-   first fit decreasing into patterns used once. The histogram has at most
-   ``length / grain`` rows, whatever the size of the corpus.
+   first fit decreasing into patterns used once. ``plan`` does this twice:
+   with all tails, and with those above ``exact`` tokens only, whose free room
+   and further sequences then take the short ones by their exact lengths; the
+   fewer sequences win. The histogram has at most ``length`` rows, whatever the
+   size of the corpus.
 3. ``assign``: tails are ranked inside their class (counts per block of ids
    give each block its offset, so no class is ever in one task) and the k-th
    tail of a class goes to the k-th slot the patterns hold for it. Offsets
@@ -37,6 +40,9 @@ from equiloan.llm.textops import texts
 
 LENGTH = 4096
 GRAIN = 16
+#: Tails up to so many tokens may be packed by their exact lengths: many of
+#: them share a sequence, where rounding each would add up.
+EXACT = 256
 END = 2
 BLOCK_ROWS = 100_000
 CACHE = 250_000
@@ -253,6 +259,55 @@ def solve(counts: np.ndarray, steps: int = 4000) -> list[tuple[int, np.ndarray]]
     return patterns + [(1, b[1]) for b in bins]
 
 
+def _greedy(left: np.ndarray, room: int) -> np.ndarray:
+    """A pattern of lengths 1..len(left), the longest that fits first."""
+    pattern = np.zeros(len(left), np.int64)
+    for k in np.flatnonzero(left)[::-1]:
+        n = min(room // (int(k) + 1), int(left[k]))
+        pattern[k] = n
+        room -= n * (int(k) + 1)
+    return pattern
+
+
+def fill(patterns: list[tuple[int, np.ndarray]], short: np.ndarray, length: int, grain: int) -> list[tuple[int, np.ndarray]]:
+    """``short[k]`` items of k + 1 tokens put into the free room of
+    ``patterns`` (of ``grain`` tokens a unit), then into sequences of their own.
+    The patterns returned have the classes of ``short`` before those of
+    ``patterns``. Each round uses up a class or a pattern."""
+    left, out = short.astype(np.int64).copy(), []
+    units = -(-length // grain)
+    own = (int(left.sum()), np.zeros(units, np.int64))  # more than enough sequences of short items alone
+    for uses, pattern in [*patterns, own]:
+        room = length - grain * int((pattern * np.arange(1, units + 1)).sum())
+        while uses:
+            add = _greedy(left, max(room, 0))
+            used = np.flatnonzero(add)
+            n = int(min(uses, *(left[used] // add[used]))) if len(used) else uses
+            if len(used) or pattern.any():
+                out.append((n, np.concatenate((add, pattern))))
+            left -= n * add
+            uses -= n
+    return out
+
+
+def plan(lengths: np.ndarray, grain: int, exact: int) -> tuple[int, list[tuple[int, np.ndarray]]]:
+    """(tokens below which classes are exact, uses and pattern) for
+    ``lengths[k]`` tails of k + 1 tokens. Class k of the patterns is length
+    k + 1 up to that bound, then unit by unit of ``grain`` tokens."""
+    length = len(lengths)
+    unit = -(-np.arange(1, length + 1) // grain) - 1
+    coarse = np.bincount(unit, weights=lengths, minlength=-(-length // grain)).astype(np.int64)
+    rounded = solve(coarse)
+    exact = min(exact, length) // grain * grain
+    if not lengths[:exact].any():
+        return 0, rounded
+    long = coarse.copy()
+    long[:exact // grain] = 0
+    filled = fill(solve(long), lengths[:exact], length, grain)
+    fewer = sum(u for u, _ in filled) < sum(u for u, _ in rounded)
+    return (exact, filled) if fewer else (0, rounded)
+
+
 # --- assignment ---------------------------------------------------------------
 
 def _slots(capacity: int, patterns: list[tuple[int, np.ndarray]]):
@@ -291,23 +346,24 @@ def _place(table):
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, grain: int = GRAIN, end: int = END,
-         block_rows: int = BLOCK_ROWS) -> DataFrame:
+         block_rows: int = BLOCK_ROWS, exact: int = EXACT) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset."""
     spark = docs.sparkSession
-    capacity = -(-length // grain)
-    unit = F.ceil(F.col("length") / F.lit(grain)).cast("long")  # full pieces: unit = capacity
-    pieces = stash(tokens(docs, path, length, end).withColumn("unit", unit), "pack-pieces")
+    pieces = stash(tokens(docs, path, length, end), "pack-pieces")
+    counts = np.zeros(length, np.int64)
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``length`` rows
+        counts[r["length"] - 1] = r["n"]
+    # Tails as long as a sequence once rounded up have a sequence of their own.
+    exact, patterns = plan(counts, grain, exact)
+    table, _ = _slots(exact + -(-length // grain), patterns)
+    unit = F.when(F.col("length") <= exact, F.col("length")).otherwise(
+        F.lit(exact) + F.ceil(F.col("length") / F.lit(grain))).cast("long")
+    pieces = pieces.withColumn("unit", unit)
     blocks = max(1, -(-pieces.count() // block_rows))
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     per = pieces.groupBy("unit", "block").agg(F.count(F.lit(1)).alias("n"))
     per = stash(per, "pack-histogram")
-    counts = np.zeros(capacity, np.int64)
-    for r in per.groupBy("unit").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows
-        counts[r["unit"] - 1] = r["n"]
-    # Tails as long as a sequence once rounded up have a sequence of their own.
-    patterns = solve(counts)
-    table, _ = _slots(capacity, patterns)
     before = Window.partitionBy("unit").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("unit", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("unit", "block").orderBy("row", "start")

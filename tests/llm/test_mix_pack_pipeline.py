@@ -139,6 +139,27 @@ def test_packing(spark):
     assert _check_packing(rows, got, 512) < 0.05
 
 
+def test_short_documents_are_packed_by_their_exact_lengths(spark):
+    """The production parameters: 17 tokens a document, 240 to a sequence."""
+    lengths = np.zeros(packing.LENGTH, np.int64)
+    lengths[16] = 2400
+    lengths[packing.LENGTH - 1] = 3
+    exact, patterns = packing.plan(lengths, packing.GRAIN, packing.EXACT)
+    assert exact and sum(u for u, _ in patterns) == 13
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["some", "words", "here"], k=16)), "en", "a") for i in range(2400)]
+    got = packing.pack(docs_frame(spark, rows), PATH).collect()
+    assert _check_packing(rows, got, packing.LENGTH) < 0.01
+    mixed = np.zeros(packing.LENGTH, np.int64)
+    for n in [rng.choice((rng.randint(1, 256), rng.randint(257, 4096))) for _ in range(3000)]:
+        mixed[n - 1] += 1
+    exact, patterns = packing.plan(mixed, packing.GRAIN, packing.EXACT)
+    total = sum(u * p for u, p in patterns)
+    unit = -(-np.arange(1, packing.LENGTH + 1) // packing.GRAIN) - 1
+    assert (total[:exact] == mixed[:exact]).all()
+    assert (total[exact:] == np.bincount(unit[exact:], weights=mixed[exact:], minlength=256)).all()
+
+
 def test_packing_empty(spark):
     assert packing.pack(docs_frame(spark, []), PATH).count() == 0
 
