@@ -190,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
              .agg(F.min(F.col("quality").cast("int")).alias("label")))
     sample = bounded_sample(marks.join(docs.select("doc_id"), "doc_id", "left_semi"), train_rows, by="label")
     # The sample is bounded by ``train_rows``, so its ids may be broadcast.
-    got = (docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
+    got = (bounded_sample(found, train_rows, by="label")  # an id may have any number of rows
            .select("text", "label").mapInArrow(_rows, "label int, x binary").toArrow())
     rows = sorted(zip(got.column("label").to_pylist(), got.column("x").to_pylist(), strict=True))
     label = np.array([r[0] for r in rows], np.int64)

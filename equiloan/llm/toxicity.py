@@ -233,6 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     # The sample is bounded by ``positive_rows``, so its ids may be broadcast.
     pos = (docs.select("doc_id", "text").join(F.broadcast(toxic.select("doc_id")), "doc_id", "left_semi")
            .withColumn("label", F.lit(1)))
+    pos = bounded_sample(pos, positive_rows)  # an id may have any number of rows
     unl = bounded_sample(docs.select("doc_id", "text"), unlabelled_rows).withColumn("label", F.lit(0))
     return fit_pu(*collect_rows(pos.unionByName(unl)), prior=min(max(prior, 1e-4), 1 - 1e-4))
 

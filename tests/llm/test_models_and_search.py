@@ -184,3 +184,20 @@ def test_top_k_few_rows_and_large_numbers(spark):
     rows = [(0, [1e6, 3.0]), (1, [1e6, 1.0]), (2, [-1e6, 2.0])]  # products beyond 2^53
     got = topk.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 100 == 0).collect()
     assert {tuple(r) for r in got} == _top(rows, 10)
+
+
+def test_samples_are_bounded_for_repeated_and_null_ids(spark):
+    """A third of the rows hold one null id, a third are one row again and
+    again: each text counts once, and the null rows are neither all in nor out."""
+    from equiloan.llm.sampling import bounded_sample
+
+    rows = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id",
+        "CASE WHEN id % 3 = 1 THEN 'again' ELSE concat('text ', id) END AS text", "CAST(id % 2 AS INT) AS label")
+    got = bounded_sample(rows.select("doc_id", "text"), 600).collect()
+    assert 480 < len(got) < 720 and 200 < sum(r["doc_id"] is None for r in got) < 400
+    assert sum(r["text"] == "again" for r in got) <= 1
+    by = bounded_sample(rows, 600, by="label").collect()
+    assert 480 < len(by) < 720 and 200 < sum(r["label"] for r in by) < 400
+    assert bounded_sample(rows.select("doc_id", "text"), 10_000).count() == 4001
+    assert bounded_sample(rows.limit(0), 10, by="label").count() == 0
