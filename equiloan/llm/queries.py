@@ -11,7 +11,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiloan.llm import contentsort, langid, linededup, mixing, nearsig, packing, quality, runindex, sql, topk, toxicity
+from equiloan.llm import (
+    blobledger,
+    contentsort,
+    langid,
+    linededup,
+    mixing,
+    nearsig,
+    packing,
+    quality,
+    runindex,
+    sql,
+    topk,
+    toxicity,
+)
 from equiloan.llm.runtime import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +104,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@_query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text, scanned once per content through the blob ledger."""
+    return blobledger.digest(blobledger.secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE.update(op2_topk_search=sql.OP2, op3_line_dedup=sql.OP3, op4_suffix_dedup=sql.OP4, op7_exact_dedup=sql.OP7,
-              op8_minhash_dedup=sql.OP8)
+              op8_minhash_dedup=sql.OP8, op13_secret_scan=sql.OP13)

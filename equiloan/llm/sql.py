@@ -109,3 +109,40 @@ SELECT d.doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, d.doc_id =
 FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
+
+_ASSIGN = ("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
+           "[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)")
+#: kind, pattern, part that must be long enough, its least length
+_SECRETS = [
+    ("assign", _ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1), ("forge", "gh[pousr]_[A-Za-z0-9]{36,255}", 0, 1),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", 0, 1),
+    ("url", "[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9_.-]{1,64}:[A-Za-z0-9_.%+-]{1,64}@", 0, 1),
+]
+_SECRET_ARMS = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, {least} AS least, string_split_regex(t, '{pattern}') AS gaps, "
+    f"regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {group}) AS held "
+    f"FROM d WHERE regexp_matches(t, '{pattern}')"
+    for rank, (kind, pattern, group, least) in enumerate(_SECRETS))
+
+OP13 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_SECRET_ARMS}),
+l AS (
+  SELECT doc_id, kind, rank, unnest(range(1, len(hits) + 1)) AS i, gaps, hits, held, least FROM m),
+p AS (
+  SELECT doc_id, kind, rank, hits[i] AS hit,
+    CAST(sum(length(gaps[i])) OVER w + coalesce(sum(length(hits[i])) OVER before, 0) AS BIGINT) AS start,
+    length(held[i]) >= least AS ok
+  FROM l
+  WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING),
+    before AS (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (
+  SELECT doc_id, kind, rank, start, kind || ':' || start || ':' || (start + length(hit)) AS span FROM p WHERE ok)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
