@@ -24,6 +24,7 @@ from equiloan.llm import (
     sql,
     topk,
     toxicity,
+    wordruns,
 )
 from equiloan.llm.runtime import fold
 
@@ -104,6 +105,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every whole text (one tail in ten made periodic), on its grammar."""
+    return wordruns.periodic_runs(_table(spark, sf_dir, "documents"), order_of=wordruns.planted)
+
+
 @_query
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text, scanned once per content through the blob ledger."""
