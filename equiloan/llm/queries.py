@@ -21,6 +21,7 @@ from equiloan.llm import (
     packing,
     quality,
     runindex,
+    spelling,
     sql,
     topk,
     toxicity,
@@ -105,6 +106,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 5 or more letters and 3 or more occurrences, with the spelling each is a variant of."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), change_of=spelling.typo)
+
+
 @_query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every whole text (one tail in ten made periodic), on its grammar."""
@@ -119,4 +126,5 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE.update(op2_topk_search=sql.OP2, op3_line_dedup=sql.OP3, op4_suffix_dedup=sql.OP4, op7_exact_dedup=sql.OP7,
-              op8_minhash_dedup=sql.OP8, op13_secret_scan=sql.OP13)
+              op8_minhash_dedup=sql.OP8, op11_spelling_variants=sql.OP11,
+              op13_secret_scan=sql.OP13)

@@ -146,3 +146,46 @@ SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
   coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
+
+# DuckDB has no crc32: a table of the polynomial's remainders, folded over the
+# bytes. Its levenshtein counts bytes, so U+00C0..U+00FF become ASCII
+# characters that lower-cased words do not use.
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+_ONE_BYTE = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c != "'")[:63] + " "
+
+OP11 = f"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+run AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\u00C0-\u00FF]+')) AS w
+  FROM documents),
+per AS MATERIALIZED (
+  SELECT w, concat(doc_id, ':') || w AS s, count(*) AS k FROM run GROUP BY ALL),
+hashed AS (
+  SELECT w, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(s))),
+      lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM per, tab),
+changed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k
+  FROM hashed),
+vocab AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n, length(word) AS len, translate(word, '{_LATIN}', '{_ONE_BYTE}') AS flat
+  FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM vocab a JOIN vocab b
+  ON b.len BETWEEN a.len - 1 AND a.len + 1 AND levenshtein(a.flat, b.flat) = 1),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+judged AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form,
+    CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM vocab LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS at FROM judged
+  UNION ALL
+  SELECT chain.word, judged.form FROM chain JOIN judged ON judged.word = chain.at WHERE judged.form IS NOT NULL)
+SELECT judged.word, judged.form, chain.at AS root, judged.n, judged.n_near, judged.form_n
+FROM judged JOIN chain USING (word) JOIN judged e ON e.word = chain.at AND e.form IS NULL
+"""
