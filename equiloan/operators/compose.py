@@ -48,6 +48,14 @@ def attach_model_decisions(df: DataFrame, long: DataFrame, model_ids: list[str],
     return df.join(wide, key, "left")
 
 
+def attach_packed_decisions(df: DataFrame, packed: DataFrame, model_ids: list[str], key: str = "application_id",
+                            decisions: str = "decisions", prefix: str = "decision_") -> DataFrame:
+    """J4 for many models: one key join with the packed decisions, whose
+    array places become one column per model; no pivot, no long table."""
+    wide = packed.select(key, *[F.get(decisions, F.lit(i)).alias(f"{prefix}{m}") for i, m in enumerate(model_ids)])
+    return df.join(wide, key, "left")
+
+
 def merge_result_tables(a: DataFrame, b: DataFrame, on: Iterable[str],
                         suffixes: tuple[str, str] = ("_rf", "_nn")) -> DataFrame:
     """Inner join of two result tables on shared key columns, every other

@@ -10,7 +10,6 @@ only holds model parameters and small statistics (means, sds, class lists).
 from __future__ import annotations
 
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -257,53 +256,66 @@ def model_grid(kinds: Iterable[str], mitigations: Iterable[str], attributes: Ite
     return grid
 
 
-def fit_grid(df: DataFrame, features: list[str], grid: list[GridEntry], label: str = "approved",
-             split: str = "split", forest_trees: int = FOREST_TREES, logistic_iter: int = LOGISTIC_MAX_ITER,
-             mlp_iter: int = 100, key: str = "application_id", parallel: int = 4) -> DataFrame:
-    """Fit every grid entry and return long predictions
-    (key, split, attribute values..., label, model_id, prediction).
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files over all cores (many passes read it); a table of
+    many partitions is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def fit_grid_packed(df: DataFrame, features: list[str], grid: list[GridEntry], label: str = "approved",
+                    split: str = "split", forest_trees: int = FOREST_TREES, logistic_iter: int = LOGISTIC_MAX_ITER,
+                    mlp_iter: int = 100, key: str = "application_id", store=None, version: str = ""):
+    """Fit every grid entry by shared passes (``sharedfit``) and decide all
+    rows in one: (key, split, label, attributes, decisions), the array holding
+    one decision per entry in the grid's order, and the fitted arms.
 
     ``df`` holds both splits (``split`` = train / test) and should be a stored
-    table. Reweighing fits take the train split's weights for the entry's
-    attribute; repair fits take features repaired per split (M3), stored once
-    per attribute for all model kinds. Fits are submitted from a small driver
-    thread pool so Spark can run them side by side; a fitted model then decides
-    both splits in one pass over its table.
-    """
+    table. Reweighing arms take the train split's weights for the entry's
+    attribute; repair arms take features repaired per split (M3), all
+    attributes from one repair fit per split, beside the original ones in one
+    stored table. With a ``store``, arms fitted before are loaded."""
+    from equiloan.operators import sharedfit
     from equiloan.operators.cumulative import materialize
-    from equiloan.operators.mitigate import apply_weights, repair_disparate_impact, reweigh_weights
+    from equiloan.operators.mitigate import repair_edges, repaired_columns, reweigh_weights
 
     attrs = sorted({g.attribute for g in grid if g.attribute})
-    train = df.filter(F.col(split) == "train")
-    weights = materialize(reweigh_weights(train, attrs, label), "grid-weights") if attrs else None
-    repaired = {}
-    for a in attrs:
-        if any(g.mitigation == "repair" and g.attribute == a for g in grid):
-            parts = [repair_disparate_impact(df.filter(F.col(split) == s), features, a) for s in ("train", "test")]
-            repaired[a] = materialize(parts[0].unionByName(parts[1]), "grid-repaired")
-
-    def one(g: GridEntry) -> DataFrame:
-        rows, w = df, None
-        if g.mitigation == "repair":
-            rows = repaired[g.attribute]
-        tr = rows.filter(F.col(split) == "train")
-        if g.mitigation == "reweighing":
-            tr = apply_weights(tr, weights, g.attribute, label)
-            w = "weight"
-        if g.kind == "rf":
-            m = fit_forest(tr, features, label, weight=w, num_trees=forest_trees)
-        elif g.kind == "lr":
-            m = fit_logistic(tr, features, label, weight=w, max_iter=logistic_iter)
-        elif g.kind == "mlp":
-            m = fit_mlp(tr, features, label, weight=w, max_iter=mlp_iter, key=key)
-        else:
+    weights = reweigh_weights(df.filter(F.col(split) == "train"), attrs, label) if attrs else None
+    repaired = sorted({g.attribute for g in grid if g.mitigation == "repair"})
+    names = {a: {f: f"{f}__{a}" for f in features} for a in repaired}
+    table = df
+    if repaired:
+        parts = []
+        for s in ("train", "test"):
+            part = df.filter(F.col(split) == s)
+            edges = repair_edges(part, features, repaired)
+            for a in repaired:
+                part = repaired_columns(part, edges, features, a, names=names[a])
+            parts.append(part)
+        table = parts[0].unionByName(parts[1])
+    table = materialize(spread(table), "grid-table")
+    layout = sharedfit.Layout(key, label, attrs, [list(features), *[list(names[a].values()) for a in repaired]])
+    arms = []
+    for g in grid:
+        if g.kind not in ("rf", "lr", "mlp"):
             raise ValueError(g.kind)
-        keep = [key, split, label, *[a for a in attrs if a in df.columns]]
-        return predict(m, rows, keep).drop("probability_1").withColumn("model_id", F.lit(g.model_id))
-
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        parts = list(pool.map(one, grid))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        arms.append(sharedfit.Arm(g.model_id, g.kind, 1 + repaired.index(g.attribute) if g.mitigation == "repair" else 0,
+                                  attrs.index(g.attribute) if g.mitigation == "reweighing" else None, trees=forest_trees))
+    fit = sharedfit.fit_arms(table.filter(F.col(split) == "train"), layout, arms, weights, logistic_iter, mlp_iter,
+                             store=store, version=version)
+    return sharedfit.score(fit, table, arms, [key, split, label, *attrs]), fit
+
+
+def unpacked(packed: DataFrame, model_ids: list[str], decisions: str = "decisions") -> DataFrame:
+    """One row per model from the packed decisions: model_id, prediction."""
+    rest = [c for c in packed.columns if c != decisions]
+    long = packed.select(*rest, F.posexplode(decisions).alias("_model", "prediction"))
+    names = F.array(*[F.lit(m) for m in model_ids])
+    return long.select(*rest, F.get(names, F.col("_model")).alias("model_id"), "prediction")
+
+
+def fit_grid(df: DataFrame, features: list[str], grid: list[GridEntry], **settings) -> DataFrame:
+    """``fit_grid_packed`` as long predictions (key, split, label, attribute
+    values..., model_id, prediction)."""
+    packed, _ = fit_grid_packed(df, features, grid, **settings)
+    return unpacked(packed, [g.model_id for g in grid])

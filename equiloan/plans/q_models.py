@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from equiloan.constants import ATTRIBUTES, PREDICTORS, TUNE_GRID
 from equiloan.functions.columns import round6
-from equiloan.operators import compose, mitigate, models, parity, prep, report, splits
+from equiloan.operators import compose, mitigate, models, parity, prep, report, sharedfit, splits
 from equiloan.operators.cumulative import materialize
 from equiloan.plans import oracle as O
 from equiloan.plans import views
@@ -37,7 +37,7 @@ def _data(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = prep.primary_denial_reason(views.labelled(spark, sf_dir)).select(
         "application_id", *PREDICTORS, "approved", *ATTRIBUTES, "tract_minority_population_percent",
         "primary_denial_reason")
-    return materialize(splits.stratified_split(prep.equal_width_bins(prepared)), "model-table")
+    return materialize(models.spread(splits.stratified_split(prep.equal_width_bins(prepared))), "model-table")
 
 
 def _train(df: DataFrame) -> DataFrame:
@@ -113,26 +113,30 @@ def q_feature_importance_values(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "rank int, feature string, importance double")
 
 
-_GRID_SQL = (f"SELECT t AS num_trees, d AS max_depth, m AS min_instances, TRUE AS accuracy_valid FROM "
-             f"(SELECT CAST(UNNEST({TUNE_GRID['numTrees']}) AS INT) AS t), (SELECT CAST(UNNEST({TUNE_GRID['maxDepth']}) "
-             f"AS INT) AS d), (SELECT CAST(UNNEST({TUNE_GRID['minInstancesPerNode']}) AS INT) AS m)")
+_GRID_SQL = O.with_inputs(
+    "SELECT t AS num_trees, d AS max_depth, m AS min_instances, n AS n_train, TRUE AS accuracy_valid FROM "
+    f"(SELECT CAST(UNNEST({TUNE_GRID['numTrees']}) AS INT) AS t), (SELECT CAST(UNNEST({TUNE_GRID['maxDepth']}) AS INT) AS d), "
+    f"(SELECT CAST(UNNEST({TUNE_GRID['minInstancesPerNode']}) AS INT) AS m), "
+    "(SELECT COUNT(*) AS n FROM splitted WHERE split = 'train')", *O.split_ctes())
+_GRID_COLUMNS = "num_trees int, max_depth int, min_instances int, n_train long"
 
 
 @register("tune_forest", _GRID_SQL)
 def q_tune_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3: 3-fold cross-validation over the whole grid (trees x depth x leaf
     size, 8 settings), the best refitted; a mean accuracy per setting."""
-    _, rows = models.tune_forest(_train(_data(spark, sf_dir)), PREDICTORS, folds=3)
-    out = [(t, d, m, 0.5 <= acc <= 1.0) for t, d, m, acc in rows]
-    return spark.createDataFrame(out, "num_trees int, max_depth int, min_instances int, accuracy_valid boolean")
+    train = _train(_data(spark, sf_dir))
+    n, (_, _, rows) = train.count(), sharedfit.tune_forest(train, PREDICTORS, folds=3)
+    return spark.createDataFrame([(t, d, m, n, 0.5 <= acc <= 1.0) for t, d, m, acc in rows],
+                                 _GRID_COLUMNS + ", accuracy_valid boolean")
 
 
 @register("tune_forest_values")
 def q_tune_forest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3: the mean accuracy of every setting of the grid."""
-    _, rows = models.tune_forest(_train(_data(spark, sf_dir)), PREDICTORS, folds=3)
-    return spark.createDataFrame([(t, d, m, float(acc)) for t, d, m, acc in rows],
-                                 "num_trees int, max_depth int, min_instances int, accuracy double")
+    train = _train(_data(spark, sf_dir))
+    n, (_, _, rows) = train.count(), sharedfit.tune_forest(train, PREDICTORS, folds=3)
+    return spark.createDataFrame([(t, d, m, n, float(acc)) for t, d, m, acc in rows], _GRID_COLUMNS + ", accuracy double")
 
 
 @register("fit_logistic", COVERED_SQL)
@@ -231,23 +235,34 @@ GRID = models.model_grid(KINDS, MITIGATIONS, ATTRIBUTES)
 _MODELS_SQL = "SELECT UNNEST([" + ", ".join(f"'{g.model_id}'" for g in GRID) + "]) AS model_id"
 
 
-_GRIDS: dict[tuple, tuple[str, str]] = {}
+MODEL_IDS = [g.model_id for g in GRID]
+_GRIDS: dict[tuple, tuple[str, str, str, str]] = {}
 _GRID_LOCK = threading.Lock()
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(predictions, their cells) of the whole grid, fitted once per
-    application and version of the input files and stored."""
+def _fit(spark: SparkSession, sf_dir: str, table: str, store: str) -> tuple[DataFrame, sharedfit.Fitted]:
+    return models.fit_grid_packed(spark.read.parquet(table), PREDICTORS, GRID, mlp_iter=MLP_ITERATIONS,
+                                  store=sharedfit.ModelStore(spark, store), version=str(views.versions(spark, sf_dir)))
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[str, str, str, str]:
+    """Paths of the model table, the packed decisions of the whole grid, their
+    cells and the model store: fitted once per application and version of the
+    input files."""
     key = (spark.sparkContext.applicationId, *views.versions(spark, sf_dir))
     with _GRID_LOCK:
         if key not in _GRIDS:
-            paths = shared_path(spark, "grid"), shared_path(spark, "grid-cells")
-            models.fit_grid(_data(spark, sf_dir), PREDICTORS, GRID, mlp_iter=MLP_ITERATIONS).write.parquet(paths[0])
-            parity.contingency(spark.read.parquet(paths[0]), ATTRIBUTES, decision="prediction",
-                               by=["model_id", "split"]).write.parquet(paths[1])
+            paths = tuple(shared_path(spark, n) for n in ("grid-rows", "grid", "grid-cells", "grid-models"))
+            _data(spark, sf_dir).write.parquet(paths[0])
+            _fit(spark, sf_dir, paths[0], paths[3])[0].write.parquet(paths[1])
+            long = models.unpacked(spark.read.parquet(paths[1]), MODEL_IDS)
+            parity.contingency(long, ATTRIBUTES, decision="prediction", by=["model_id", "split"]).write.parquet(paths[2])
             _GRIDS[key] = paths
-        preds, cells = _GRIDS[key]
-    return spark.read.parquet(preds), spark.read.parquet(cells)
+        return _GRIDS[key]
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(_grid(spark, sf_dir)[2])
 
 
 @register("fit_mitigated", O.with_inputs(
@@ -261,7 +276,7 @@ def q_fit_mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
     attribute: rows, rows decided, and whether every decision metric and score
     lies in its range."""
     by = ["model_id", "split"]
-    _, ct = _grid(spark, sf_dir)
+    ct = _cells(spark, sf_dir)
     unit = lambda c, lo: F.coalesce(F.col(c).between(lo, 1), F.lit(True))
     m = parity.parity_metrics(ct, by=by).select(
         *by, "attribute", (unit("decision_parity_difference", -1) & unit("average_odds_difference", -1)
@@ -278,36 +293,49 @@ def q_fit_mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_mitigated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 of the 39 models: per model and split every parity metric and score,
     attributes as columns."""
-    return report.grid_results(_grid(spark, sf_dir)[1], ATTRIBUTES)
+    return report.grid_results(_cells(spark, sf_dir), ATTRIBUTES)
 
 
 @register("mitigated_plot_series")
 def q_mitigated_plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 of the 39 models: parity and score series, original, reweighed and
     repaired."""
-    return report.grid_plot_series(_grid(spark, sf_dir)[1], GRID, ATTRIBUTES, {"parity": PLOT_METRICS, "scores": SCORES})
+    return report.grid_plot_series(_cells(spark, sf_dir), GRID, ATTRIBUTES, {"parity": PLOT_METRICS, "scores": SCORES})
 
 
 @register("mitigated_approval_series")
 def q_mitigated_approval_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4 of the 39 models: approval rate of labels and decisions per model,
     split, attribute and group."""
-    return report.approval_series(_grid(spark, sf_dir)[1], by=["model_id", "split"])
+    return report.approval_series(_cells(spark, sf_dir), by=["model_id", "split"])
 
 
 @register("mitigated_comparison")
 def q_mitigated_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6 of the 39 models: decision parity original, reweighed and repaired
     per kind, split and attribute, with the changes."""
-    return report.grid_comparison(_grid(spark, sf_dir)[1], GRID, ATTRIBUTES, "decision_parity_difference")
+    return report.grid_comparison(_cells(spark, sf_dir), GRID, ATTRIBUTES, "decision_parity_difference")
 
 
 @register("mitigated_decisions")
 def q_mitigated_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 of the 39 models: every model's decision beside the row."""
     rows = views.labelled(spark, sf_dir).select("application_id", "approved")
-    return compose.attach_model_decisions(rows, _grid(spark, sf_dir)[0], [g.model_id for g in GRID],
-                                          decision="prediction")
+    return compose.attach_packed_decisions(rows, spark.read.parquet(_grid(spark, sf_dir)[1]), MODEL_IDS)
+
+
+@register("reload_mitigated", O.with_inputs(
+    f"SELECT {len(GRID)} AS n_models, {len(GRID)} AS n_loaded, COUNT(*) AS n, COUNT(*) AS n_equal FROM splitted",
+    *O.split_ctes()))
+def q_reload_mitigated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 with L10: the grid fitted a second time loads every model from the
+    store instead of training, and decides every row alike."""
+    table, packed, _, store = _grid(spark, sf_dir)
+    again, fit = _fit(spark, sf_dir, table, store)
+    first = spark.read.parquet(packed).select("application_id", F.col("decisions").alias("first"))
+    both = first.join(again.select("application_id", "decisions"), "application_id")
+    return both.agg(F.lit(len(GRID)).cast("long").alias("n_models"), F.lit(len(fit.loaded)).cast("long").alias("n_loaded"),
+                    F.count(F.lit(1)).alias("n"), F.count_if(F.col("first").eqNullSafe(F.col("decisions"))).alias("n_equal"))
 
 
 @register("attach_statistics", O.with_inputs(

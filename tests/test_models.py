@@ -76,12 +76,13 @@ def test_save_and_load_give_equal_predictions(spark, tmp_path):
 def test_reports_of_fitted_models_hold_values(spark):
     """R1, R3, R4 and R6 of a small grid against a count over its predictions."""
     from equiloan.operators import parity, report
+    from equiloan.operators.cumulative import materialize
 
     attrs = ["a50", "a60"]
     df = _data(spark, 600).withColumn("a50", (F.col("f1") > 0.2).cast("int")).withColumn(
         "a60", (F.col("f3") > 0).cast("int"))
     grid = models.model_grid(["lr"], ["reweighing", "repair"], attrs)
-    preds = models.fit_grid(df, FEATS, grid, logistic_iter=20).localCheckpoint()
+    preds = materialize(models.fit_grid(df, FEATS, grid, logistic_iter=20))
     ct = parity.contingency(preds, attrs, decision="prediction", by=["model_id", "split"])
     p = preds.filter("split = 'test'").toPandas()
 
