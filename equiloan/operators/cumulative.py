@@ -7,14 +7,17 @@ becomes a third of the table in one task. Instead:
 
 1. work on the distinct-value table ``(group, x) -> n`` (ties collapse);
 2. cut each group into coarse buckets that are monotone in ``x`` (a natural
-   grid such as ``x div 1024``, or approximate quantiles of ``x``; the bucket
-   edges only balance the work, they never change the result);
-3. sum ``n`` per (group, bucket) - a table of groups x buckets rows - and turn
-   it into per-bucket offsets with a window over that small table;
+   grid such as ``x div 1024``, or Spark's range partitions of (group, x), as
+   many as keep one at ``TARGET_ROWS_PER_BUCKET`` rows; where the cuts fall
+   only balances the work, it never changes the result);
+3. sum ``n`` per (group, bucket) and turn the sums into per-bucket offsets: a
+   window over at most ``FAN`` buckets, and above that a tree of such windows
+   over the totals of ``FAN`` buckets each;
 4. run the inclusive running sum inside each (group, bucket) and add the
    offset.
 
-The result is exact and each task holds about 1/buckets of a group.
+The result is exact, and no task holds more than a bucket of rows or ``FAN``
+totals, however many rows there are.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 
 TARGET_ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 1024
+#: Bucket totals summed by one window.
+FAN = 4096
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -53,48 +57,47 @@ def materialize_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame,
     return table, table.count()
 
 
-def buckets_for(rows: int, target: int = TARGET_ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
-    """Coarse buckets per key from a table's total row count: an upper bound
-    of any key's rows, so each bucket holds at most about ``target`` rows."""
-    return int(max(1, min(max_buckets, -(-rows // target))))
+def buckets_for(rows: int, target: int | None = None) -> int:
+    """Coarse buckets for a table of so many rows, about ``target`` rows each."""
+    return int(max(1, -(-rows // (target or TARGET_ROWS_PER_BUCKET))))
 
 
-def auto_buckets(dist: DataFrame, keys: Iterable[str], target: int = TARGET_ROWS_PER_BUCKET,
-                 max_buckets: int = MAX_BUCKETS) -> int:
-    """Coarse buckets per key so that a bucket holds about ``target``
-    distinct rows: 1 on small data, up to ``max_buckets`` at scale. Measured
-    with one small aggregation (one row per key)."""
-    keys = list(keys)
-    row = dist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k").alias("_m")).first()
-    largest = (row["_m"] or 0) if row else 0
-    return int(max(1, min(max_buckets, -(-largest // target))))
-
-
-def quantile_buckets(df: DataFrame, keys: Iterable[str], value: str, buckets: int | None = None,
-                     accuracy: int = 10000) -> DataFrame:
-    """Add ``_cb``: a coarse bucket monotone in ``value`` within ``keys``, from
-    approximate quantile edges (one sketch aggregation per key). ``None``
-    sizes the buckets from the data (``auto_buckets``); when one bucket per
-    key suffices no column is added and ``running_total`` uses one window."""
-    keys = list(keys)
-    if buckets is None:
-        buckets = auto_buckets(df, keys)
+def range_buckets(df: DataFrame, keys: Iterable[str], value: str, buckets: int) -> DataFrame:
+    """Add ``_cb``, a coarse bucket monotone in ``value`` within ``keys``: the
+    range partition of the row. The table is written, so that the buckets are
+    the same for all that read them. With one bucket nothing is added or
+    written and ``running_total`` uses one window."""
     if buckets <= 1:
         return df
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias("_edges"))
-    joined = df.join(edges, keys, "inner")
-    cb = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))
-    return joined.withColumn("_cb", cb).drop("_edges")
+    cut = df.repartitionByRange(buckets, *keys, value).withColumn("_cb", F.spark_partition_id().cast("long"))
+    return materialize(cut, "ranges")
+
+
+def _offsets(totals: DataFrame, keys: list[str], counts: list[str], buckets: int) -> DataFrame:
+    """(keys, _cb, _off_<c>): the sum of ``_t_<c>`` over all buckets before."""
+    if buckets <= FAN:
+        before = Window.partitionBy(*keys).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(*keys, "_cb", *[
+            F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in counts])
+    up = totals.withColumn("_up", F.floor(F.col("_cb") / F.lit(FAN)).cast("long"))
+    above = _offsets(up.groupBy(*keys, F.col("_up").alias("_cb")).agg(*[F.sum(f"_t_{c}").alias(f"_t_{c}") for c in counts]),
+                     keys, counts, -(-buckets // FAN))
+    above = above.select(*keys, F.col("_cb").alias("_up"), *[F.col(f"_off_{c}").alias(f"_up_{c}") for c in counts])
+    before = Window.partitionBy(*keys, "_up").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    inner = up.select(*keys, "_up", "_cb", *[
+        F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_in_{c}") for c in counts])
+    return inner.join(above, [*keys, "_up"], "inner").select(*keys, "_cb", *[
+        (F.col(f"_up_{c}") + F.col(f"_in_{c}")).alias(f"_off_{c}") for c in counts])
 
 
 def running_total(df: DataFrame, keys: Iterable[str], order: str, counts: Iterable[str] | str,
-                  coarse: Column | None = None, prefix: str = "cum_") -> DataFrame:
+                  coarse: Column | None = None, prefix: str = "cum_", buckets: int = 1) -> DataFrame:
     """Inclusive running sums of ``counts`` over ``order`` within ``keys``.
 
     ``df`` must hold one row per (keys, order). ``coarse`` is a bucket column
     monotone in ``order`` within ``keys``; if None, a ``_cb`` column already
-    on ``df`` is used, else one bucket per key.
+    on ``df`` is used, else one bucket per key. ``buckets`` is a bound of the
+    bucket numbers.
     """
     keys = list(keys)
     counts = [counts] if isinstance(counts, str) else list(counts)
@@ -109,9 +112,7 @@ def running_total(df: DataFrame, keys: Iterable[str], order: str, counts: Iterab
         d = df.withColumn("_cb", F.col("_cb").cast("long"))
     # Per-bucket totals: groups x buckets rows.
     totals = d.groupBy(*keys, "_cb").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
-    before = Window.partitionBy(*keys).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_cb", *[
-        F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in counts])
+    offsets = _offsets(totals, keys, counts, buckets)
     within = Window.partitionBy(*keys, "_cb").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     inner = d.select("*", *[F.sum(c).over(within).alias(f"_in_{c}") for c in counts])
@@ -138,8 +139,9 @@ def exact_quantiles(df: DataFrame, keys: Iterable[str], value: str, probs: list[
     names = names or [f"q{int(round(p * 100))}" for p in probs]
     dist, rows = materialize_counted(
         distinct_counts(df.select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v", "_n"), "quantile-dist")
-    dist = quantile_buckets(dist, keys, "_v", buckets if buckets is not None else buckets_for(rows))
-    cum = running_total(dist, keys, "_v", "_n")
+    buckets = buckets if buckets is not None else buckets_for(rows)
+    dist = range_buckets(dist, keys, "_v", buckets)
+    cum = running_total(dist, keys, "_v", "_n", buckets=buckets)
     totals = dist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     c = cum.join(totals, keys, "inner")
     first_rank = F.col("cum__n") - F.col("_n")   # 0-based rank of the first copy

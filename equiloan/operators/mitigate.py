@@ -33,7 +33,7 @@ from equiloan.operators.cumulative import (
     buckets_for,
     materialize,
     materialize_counted,
-    quantile_buckets,
+    range_buckets,
     running_total,
 )
 from equiloan.operators.parity import contingency
@@ -128,9 +128,8 @@ def _feature_long(df: DataFrame, features: list[str], attribute: str) -> DataFra
 def repair_edges(df: DataFrame, features: Iterable[str], attributes: Iterable[str] | str,
                  max_buckets: int | None = None, coarse_buckets: int | None = None) -> DataFrame:
     """M3 fit: one row per (attribute, g) with, for every feature, the upper
-    edges of the group's quantile buckets (``hi_<f>``), every ``BLOCK``-th of
-    them (``top_<f>``) and the bucket's median-distribution value
-    (``mid_<f>``). A value's bucket is monotone in the value within its group,
+    edges of the group's quantile buckets (``hi_<f>``) and the bucket's
+    median-distribution value (``mid_<f>``). A value's bucket is monotone in the value within its group,
     so the edges say everything the repair needs. With more than
     ``ARRAY_EDGES`` buckets in some feature: one row per (attribute, feature,
     g, value) with its ``mid`` (null where the feature stays as it is).
@@ -150,9 +149,9 @@ def repair_edges(df: DataFrame, features: Iterable[str], attributes: Iterable[st
                 .filter(F.col("value").isNotNull()))
     features_rows, wide_rows = materialize_counted(by_value.groupBy("feature", "value").agg(
         *[F.count_if(F.col(a) == F.lit(g)).alias(f"c{i}") for i, (a, g) in enumerate(cells)]), "repair-dist")
-    wide = quantile_buckets(features_rows, ["feature"], "value",
-                            coarse_buckets if coarse_buckets is not None else buckets_for(wide_rows))
-    wcum = running_total(wide, ["feature"], "value", [f"c{i}" for i in range(len(cells))])
+    buckets = coarse_buckets if coarse_buckets is not None else buckets_for(wide_rows)
+    wide = range_buckets(features_rows, ["feature"], "value", buckets)
+    wcum = running_total(wide, ["feature"], "value", [f"c{i}" for i in range(len(cells))], buckets=buckets)
     stack = ", ".join(f"'{a}', {g}, c{i}, cum_c{i}" for i, (a, g) in enumerate(cells))
     cum = (wcum.selectExpr("feature", "value", f"stack({len(cells)}, {stack}) as (attribute, g, n, cum_n)")
            .filter(F.col("n") > 0))
@@ -175,25 +174,20 @@ def repair_edges(df: DataFrame, features: Iterable[str], attributes: Iterable[st
         return materialize(
             ub.join(mid, ["attribute", "feature", "b"], "inner")
             .select(*keys, "value", F.when(F.col("ngroups") >= 2, F.col("mid")).alias("mid")), "repair-values")
-    # mid: at most attributes x features x ARRAY_EDGES rows - a bounded broadcast.
     edges = (ub.filter(F.col("ngroups") >= 2).groupBy(*keys, "b").agg(F.max("value").alias("hi"))
-             .join(F.broadcast(mid), ["attribute", "feature", "b"], "inner")
+             .join(mid, ["attribute", "feature", "b"], "inner")
              .groupBy("attribute", "g", "feature")
              .agg(F.sort_array(F.collect_list(F.struct("b", "hi", "mid"))).alias("e")))
-    tops = F.transform(F.sequence(F.lit(1), F.floor(F.size("e") / F.lit(BLOCK)).cast("int")),
-                       lambda i: F.element_at("e", i * F.lit(BLOCK))["hi"])
-    edges = edges.select("attribute", "g", "feature", F.col("e.hi").alias("hi"), F.col("e.mid").alias("mid"),
-                         F.when(F.size("e") >= BLOCK, tops).otherwise(F.array().cast("array<double>")).alias("top"))
+    edges = edges.select("attribute", "g", "feature", F.col("e.hi").alias("hi"), F.col("e.mid").alias("mid"))
     pick = lambda f, c: F.first(F.when(F.col("feature") == F.lit(f), F.col(c)), ignorenulls=True)
     wide = edges.groupBy("attribute", "g").agg(
-        *[pick(f, c).alias(f"{c}_{i}") for i, f in enumerate(features) for c in ("hi", "top", "mid")])
+        *[pick(f, c).alias(f"{c}_{i}") for i, f in enumerate(features) for c in ("hi", "mid")])
     return materialize(wide, "repair-edges")
 
 
-#: Edges are searched in two steps: among every BLOCK-th, then inside a block.
-BLOCK = 32
-#: Up to so many edges per feature and group are handed on as arrays.
-ARRAY_EDGES = 1000
+#: Up to so many edges per feature and group are handed on as arrays (16 bytes
+#: each, and two rows of them are broadcast); more are joined by value.
+ARRAY_EDGES = 100_000
 #: Buckets are filled in runs of so many, one task each.
 FILL_RUN = 100_000
 
@@ -221,11 +215,12 @@ def _filled(sizes: DataFrame, means: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _repaired(x, i: int, level: float):
-    """The repaired value of column ``x`` given the arrays of feature ``i``."""
-    hi, top, mid = (F.col(f"{c}_{i}") for c in ("hi", "top", "mid"))
-    skip = F.size(F.filter(top, lambda t: t < x)) * F.lit(BLOCK)
-    place = skip + F.size(F.filter(F.slice(hi, skip + F.lit(1), F.lit(BLOCK)), lambda t: t < x)) + F.lit(1)
-    at = F.element_at(mid, F.least(place, F.size(hi)))
+    """The repaired value of column ``x`` given the arrays of feature ``i``:
+    the edges below ``x`` are counted by halving steps."""
+    hi, mid = F.col(f"hi_{i}"), F.col(f"mid_{i}")
+    steps = F.array(*[F.lit(1 << k) for k in range(ARRAY_EDGES.bit_length() - 1, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(hi, n + s - F.lit(1)) < x, n + s).otherwise(n))
+    at = F.get(mid, F.least(below, F.size(hi) - F.lit(1)))
     lam = F.lit(float(level))
     return F.when(x.isNull() | hi.isNull(), x).otherwise((F.lit(1.0) - lam) * x + lam * at)
 
@@ -248,7 +243,7 @@ def repaired_columns(df: DataFrame, edges: DataFrame, features: Iterable[str], a
         return _repaired_by_value(df, edges, features, attribute, level, names)
     joined = _with_arrays(df, edges, features, attribute)
     new = {names[f]: _repaired(F.col(f).cast("double"), i, level) for i, f in enumerate(features)}
-    return joined.withColumns(new).drop("_g", *[f"{c}_{i}" for i in range(len(features)) for c in ("hi", "top", "mid")])
+    return joined.withColumns(new).drop("_g", *[f"{c}_{i}" for i in range(len(features)) for c in ("hi", "mid")])
 
 
 def _repaired_by_value(df: DataFrame, values: DataFrame, features: list[str], attribute: str, level: float,
@@ -288,9 +283,9 @@ def group_gap(df: DataFrame, features: Iterable[str], attribute: str, coarse_buc
         F.avg(F.when(F.col("g") == 1, F.col("value"))).alias("mean_privileged"))
     dist, rows = materialize_counted(long.groupBy("feature", "value").agg(
         F.count_if(F.col("g") == 0).alias("n0"), F.count_if(F.col("g") == 1).alias("n1")), "gap-dist")
-    dist = quantile_buckets(dist, ["feature"], "value",
-                            coarse_buckets if coarse_buckets is not None else buckets_for(rows))
-    cum = running_total(dist, ["feature"], "value", ["n0", "n1"])
+    buckets = coarse_buckets if coarse_buckets is not None else buckets_for(rows)
+    dist = range_buckets(dist, ["feature"], "value", buckets)
+    cum = running_total(dist, ["feature"], "value", ["n0", "n1"], buckets=buckets)
     tot = dist.groupBy("feature").agg(F.sum("n0").alias("tot0"), F.sum("n1").alias("tot1"))
     gap = F.abs(safe_div(F.col("cum_n0").cast("double"), F.col("tot0").cast("double"))
                 - safe_div(F.col("cum_n1").cast("double"), F.col("tot1").cast("double")))

@@ -115,8 +115,7 @@ def split_ctes(source: str = "labelled", seed: int = 42, fraction: float = 0.25)
     ]
 
 
-def repair_ctes(p: str, source: str, attributes: list[str] | str, features: list[str], level: float = 1.0,
-                max_buckets: int = 1000) -> list[tuple[str, str]]:
+def repair_ctes(p: str, source: str, attributes: list[str] | str, features: list[str], level: float = 1.0) -> list[tuple[str, str]]:
     """M3 as SQL windows: ``{p}_rep`` = (attribute, feature, g, value, repaired)."""
     attributes = [attributes] if isinstance(attributes, str) else list(attributes)
     long = "\nUNION ALL\n".join(
@@ -128,7 +127,7 @@ def repair_ctes(p: str, source: str, attributes: list[str] | str, features: list
         (f"{p}_long", long),
         (f"{p}_dist", f"SELECT {k}, value, COUNT(*) AS n FROM {p}_long GROUP BY {k}, value"),
         (f"{p}_tot", f"SELECT {k}, SUM(n) AS ng FROM {p}_dist GROUP BY {k}"),
-        (f"{p}_pf", f"SELECT attribute, feature, CAST(LEAST({max_buckets}, MIN(ng)) AS BIGINT) AS bb, "
+        (f"{p}_pf", f"SELECT attribute, feature, CAST(MIN(ng) AS BIGINT) AS bb, "
                     f"COUNT(*) AS ngroups FROM {p}_tot GROUP BY attribute, feature"),
         (f"{p}_ub", f"""SELECT d.attribute, d.feature, d.g, d.value, d.n, pf.bb, pf.ngroups,
   CAST(LEAST(FLOOR(((CAST(SUM(d.n) OVER (PARTITION BY d.attribute, d.feature, d.g ORDER BY d.value) AS DOUBLE)

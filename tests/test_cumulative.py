@@ -2,17 +2,23 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from equiloan.operators.cumulative import exact_quantiles, quantile_buckets, running_total
+from equiloan.operators import cumulative
+from equiloan.operators.cumulative import exact_quantiles, range_buckets, running_total
 
 
-def test_running_total_matches_cumsum_with_many_buckets(spark):
+@pytest.mark.parametrize("fan", [4096, 2])
+def test_running_total_matches_cumsum_with_many_buckets(spark, monkeypatch, fan):
+    """Seven buckets under one window of totals, and under a tree of windows
+    over two totals each."""
+    monkeypatch.setattr(cumulative, "FAN", fan)
     rng = np.random.default_rng(7)
     vals = rng.integers(0, 500, size=3000)
     grp = rng.integers(0, 3, size=3000)
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(grp, vals)], "g int, v double")
     dist = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    dist = quantile_buckets(dist, ["g"], "v", buckets=7)
-    got = {(r["g"], r["v"]): r["cum_n"] for r in running_total(dist, ["g"], "v", "n").collect()}
+    dist = range_buckets(dist, ["g"], "v", 7)
+    assert dist.groupBy("_cb").count().agg(F.max("count")).first()[0] < dist.count() / 3
+    got = {(r["g"], r["v"]): r["cum_n"] for r in running_total(dist, ["g"], "v", "n", buckets=7).collect()}
     for g in range(3):
         vs, cnt = np.unique(vals[grp == g], return_counts=True)
         for v, c in zip(vs, np.cumsum(cnt)):
