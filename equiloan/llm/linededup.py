@@ -18,10 +18,14 @@ ways give the same rows, as the exact table decides.
 
 A line's key is the line without white space at both ends and with A-Z
 lower-cased; it is compared by a 128-bit hash. Lines under ``min_chars`` code
-points are never dropped. Null or empty text is one empty line. A line that
-occurs twice in one document counts once for it; rows that share a doc_id
-count once each. Ties cannot occur: the largest doc_id is unique, and rows
-that share it all keep the line. A null doc_id never holds the largest id.
+points are never dropped. Null or empty text is one empty line; very long
+texts and lines are read whole. A line that occurs twice in one document counts
+once for it, and rows that share a doc_id are one document where documents are
+counted (rows without an id too): the ids that occur on several rows are found
+first, and only their postings are made distinct. Inserting a document again
+changes nothing. Ties cannot occur: the largest doc_id is unique, and rows that
+share it all keep the line. A null doc_id never holds the largest id. An empty
+table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_KEYS = 50_000
 FILTER_BYTES = 64 << 20
+#: Repeated ids that may be broadcast (8 bytes each).
+BROADCAST_IDS = 500_000
 
 
 # --- cuckoo filter -----------------------------------------------------------
@@ -176,6 +182,21 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS, probe=None) -> DataFra
         _postings(min_chars, probe), _POSTING)
 
 
+def document_postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``postings`` with one row per (doc_id, key), also where rows share an
+    id: the ids on several rows (a shuffle of ids alone) are found first, and
+    only their postings are shuffled to become distinct."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("_doc"))
+    again = stash(ids.groupBy("_doc").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("_doc"), "line-ids")
+    post = postings(docs, min_chars)
+    n = again.count()
+    if not n:
+        return post
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    same = F.col("doc_id").eqNullSafe(F.col("_doc"))
+    return post.join(again, same, "left_anti").unionByName(post.join(again, same, "left_semi").distinct())
+
+
 def reference_counts(post: DataFrame) -> DataFrame:
     """(hi, lo) -> n_docs, max_doc: the exact table."""
     return post.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
@@ -265,7 +286,7 @@ def decide(docs: DataFrame, repeated: DataFrame, min_chars: int, filter_bytes: i
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, text (lines that stay), n_lines, n_dropped, kept_sha256."""
-    repeated = stash(reference_counts(postings(docs, min_chars)).filter(F.col("n_docs") >= min_docs), "line-keys")
+    repeated = stash(reference_counts(document_postings(docs, min_chars)).filter(F.col("n_docs") >= min_docs), "line-keys")
     return decide(docs, repeated, min_chars, filter_bytes)
 
 
@@ -280,7 +301,8 @@ class LineIndex:
         self.postings = spark.createDataFrame([], _POSTING)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        self.postings = stash(self.postings.unionByName(postings(docs, self.min_chars)), "line-postings")
+        both = self.postings.unionByName(document_postings(docs, self.min_chars))
+        self.postings = stash(both.dropDuplicates(["doc_id", "hi", "lo"]), "line-postings")
         return self
 
     def delete(self, doc_ids: DataFrame | Iterable[int]) -> LineIndex:

@@ -43,11 +43,11 @@ BLANK = " \t\n\x0b\x0c\r"
 
 def _lines(rows, min_chars, min_docs):
     holders = {}
-    for n, (i, t, *_) in enumerate(rows):
+    for i, t, *_ in rows:
         for k in {_norm(x.strip(BLANK)) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
-                holders.setdefault(k, []).append((n, i))
-    last = {k: max((i for _, i in v if i is not None), default=None) for k, v in holders.items() if len(v) >= min_docs}
+                holders.setdefault(k, set()).add(i)
+    last = {k: max((i for i in v if i is not None), default=None) for k, v in holders.items() if len(v) >= min_docs}
     out = []
     for i, t, *_ in rows:
         parts = (t or "").split("\n")
@@ -102,3 +102,15 @@ def test_cuckoo_filter():
     f.delete(keys[:2500])
     assert f.contains(keys[2500:]).all()
     assert f.contains(keys[:2500]).mean() < 0.05
+
+
+def test_rows_of_one_document_count_once(spark):
+    line = LONG_LINE + " once more"
+    rows = [(1, line, "en", "a")] * 3 + [(2, line, "en", "a"), (3, line, "en", "a")]
+    df = docs_frame(spark, rows)
+    assert {r["n_dropped"] for r in linededup.line_dedup(df).collect()} == {0}
+    five = docs_frame(spark, rows + [(4, line, "en", "a"), (None, line, "en", "a"), (None, line, "en", "a")])
+    got = sorted(((r["doc_id"] or 0, r["n_dropped"]) for r in linededup.line_dedup(five).collect()))
+    assert got == [(0, 0), (0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 0)]
+    index = linededup.LineIndex(spark).insert(df).insert(df)
+    assert [r["n_docs"] for r in index.counts().collect()] == [3]
