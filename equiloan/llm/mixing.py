@@ -14,13 +14,18 @@ are drawn at random:
   tree of fan-in ``fan``, until one is left per source, which a last coin
   decides. So a source's total is off its target by at most one document.
 
-A source of any size is cut into blocks by a hash of the id; blocks, and
-tree levels, follow the measured number of rows. Coins are hashes of the
-ids involved and the seed: reruns agree.
-
-Sizes count words ``[^\\x20\\x09-\\x0D]+``; null text has size 0 and takes
-nothing. A null source is a source of its own and comes last. Rows that share
-a doc_id are rows of their own and can differ in their copies. Targets: the
+A source of any size is cut into blocks by a hash of id, text and number among
+equal rows, so that neither null nor repeated ids gather in one block; blocks,
+and tree levels, follow the measured number of rows. Coins are hashes of the
+same three and the seed: reruns agree.
+
+Sizes count words ``[^\\x20\\x09-\\x0D]+`` of whole texts, however long; null and
+empty texts have size 0 and take nothing. A null source is a source of its own
+and comes last. Rows that share a doc_id are rows of their own and can differ
+in their copies; rows equal in id, text and source are numbered and
+interchangeable. Ties cannot matter: nothing is ranked. An empty table gives an
+empty result. Other columns are not read; ``mixed`` passes them through.
+Targets: the
 sources by code point weigh 1, 2, 3, repeating; each gets its share of all
 words but never over ``limit`` times its own; what is cut off is shared out
 again by weight (the level at which everything is placed is found in closed
@@ -128,9 +133,9 @@ def pivot(keys: Sequence[int], parts: Sequence[float], sizes: Sequence[int], see
 
 def _level(seed: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("copy", "ascending")])
-        ids, copy, part, size = (table.column(c).to_pylist() for c in ("doc_id", "copy", "part", "size"))
-        keys = [(-1 if d is None else d) * 1_000_003 + c for d, c in zip(ids, copy, strict=True)]
+        table = table.sort_by([("doc_id", "ascending"), ("mark", "ascending"), ("copy", "ascending")])
+        ids, mark, copy, part, size = (table.column(c).to_pylist() for c in ("doc_id", "mark", "copy", "part", "size"))
+        keys = [((-1 if d is None else d) * 1_000_003 + c) ^ m for d, m, c in zip(ids, mark, copy, strict=True)]
         decided, open_row, p = pivot(keys, part, size, seed)
         extra = np.full(len(keys), -1, np.int64)
         for j, v in decided.items():
@@ -140,21 +145,20 @@ def _level(seed: int, last: bool):
             part[open_row] = p
             if last:
                 extra[open_row] = int(coin(keys[open_row], 0, seed) < p)
-        return pa.table({"doc_id": table.column("doc_id"), "copy": table.column("copy"), "part": part,
+        return pa.table({"doc_id": table.column("doc_id"), "mark": table.column("mark"), "copy": table.column("copy"), "part": part,
                          "size": table.column("size"), "extra": extra, "source": table.column("source"),
                          "block": table.column("block")})
     return run
 
 
-_ROUND = "doc_id long, copy long, part double, size long, extra long, source string, block long"
+_ROUND = "doc_id long, mark long, copy long, part double, size long, extra long, source string, block long"
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, seed: int = 7,
                 fan: int = FAN, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per input row: doc_id, copy (its number among rows of one
-    doc_id), source, size, source_size, target, taken (words), copies."""
-    # Rows that share an id are numbered; equal rows are interchangeable.
-    sized = stash(word_sizes(docs).withColumn("copy", _number("source", "mark")), "mix-sizes")
+    """One row per input row: doc_id, mark (a hash of its text), copy (its
+    number among rows equal in id, text and source), source, size, source_size, target, taken (words), copies."""
+    sized = stash(word_sizes(docs).withColumn("copy", _number()), "mix-sizes")
     goal = targets(sized, weights, limit).withColumnRenamed("source", "_source")
     if goal.count() <= 10_000:  # one row per source
         goal = F.broadcast(goal)
@@ -164,34 +168,41 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: fl
             .withColumn("part", F.col("_ratio") - F.col("whole")))
     blocks = max(1, -(-sized.count() // block_rows))
     level = rows.filter("part > 0").select(
-        "doc_id", "copy", "part", "size", F.lit(-1).cast("long").alias("extra"), "source",
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long").alias("block"))
+        "doc_id", "mark", "copy", "part", "size", F.lit(-1).cast("long").alias("extra"), "source",
+        F.pmod(F.xxhash64("doc_id", "mark", "copy"), F.lit(blocks)).cast("long").alias("block"))
     done = None
     while True:
         out = stash(level.groupBy("source", "block").applyInArrow(_level(seed, blocks == 1), _ROUND), "mix-level")
-        decided = out.filter("extra >= 0").select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), "extra")
+        decided = out.filter("extra >= 0").select(
+            F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("copy").alias("_copy"),
+            F.col("source").alias("_from"), "extra")
         done = decided if done is None else done.unionByName(decided)
         if blocks == 1:
             break
         blocks = -(-blocks // fan)
         level = out.filter("extra < 0").withColumn("block", F.col("block") % F.lit(blocks))
     copies = F.col("whole") + F.coalesce("extra", F.lit(0))
-    return (rows.join(done, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")), "left")
-            .select("doc_id", "copy", "source", "size", "source_size", "target",
+    same = (F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+            & (F.col("copy") == F.col("_copy")) & F.col("source").eqNullSafe(F.col("_from")))
+    return (rows.join(done, same, "left")
+            .select("doc_id", "mark", "copy", "source", "size", "source_size", "target",
                     (copies * F.col("size")).alias("taken"), copies.alias("copies")))
 
 
-def _number(source: str, mark: str):
-    return F.row_number().over(Window.partitionBy("doc_id").orderBy(mark, source)).cast("long")
+def _number():
+    return F.row_number().over(Window.partitionBy("doc_id", "mark", "source").orderBy("mark")).cast("long")
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, all columns, as often as the mix takes them."""
     taken = (mix_sources(docs, weights, limit, seed).filter("copies > 0")
-             .select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_number"), F.col("copies").alias("_copies")))
+             .select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("copy").alias("_number"),
+                     F.col("source").alias("_from"), F.col("copies").alias("_copies")))
     # Whole rows travel as one struct, so no column of theirs can clash.
     rows = (docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("mark"))
-            .withColumn("copy", _number("source", "mark")))
-    return (rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_number")))
+            .withColumn("copy", _number()))
+    same = (F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+            & (F.col("copy") == F.col("_number")) & F.col("source").eqNullSafe(F.col("_from")))
+    return (rows.join(taken, same)
             .select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("doc.*"))

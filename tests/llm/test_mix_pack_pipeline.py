@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_frames import ODD, docs_frame
 
@@ -215,3 +216,40 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_exact_stage_keeps_one_row_of_every_text(spark):
+    rows = [(9, "text A", "en", "a"), (5, "text A", "en", "a"), (5, "text B", "en", "a"), (None, "text A", "en", "b"),
+            (None, "TEXT z", None, "b"), (None, "text z", "en", "b"), (5, "Text B", "en", "a"), (7, None, "en", "a"), (8, "", "en", "a")]
+    got = corpus_pipeline.exact_dedup(spark, docs_frame(spark, rows), "").collect()
+    assert sorted(((r["doc_id"] or 0), (r["text"] or "").lower()) for r in got) == [
+        (0, "text z"), (5, "text b"), (8, ""), (9, "text a")]
+
+
+def test_null_and_repeated_ids_spread_over_blocks(spark, monkeypatch):
+    """No group of the first level grows with the rows that share an id."""
+    held = []
+    plain = mixing._level
+
+    def watched(seed, last):
+        run = plain(seed, last)
+
+        def seen(table):
+            out = run(table)
+            return out.append_column("rows", pa.array([table.num_rows] * table.num_rows, pa.int64()))
+        return seen
+    monkeypatch.setattr(mixing, "_level", watched)
+    monkeypatch.setattr(mixing, "_ROUND", mixing._ROUND + ", rows long")
+    stash = mixing.stash
+
+    def kept(df, name):
+        out = stash(df, name)
+        if name == "mix-level":
+            held.append(out.agg({"rows": "max"}).first()[0])
+        return out
+    monkeypatch.setattr(mixing, "stash", kept)
+    rows = [(None if i % 2 else 7, f"word {i} " * (1 + i % 5), "en", "ab"[i % 3 == 0]) for i in range(3000)]
+    got = mixing.mix_sources(docs_frame(spark, rows), block_rows=100)
+    assert got.count() == 3000 and held[0] < 300
+    per = got.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 15 for r in per)
