@@ -57,6 +57,7 @@ def _rows(rng):
 def test_variants_match_definition(spark, group_words):
     rng = random.Random(group_words)
     rows = ODD + _rows(rng)
+    rows += [(300 + i, "letters " * 30 + "leters " * 6 + "letrs", "en", "a") for i in range(5)]
     rows += rows[20:40] + [(None, "running runing arbeit " * 3, None, None)]
     got = spelling.spelling_variants(docs_frame(spark, rows).repartition(5), change_of=spelling.typo,
                                      group_words=group_words).collect()
