@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ from equiloan.constants import (
     VALID_ACTIONS,
 )
 from equiloan.functions.columns import clamp, code_is, flag, safe_div, sanitize_name
+from equiloan.operators.cumulative import buckets_for, materialize, materialize_counted, range_buckets, running_total
 
 TRACT_PCT = "tract_minority_population_percent"
 #: No cap on vocabularies by default; give one to refuse columns that are not
@@ -51,20 +52,22 @@ def vocabulary(df: DataFrame, cols: Iterable[str]) -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def code_table(df: DataFrame, cols: Iterable[str], cap: int | None = DEFAULT_VOCAB_CAP) -> DataFrame:
+def code_table(df: DataFrame, cols: Iterable[str], cap: int | None = DEFAULT_VOCAB_CAP,
+               buckets: int | None = None) -> DataFrame:
     """(column, value, code) with 0-based codes in value order per column.
 
-    The rank runs on the distinct-value table, partitioned by column. With
-    ``cap``, a column with more values raises (one small aggregation: one row
-    per column)."""
-    vocab = vocabulary(df, cols)
+    The codes are running totals over the distinct-value table, cut into
+    ranges by its measured size, so a column of very many values is not ranked
+    in one task. With ``cap``, a column with more values raises (one small
+    aggregation: one row per column)."""
+    vocab, rows = materialize_counted(vocabulary(df, cols).select("column", "value", F.lit(1).alias("one")), "vocabulary")
     sizes = [] if cap is None else vocab.groupBy("column").agg(F.count(F.lit(1)).alias("k")).filter(
         F.col("k") > cap).collect()
     if sizes:
         raise ValueError(f"columns above the vocabulary cap of {cap}: {sorted(r['column'] for r in sizes)}")
-    w = Window.partitionBy("column").orderBy("value")
-    return (vocab.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
-            .select("column", "value", "code"))
+    buckets = buckets or buckets_for(rows)
+    ranked = running_total(range_buckets(vocab, ["column"], "value", buckets), ["column"], "value", "one", buckets=buckets)
+    return ranked.select("column", "value", (F.col("cum_one") - 1).cast("int").alias("code"))
 
 
 def collect_vocabulary(df: DataFrame, cols: Iterable[str], cap: int | None = DEFAULT_VOCAB_CAP) -> dict[str, list[str]]:
@@ -84,18 +87,38 @@ def collect_vocabulary(df: DataFrame, cols: Iterable[str], cap: int | None = DEF
     return {c: sorted(v) for c, v in out.items()}
 
 
+#: A column of so few values is coded by a literal map; a larger one by a join.
+LITERAL_VALUES = 50
+
+
 def categorize(df: DataFrame, cols: Iterable[str], cap: int | None = DEFAULT_VOCAB_CAP,
                suffix: str = "_code") -> DataFrame:
-    """Integer category codes next to the string columns (``<col>_code``)."""
-    vocab = collect_vocabulary(df, cols, cap)
-    exprs = []
-    for c, values in vocab.items():
-        if not values:
+    """Integer category codes next to the columns (``<col>_code``; null
+    stays null). The code table stays distributed: columns of at most
+    ``LITERAL_VALUES`` values are coded in the projection (only their codes are
+    fetched), each larger one by a join with its codes, broadcast behind a
+    check of their number."""
+    from equiloan.operators.compose import broadcast_if_small
+
+    cols = [c for c in cols if c in df.columns]
+    codes = materialize(code_table(df, cols, cap), "codes")
+    sizes = {r["column"]: r["k"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    few = [c for c in cols if sizes.get(c, 0) <= LITERAL_VALUES]
+    held: dict[str, list] = {c: [] for c in few}
+    for r in codes.filter(F.col("column").isin(few)).collect() if few else []:
+        held[r["column"]].append((r["value"], r["code"]))
+    out, exprs = df, []
+    for i, c in enumerate(cols):
+        if c not in held:
+            own = codes.filter(F.col("column") == F.lit(c)).select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
+            out = out.join(broadcast_if_small(own), F.col(c).cast("string") == F.col(f"_value{i}"), "left")
+            exprs.append(F.col(f"_code{i}").alias(c + suffix))
+        elif held[c]:
+            mapping = F.create_map(*[F.lit(x) for pair in held[c] for x in pair])
+            exprs.append(F.element_at(mapping, F.col(c).cast("string")).cast("int").alias(c + suffix))
+        else:
             exprs.append(F.lit(None).cast("int").alias(c + suffix))
-            continue
-        mapping = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
-        exprs.append(F.element_at(mapping, F.col(c).cast("string")).cast("int").alias(c + suffix))
-    return df.select("*", *exprs)
+    return out.select(*[F.col(c) for c in df.columns], *exprs)
 
 
 def one_hot(df: DataFrame, cols: Iterable[str], vocab: dict[str, list[str]] | None = None,

@@ -324,6 +324,18 @@ def q_reweigh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("split", "attribute", "g", "y", "n", round6("weight").alias("weight"))
 
 
+@register("reweigh_rows", W(
+    f"SELECT s.application_id, s.split, {R('wt.weight')} AS weight FROM splitted s JOIN wt ON wt.split = s.split "
+    "AND wt.attribute = 'a50' AND wt.g = s.a50 AND wt.y = s.approved", *SPLIT_WEIGHT_CTES))
+def q_reweigh_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the weights applied: every row with the weight of its cell for a50,
+    fitted on its own split."""
+    df = _split(spark, sf_dir)
+    weights = mitigate.reweigh_weights(df, ["a50"], by=["split"])
+    out = mitigate.apply_weights(df, weights, "a50", by=["split"])
+    return out.select("application_id", "split", round6("weight").alias("weight"))
+
+
 @register("reweigh_report", W(f"""
 SELECT b.split, b.attribute, CAST(b.n_u AS BIGINT) AS n_unprivileged, CAST(b.n_p AS BIGINT) AS n_privileged,
   {R('b.pos_u / NULLIF(b.n_u, 0) - b.pos_p / NULLIF(b.n_p, 0)')} AS statistical_parity_difference,
@@ -553,6 +565,23 @@ def q_approval_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.approval_series(parity.contingency(views.labelled(spark, sf_dir), ATTRIBUTES))
 
 
+@register("approval_series_aligned", W(
+    "SELECT 'label' AS model, attribute, g, CAST(COUNT(y) AS BIGINT) AS n, "
+    f"{R('AVG(CAST(y AS DOUBLE))')} AS approval_rate FROM long GROUP BY attribute, g "
+    "UNION ALL SELECT 'decision', attribute, g, CAST(COUNT(yhat) AS BIGINT), "
+    f"{R('AVG(CAST(yhat AS DOUBLE))')} FROM long GROUP BY attribute, g",
+    *O.split_ctes(),
+    ("aligned", "SELECT * REPLACE (CASE WHEN split = 'test' THEN rule_decision END AS rule_decision) FROM splitted"),
+    ("long", O.attribute_long("aligned"))))
+def q_approval_series_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 over J3's output: decisions known for the test split alone; a missing
+    decision is no rejection."""
+    df = _split(spark, sf_dir)
+    test = df.filter(F.col("split") == "test").select("application_id", "rule_decision")
+    aligned = compose.align_predictions(df.drop("rule_decision"), test, prediction="rule_decision", out="prediction_test")
+    return report.approval_series(parity.contingency(aligned, ATTRIBUTES, decision="prediction_test"))
+
+
 @register("compare_mitigations", W(
     f"""SELECT fm.attribute, fm.decision_parity_difference AS decision_parity_difference_original,
   fw.decision_parity_difference AS decision_parity_difference_reweighed,

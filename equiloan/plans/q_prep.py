@@ -133,6 +133,21 @@ def q_categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.code_table(views.applications(spark, sf_dir), ENC_PRESENT)
 
 
+CODED = [*ENC_PRESENT, "activity_year"]
+
+
+@register("categorize_rows", W(
+    "SELECT a.application_id, " + ", ".join(f"k{i}.code AS {c}_code" for i, c in enumerate(CODED)) + " FROM applications a "
+    + " ".join(f"LEFT JOIN codes k{i} ON k{i}.col = '{c}' AND k{i}.value = CAST(a.{c} AS VARCHAR)" for i, c in enumerate(CODED)),
+    ("seen", "\nUNION\n".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM applications WHERE {c} IS NOT NULL"
+                               for c in CODED)),
+    ("codes", "SELECT col, value, CAST(ROW_NUMBER() OVER (PARTITION BY col ORDER BY value) - 1 AS INT) AS code FROM seen")))
+def q_categorize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every application's dictionary codes, the year's among them."""
+    apps = views.applications(spark, sf_dir).select("application_id", *CODED)
+    return prep.categorize(apps, CODED).select("application_id", *[f"{c}_code" for c in CODED])
+
+
 YEARS_PRESENT = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 
 
@@ -257,6 +272,24 @@ def q_cast_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.cast_report(views.applications(spark, sf_dir), CAST_COLS)
 
 
+#: Columns of CAST_COLS in which every value parses (the query checks it).
+_CAST_FAIL = "(SELECT COUNT_IF({c} IS NOT NULL AND TRY_CAST(trim(CAST({c} AS VARCHAR)) AS DOUBLE) IS NULL) FROM applications)"
+
+
+@register("cast_numeric_rows", W("SELECT application_id, " + ", ".join(
+    f"CASE WHEN {_CAST_FAIL.format(c=c)} = 0 THEN TRY_CAST(trim(CAST({c} AS VARCHAR)) AS DOUBLE) END AS {c}, "
+    f"CASE WHEN {_CAST_FAIL.format(c=c)} > 0 THEN CAST({c} AS VARCHAR) END AS {c}_left" for c in CAST_COLS)
+    + " FROM applications"))
+def q_cast_numeric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tolerant cast itself: columns whose values all parse as
+    doubles, the others (``<col>_left``) as they were."""
+    got = prep.cast_numeric(views.applications(spark, sf_dir).select("application_id", *CAST_COLS))
+    cast = {c for c, t in got.dtypes if t == "double"}
+    return got.select("application_id", *[x for c in CAST_COLS for x in (
+        (F.col(c) if c in cast else F.lit(None).cast("double")).alias(c),
+        (F.lit(None).cast("string") if c in cast else F.col(c)).alias(f"{c}_left"))])
+
+
 NUMERIC_LABELLED = ["activity_year", "action_taken", "total_units", "debt_to_income_ratio", "loan_amount",
                     "loan_to_value_ratio", "loan_term", "property_value", "income", "credit_score",
                     "tract_minority_population_percent", "approved", *ATTRIBUTES, "rule_decision"]

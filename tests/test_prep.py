@@ -86,3 +86,20 @@ def test_stage_audit_single_pass(spark):
                                     ("small", F.col("id") < 5, 2)])
     assert [(r[1], r[2], r[3]) for r in out.orderBy("stage_order").collect()] == [("all", 10, 1), ("even", 5, 1),
                                                                                   ("small", 3, 2)]
+
+
+def test_codes_of_wide_columns_by_ranges_and_joins(spark, monkeypatch):
+    """A column of many values: codes by ranges of the vocabulary, applied by a
+    join; the same as the literal map's."""
+    df = spark.range(600).selectExpr("id", "CONCAT('v', pmod(id * 7919, 211)) AS wide", "CAST(id % 3 AS STRING) AS few",
+                                     "IF(id % 5 = 0, NULL, CONCAT('x', id % 70)) AS gaps")
+    cols = ["wide", "few", "gaps"]
+    ranks = {c: {v: i for i, v in enumerate(sorted({r[0] for r in df.select(c).collect() if r[0] is not None}))} for c in cols}
+    table = prep.code_table(df, cols, buckets=5)
+    assert {(r["column"], r["value"]): r["code"] for r in table.collect()} == {
+        (c, v): i for c in cols for v, i in ranks[c].items()}
+    for limit in (50, 0, 1000):
+        monkeypatch.setattr(prep, "LITERAL_VALUES", limit)
+        got = prep.categorize(df, cols)
+        assert got.columns == ["id", *cols, *[f"{c}_code" for c in cols]] and got.count() == 600
+        assert all(r[f"{c}_code"] == (None if r[c] is None else ranks[c][r[c]]) for r in got.collect() for c in cols)
