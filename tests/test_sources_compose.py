@@ -72,13 +72,22 @@ def test_describe_approx_close_to_exact(spark):
     assert ex["count"] == 2000 and ex["std"] == pytest.approx(866.17, rel=1e-3)
 
 
-@pytest.mark.parametrize("ranked", [True, False])
-def test_describe_is_exact_with_ties_nulls_and_scopes(spark, monkeypatch, ranked):
-    """Also where the sketches' brackets have to be given up."""
+@pytest.mark.parametrize("way", ["one pass", "narrowed", "given up"])
+def test_describe_is_exact_with_ties_nulls_and_scopes(spark, monkeypatch, way):
+    """Also where brackets have to be narrowed, or given up."""
     import numpy as np
 
-    if not ranked:
+    passes, cells = [], describe._cells
+    if way == "given up":
         monkeypatch.setattr(describe, "_ranked", lambda base, brackets: None)
+    else:
+        monkeypatch.setattr(describe, "_all_ranked", None)
+    if way == "narrowed":
+        monkeypatch.setattr(describe, "SKETCH_ACCURACY", 60)
+        monkeypatch.setattr(describe, "BRACKET_ROWS", 40)
+        monkeypatch.setattr(describe, "_cells", lambda base, targets: passes.append(
+            cells(base, targets).groupBy("c", "s", "cell").agg(F.count("value").alias("n")).agg(F.max("n")).first()[0])
+            or cells(base, targets))
     rng = np.random.default_rng(3)
     rows = [(["p", "q", None][int(rng.integers(0, 3))], float(rng.integers(0, 40)), None if rng.random() < 0.3 else float(rng.normal()))
             for _ in range(3000)] + [("solo", 5.0, None)]
@@ -90,6 +99,8 @@ def test_describe_is_exact_with_ties_nulls_and_scopes(spark, monkeypatch, ranked
         assert r["count"] == len(v)
         for name, p in (("min", 0), ("q25", 25), ("q50", 50), ("q75", 75), ("max", 100)):
             assert (r[name] is None) if not v else abs(r[name] - np.percentile(v, p)) < 2e-6
+    if way == "narrowed":  # the last pass ranks no more than the limit at once
+        assert passes[0] > 80 and passes[-1] <= 40
     assert describe.describe_overall(df.filter("x < 0"), ["x"]).count() == 0
 
 
