@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from equiloan.constants import HASH_MODULUS, HASH_MULTIPLIER, HASH_QUOTIENT
@@ -33,7 +34,10 @@ def test_split_unchanged_by_repartition(spark):
     assert a == b
 
 
-def test_split_matches_brute_force_rank(spark):
+@pytest.mark.parametrize("local", [10_000, 3])
+def test_split_matches_brute_force_rank(spark, monkeypatch, local):
+    """With the strata's cuts fetched and with them joined."""
+    monkeypatch.setattr(splits, "LOCAL_STRATA", local)
     df = _df(spark, 1500)
     got = {r[0]: r[1] for r in splits.stratified_split(df).select("application_id", "split").collect()}
     by_bin = {}
@@ -83,3 +87,25 @@ def test_strata_keep_their_type(spark):
         got = {r["bins"]: (r["n"], r["t"]) for r in s.groupBy("bins").agg(
             F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect()}
         assert sorted(got.values()) == [(200, 50), (200, 50), (400, 100)]
+
+
+def test_equal_hashes_are_cut_by_key(spark, monkeypatch):
+    """All rows on one hash, or on a few of one part: the keys decide."""
+    for hashes in (1, 5):
+        monkeypatch.setattr(splits, "portable_hash", lambda key, seed, m=hashes: (F.col(key) % m).cast("long"))
+        got = {r[0]: r[1] for r in splits.stratified_split(_df(spark, 1500)).select("application_id", "split").collect()}
+        for b in range(7):
+            mine = sorted((i % hashes, i) for i in range(1, 1501) if i % 7 == b)
+            test = {i for _, i in mine[:int(len(mine) * 0.25 + 0.5)]}
+            assert {i for _, i in mine if got[i] == "test"} == test
+
+
+def test_one_written_table_and_no_row_shuffle(spark, monkeypatch):
+    """The split writes the rows of the cut parts only and marks the rows by a
+    broadcast join."""
+    written = []
+    write = splits.materialize
+    monkeypatch.setattr(splits, "materialize", lambda df, name: written.append(name) or write(df, name))
+    out = splits.stratified_split(_df(spark, 20000))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert written == ["split-cut"] and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
