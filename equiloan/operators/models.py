@@ -35,7 +35,7 @@ from equiloan.constants import (
     TUNE_GRID,
 )
 from equiloan.functions.columns import portable_hash
-from equiloan.operators import prep
+from equiloan.operators import prep, splits
 
 FEATURES_COL = "features"
 
@@ -171,24 +171,30 @@ def reindex(df: DataFrame, label: str, classes: list, out: str = "_label") -> Da
 
 
 def replicate_by_weight(df: DataFrame, weight: str, key: str = "application_id", seed: int = SEED_FOREST,
-                        mean_copies: float = 4.0) -> DataFrame:
-    """Instance weights for learners without ``weightCol`` (the MLP): row i
-    appears floor(s w_i) + [hash01(key, seed) < frac(s w_i)] times, with s
-    chosen so that the mean copy count is ``mean_copies``: every pass of the
-    learner reads that many times the rows, and a weight is met to within one
-    copy. Deterministic and independent of partitioning. A missing or negative
-    weight raises; a row whose weight gives it no copy is left out of the fit
-    (its expected share is below one copy) and ``rows_without_copies`` counts
-    such rows."""
+                        mean_copies: float = 1.0) -> DataFrame:
+    """Instance weights for learners without ``weightCol`` (the MLP): a
+    resample of ``mean_copies`` rows per row on average, by default as many as
+    the table has. With s = mean_copies / mean weight, each of the n rows of
+    weight w gets floor(s w) copies, and the round(frac(s w) n) of them with
+    the lowest hashes one more: the copies of a weight number s w n to within
+    one half, so a class's share of a group's copies is off by at most one row
+    a cell. Deterministic and independent of partitioning. With more than
+    ``splits.LOCAL_STRATA`` different weights each row draws its last copy by
+    its own hash, which meets the numbers on average only. A missing or
+    negative weight raises; rows may be left without a copy
+    (``rows_without_copies`` counts them)."""
     r = df.agg(F.avg(weight).alias("m"), F.count_if(F.col(weight).isNull() | (F.col(weight) < 0)).alias("bad")).first()
     if r["bad"]:
         raise ValueError(f"{r['bad']} rows have no usable weight")
-    s = mean_copies / (r["m"] or 1.0)
-    sw = F.col(weight) * F.lit(s)
-    u = portable_hash(key, seed).cast("double") / F.lit(float(HASH_MODULUS))
-    copies = (F.floor(sw) + (u < (sw - F.floor(sw))).cast("long")).cast("int")
-    rep = df.withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    return rep.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    share = F.col(weight) * F.lit(mean_copies / (r["m"] or 1.0))
+    rest = share - F.floor(share)
+    if df.select(weight).distinct().limit(splits.LOCAL_STRATA + 1).count() <= splits.LOCAL_STRATA:
+        drawn = splits.lowest_k_by_hash(df, [weight], lambda n: F.round(rest * n), key, seed, "_more")
+    else:
+        drawn = df.withColumn("_more", portable_hash(key, seed) < rest * F.lit(float(HASH_MODULUS)))
+    copies = (F.floor(share) + F.col("_more").cast("long")).cast("int")
+    rep = drawn.withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    return rep.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy", "_more")
 
 
 def rows_without_copies(df: DataFrame, replicated: DataFrame, key: str = "application_id") -> int:
@@ -198,10 +204,11 @@ def rows_without_copies(df: DataFrame, replicated: DataFrame, key: str = "applic
 
 def fit_mlp(train: DataFrame, features: list[str], label: str = "approved", hidden: Iterable[int] = (64, 32),
             weight: str | None = None, max_iter: int = 100, seed: int = SEED_FOREST, block_size: int = 128,
-            multiclass: bool = False, key: str = "application_id", mean_copies: float = 4.0) -> FittedModel:
+            multiclass: bool = False, key: str = "application_id", mean_copies: float = 1.0) -> FittedModel:
     """Multilayer perceptron (distributed L-BFGS) on standardised
-    features. Weights are honoured by deterministic replication
-    (``mean_copies`` per row on average); multiclass labels are re-indexed to
+    features. Weights are honoured by a deterministic resample per weight
+    (``mean_copies`` per row on average, so a pass reads no more rows than the
+    table has); multiclass labels are re-indexed to
     0..K-1."""
     train = complete(train, features, label)
     stats = prep.fit_standardize(train, features)

@@ -158,8 +158,8 @@ def q_fit_logistic_denial(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("fit_mlp", COVERED_SQL)
 def q_fit_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multilayer perceptron 6-64-32-2 on standardised predictors;
-    reweighing weights honoured by deterministic row replication (4 copies on
-    average)."""
+    reweighing weights honoured by a deterministic resample per weight, as
+    many rows as the split has."""
     df = _data(spark, sf_dir)
     return _checked(models.fit_mlp(_reweighed(df), PREDICTORS, weight="weight", max_iter=MLP_ITERATIONS), df)
 

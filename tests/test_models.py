@@ -46,8 +46,13 @@ def test_mlp_with_replicated_weights(spark):
     df = _data(spark)
     train = df.filter("split = 'train'")
     rep = models.replicate_by_weight(train, "w")
-    ratio = rep.count() / train.count()
-    assert 3.8 < ratio < 4.2
+    weights = {r["w"]: r["count"] for r in train.groupBy("w").count().collect()}
+    n, total = train.count(), sum(w * c for w, c in weights.items())
+    assert abs(rep.count() - n) <= len(weights) / 2
+    for r in rep.groupBy("w").count().collect():  # copies of a weight, to within one half
+        assert abs(r["count"] - r["w"] * weights[r["w"]] * n / total) <= 0.5 + 1e-6
+    again = models.replicate_by_weight(train.repartition(7), "w")
+    assert sorted(again.select("application_id").collect()) == sorted(rep.select("application_id").collect())
     m = models.fit_mlp(train, FEATS, hidden=(8,), weight="w", max_iter=60)
     assert _acc(models.predict(m, train, ["application_id", "approved"])) > 0.8
 
