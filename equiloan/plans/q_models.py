@@ -78,6 +78,22 @@ COVERED_SQL = O.with_inputs("SELECT split, COUNT(*) AS n, COUNT(*) AS n_decided,
                             "FROM splitted GROUP BY split", *O.split_ctes())
 
 
+_TABLES: dict[tuple, str] = {}
+_TABLES_LOCK = threading.Lock()
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The table ``build`` makes, made once per application and version of the
+    input files, for the queries that report on the same fits."""
+    key = (spark.sparkContext.applicationId, name, *views.versions(spark, sf_dir))
+    with _TABLES_LOCK:
+        if key not in _TABLES:
+            path = shared_path(spark, name)
+            build().write.parquet(path)
+            _TABLES[key] = path
+        return spark.read.parquet(_TABLES[key])
+
+
 @register("fit_forest", COVERED_SQL)
 def q_fit_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: random forest (120 trees, depth 10) on the training split,
@@ -98,19 +114,25 @@ def q_fit_forest_tuned_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2 + R5: the 120-tree forest's importances: every predictor once, in
     ascending order, shares of one (the library returns the values)."""
-    m = models.fit_forest(_train(_data(spark, sf_dir)), PREDICTORS)
-    found = models.feature_importance(m)
-    values = [v for _, v in found]
-    rows = [(f, i == 0 or values[i - 1] <= v, abs(sum(values) - 1) < 1e-6) for i, (f, v) in enumerate(found)]
+    values = [(r["feature"], r["importance"]) for r in _importances(spark, sf_dir).orderBy("rank").collect()]
+    total = sum(v for _, v in values)
+    rows = [(f, i == 0 or values[i - 1][1] <= v, abs(total - 1) < 1e-6) for i, (f, v) in enumerate(values)]
     return spark.createDataFrame(rows, "feature string, ascending boolean, sums_to_one boolean")
 
 
+def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build():
+        found = models.feature_importance(models.fit_forest(_train(_data(spark, sf_dir)), PREDICTORS))
+        return spark.createDataFrame([(i, f, float(v)) for i, (f, v) in enumerate(found)],
+                                     "rank int, feature string, importance double")
+
+    return _once(spark, sf_dir, "importances", build)
+
+
 @register("feature_importance_values")
 def q_feature_importance_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2 + R5: the importances of the 120-tree forest, ascending by rank."""
-    found = models.feature_importance(models.fit_forest(_train(_data(spark, sf_dir)), PREDICTORS))
-    return spark.createDataFrame([(i, f, float(v)) for i, (f, v) in enumerate(found)],
-                                 "rank int, feature string, importance double")
+    return _importances(spark, sf_dir)
 
 
 _GRID_SQL = O.with_inputs(
@@ -125,18 +147,23 @@ _GRID_COLUMNS = "num_trees int, max_depth int, min_instances int, n_train long"
 def q_tune_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3: 3-fold cross-validation over the whole grid (trees x depth x leaf
     size, 8 settings), the best refitted; a mean accuracy per setting."""
-    train = _train(_data(spark, sf_dir))
-    n, (_, _, rows) = train.count(), sharedfit.tune_forest(train, PREDICTORS, folds=3)
-    return spark.createDataFrame([(t, d, m, n, 0.5 <= acc <= 1.0) for t, d, m, acc in rows],
-                                 _GRID_COLUMNS + ", accuracy_valid boolean")
+    return _tuned(spark, sf_dir).select("num_trees", "max_depth", "min_instances", "n_train",
+                                        F.col("accuracy").between(0.5, 1.0).alias("accuracy_valid"))
+
+
+def _tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build():
+        train = _train(_data(spark, sf_dir))
+        n, (_, _, rows) = train.count(), sharedfit.tune_forest(train, PREDICTORS, folds=3)
+        return spark.createDataFrame([(t, d, m, n, float(acc)) for t, d, m, acc in rows], _GRID_COLUMNS + ", accuracy double")
+
+    return _once(spark, sf_dir, "tuning", build)
 
 
 @register("tune_forest_values")
 def q_tune_forest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3: the mean accuracy of every setting of the grid."""
-    train = _train(_data(spark, sf_dir))
-    n, (_, _, rows) = train.count(), sharedfit.tune_forest(train, PREDICTORS, folds=3)
-    return spark.createDataFrame([(t, d, m, n, float(acc)) for t, d, m, acc in rows], _GRID_COLUMNS + ", accuracy double")
+    return _tuned(spark, sf_dir)
 
 
 @register("fit_logistic", COVERED_SQL)
@@ -183,6 +210,26 @@ def q_fit_forest_denial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy, F1, recall and precision per split of every model
     that the fit_* queries fit (the accuracy alone on denial reasons)."""
+    return _once(spark, sf_dir, "fit-scores", lambda: _fit_scores(spark, sf_dir))
+
+
+DENIAL_MODELS = {"fit_forest_denial": "rf", "fit_mlp_denial": "mlp", "fit_logistic_denial": "lr"}
+
+
+@register("denial_plot_series")
+def q_denial_plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The denial chart, accuracy of the three denial-reason models per
+    split at every threshold (they use no protected attribute, so a model's
+    line is level)."""
+    sc = _once(spark, sf_dir, "fit-scores", lambda: _fit_scores(spark, sf_dir)).filter(F.col("query").isin(list(DENIAL_MODELS)))
+    kind = F.create_map(*[F.lit(x) for pair in DENIAL_MODELS.items() for x in pair])[F.col("query")]
+    long = sc.select(kind.alias("kind"), F.concat_ws(" ", F.lit("denial"), F.col("split")).alias("section"),
+                     F.explode(F.array(*[F.lit(a) for a in ATTRIBUTES])).alias("attribute"),
+                     F.lit("denial_reason_accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    return report.plot_series(long, F.col("metric"), F.col("section"), F.col("kind"), F.lit("original"))
+
+
+def _fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _data(spark, sf_dir)
     train, reweighed, reason = _train(df), _reweighed(df), "primary_denial_reason"
     fits = {

@@ -73,6 +73,57 @@ def q_read_unclean_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("application_id", "total_units", F.when(~F.isnan("income"), F.col("income")).alias("income"))
 
 
+KNOWN_CODES = {"loan_type": ["1", "2", "3", "4"], "lien_status": ["1", "2"]}
+_PROBLEM_SQL = ("CASE application_id % 50 WHEN 7 THEN 'malformed' WHEN 13 THEN 'malformed' "
+                "WHEN 21 THEN 'unparsed:total_units,unparsed:income' WHEN 33 THEN 'unknown:loan_type' ELSE '' END")
+
+
+def _checked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every application as a line of all declared columns, some of them broken
+    (by the last digits of the id): a short row, a row with a field too many,
+    two numbers that are none, a code that does not exist; read back."""
+    apps, rule = views.applications(spark, sf_dir), F.col("application_id") % 50
+    names = [f.name for f in src.APPLICATION_SCHEMA.fields]
+    text = {n: F.coalesce(F.col(n).cast("string"), F.lit("NA")) if n in apps.columns else F.lit("NA") for n in names}
+    text["total_units"] = F.when(rule == 21, F.lit("Exempt")).otherwise(text["total_units"])
+    text["income"] = F.when(rule == 21, F.lit("n/a")).otherwise(text["income"])
+    text["loan_type"] = F.when(rule == 33, F.lit("9")).otherwise(text["loan_type"])
+    line = F.concat_ws(",", *[text[n] for n in names])
+    short = F.concat_ws(",", *[text[n] for n in names[:3]])
+    path = shared_path(spark, "broken-csv")
+    apps.select(F.when(rule == 7, short).when(rule == 13, F.concat(line, F.lit(",surplus"))).otherwise(line)
+                .alias("value")).write.text(path)
+    return src.read_applications_checked(spark, path, KNOWN_CODES, names=names)
+
+
+@register("scan_problems", W(
+    f"SELECT problem, COUNT(*) AS n FROM (SELECT UNNEST(string_split(CASE WHEN p = '' THEN 'accepted' ELSE p END, ',')) "
+    f"AS problem FROM (SELECT {_PROBLEM_SQL} AS p FROM applications)) GROUP BY problem"))
+def q_scan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Malformed rows, unparsed numbers and unknown codes counted in the
+    scan that types all declared columns."""
+    return src.scan_problems(_checked_scan(spark, sf_dir))
+
+
+@register("scan_quarantine", W(
+    f"SELECT application_id, problems, problems = 'malformed' AS has_record, "
+    f"CASE WHEN application_id % 50 IN (21, 33) THEN loan_amount END AS loan_amount "
+    f"FROM (SELECT application_id, loan_amount, {_PROBLEM_SQL} AS problems FROM applications) WHERE problems <> ''"))
+def q_scan_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows set aside, each with its problems and, where its fields
+    cannot be trusted, its text; the values of the others are kept."""
+    rows = _checked_scan(spark, sf_dir).filter(F.size("problems") > 0)
+    return rows.select("application_id", F.concat_ws(",", "problems").alias("problems"),
+                       F.col("raw_record").isNotNull().alias("has_record"),
+                       F.when(F.col("raw_record").isNull(), F.col("loan_amount")).alias("loan_amount"))
+
+
+@register("scan_accepted", W(f"SELECT {', '.join(APPS_COLS)} FROM applications WHERE {_PROBLEM_SQL} = ''"))
+def q_scan_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the same file without a problem, typed."""
+    return src.accepted(_checked_scan(spark, sf_dir)).select(*APPS_COLS)
+
+
 @register("year_slice", W(f"SELECT application_id, activity_year, approved FROM labelled "
                           f"WHERE activity_year = {SLICE_YEAR}"))
 def q_year_slice(spark: SparkSession, sf_dir: str) -> DataFrame:

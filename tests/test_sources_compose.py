@@ -110,3 +110,24 @@ def test_write_report_roundtrip(spark, tmp_path):
     sinks.write_report(df, path)
     back = spark.read.schema(df.schema).option("header", True).csv(path).first()
     assert back["attribute"] == "a40" and back["v"] == 0.25 and back["w"] is None
+
+
+def test_checked_scan_sets_broken_rows_aside(spark, tmp_path):
+    """Files with a header of their own: short and long rows, numbers that are
+    none, unknown codes, nulls; and a file of nothing but the header."""
+    from equiloan.sources import applications as src
+
+    path = tmp_path / "raw.csv"
+    path.write_text("application_id,income,loan_type,denial_reason-1\n1,10.5,1,3.0\n2,20\n3,30,1,2,5\n4,Exempt,7,NA\n5,NA,NA,NA\n")
+    checked = src.read_applications_checked(spark, str(path), {"loan_type": ["1", "2"]})
+    got = {r["application_id"]: r for r in checked.collect()}
+    assert {k: r["problems"] for k, r in got.items()} == {
+        1: [], 2: ["malformed"], 3: ["malformed"], 4: ["unparsed:income", "unknown:loan_type"], 5: []}
+    assert got[2]["raw_record"] == "2,20" and got[2]["income"] == 20.0 and got[1]["raw_record"] is None
+    assert got[1]["denial_reason_1"] == "3" and got[5]["income"] is None and got[1]["total_units"] is None
+    assert {r[0]: r[1] for r in src.scan_problems(checked).collect()} == {
+        "accepted": 2, "malformed": 2, "unparsed:income": 1, "unknown:loan_type": 1}
+    clean = src.accepted(checked)
+    assert clean.columns == [f.name for f in src.APPLICATION_SCHEMA.fields] and clean.count() == 2
+    (tmp_path / "empty.csv").write_text("application_id,income\n")
+    assert src.read_applications_checked(spark, str(tmp_path / "empty.csv")).count() == 0
