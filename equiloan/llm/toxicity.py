@@ -12,15 +12,17 @@ that term instead, which stops the model from memorising positives.
 
 Features are indicators of hashed words, word openings (4 and 5 bytes) and word
 pairs of the lower-cased text, restricted to those that are more frequent in
-positives than the prior and chance explain, near copies in the samples counted
-once. A document's margin is a sum over
-the distinct features it holds, so one insult counts the same in a short and in
-a very long text.
+positives than the prior and chance explain. How frequent a feature is in
+unlabelled text is counted over all documents, near copies once, so that a
+cue that few positives hold is found where the corpus is large. A document's
+margin is a sum over the distinct features it holds, so one insult counts the
+same in a short and in a very long text.
 
 The class prior is the share of toxic rows among the labelled rows that may be
 learnt from, unless given, and at most what the unlabelled frequency of the
-kept features allows. Both samples are bounded (``positive_rows``,
-``unlabelled_rows``); scoring reads every whole text. Empty and null texts
+kept features allows. The samples on which the risk is minimised are bounded
+(``positive_rows``, ``unlabelled_rows``); counting and scoring read every whole
+text. Empty and null texts
 get the model's score for no feature at all. Without any confirmed toxic row
 every score is the prior (0 if nothing is labelled). Rows that share a doc_id
 are scored each on their own; a doc_id labelled more than once counts as toxic
@@ -42,6 +44,11 @@ BUCKETS = 1 << 20
 POSITIVE_ROWS = 3000
 UNLABELLED_ROWS = 6000
 THRESHOLD = 0.7
+#: A group of near copies is counted once if it holds more than one document in
+#: so many (every group does where there are fewer documents than twice that).
+COPIES_IN = 100_000
+#: Weight of a document without near copies in the counts over all documents.
+UNIT = 1 << 20
 
 
 def token_features(docs: list[bytes], useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -137,10 +144,78 @@ def collect_rows(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return label, np.frombuffer(b"".join(r[1] for r in rows), np.int32), np.concatenate(([0], np.cumsum(size)))
 
 
+def _keys(batches):
+    for batch in batches:
+        docs = texts(batch)
+        for a, b in chunks(docs):
+            keys = copy_keys(docs[a:b]).view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keys != 0])], names=["key"])
+
+
+def copy_groups(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(near-copy keys in order, documents that hold each) of the keys that
+    more than one document and at least one in ``COPIES_IN`` hold: at most
+    ``BANDS * COPIES_IN`` keys, whatever the corpus."""
+    least = max(2, -(-docs.count() // COPIES_IN))
+    got = (docs.select("text").mapInArrow(_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+           .filter(F.col("n") >= least).toArrow())
+    keys = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column("n").to_numpy().astype(np.int64)[order]
+
+
+def _held(shared):
+    """Per task: the weight of the documents that hold each wanted bucket, and
+    of all documents as bucket -1."""
+    def run(batches):
+        wanted, keys, sizes = shared.value
+        useful = np.zeros(BUCKETS, bool)
+        useful[wanted] = True
+        held, total = np.zeros(BUCKETS), 0
+        for batch in batches:
+            docs = texts(batch)
+            for a, b in chunks(docs):
+                own = copy_keys(docs[a:b])
+                size = np.ones(own.shape, np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    size = np.where(keys[at] == own, sizes[at], 1)
+                weight = UNIT // size.max(axis=1)
+                weight[~own.any(axis=1)] = 0
+                owner, bucket = token_features(docs[a:b], useful)
+                held += np.bincount(bucket, weights=weight[owner], minlength=BUCKETS)
+                total += int(weight.sum())
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)),
+                                          pa.array(np.append(held[at].astype(np.int64), total))], names=["bucket", "weight"])
+    return run
+
+
+def background(docs: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, float]:
+    """(documents that hold each bucket, for the ``wanted`` ones, and documents
+    in all) over every document, a group of near copies counting as one. Whole
+    numbers are summed, so reruns agree."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((wanted, *copy_groups(docs)))
+    got = (docs.select("text").mapInArrow(_held(shared), "bucket int, weight long").groupBy("bucket")
+           .agg(F.sum("weight").alias("weight")).toArrow())  # one row per wanted bucket
+    at, weight = got.column("bucket").to_numpy(), got.column("weight").to_numpy() / UNIT
+    held = np.zeros(BUCKETS)
+    held[at[at >= 0]] = weight[at >= 0]
+    return held, float(weight[at < 0].sum())
+
+
+def candidates(label: np.ndarray, flat: np.ndarray, bounds: np.ndarray, least: int = 3) -> np.ndarray:
+    """The buckets that at least ``least`` positives hold."""
+    row = np.repeat(np.arange(len(label)), np.diff(bounds))
+    return np.flatnonzero(np.bincount(flat[label[row] == 1], minlength=BUCKETS) >= least)
+
+
 def fit_pu(label: np.ndarray, flat: np.ndarray, bounds: np.ndarray, prior: float, steps: int = 400,
-           ridge: float = 1e-3, least: int = 3, chance: float = 1e-6):
+           ridge: float = 1e-3, least: int = 3, chance: float = 1e-6, counts: tuple[np.ndarray, float] | None = None):
     """(bucket weights as a dense vector, bias). ``label`` is 1 for positives
-    and 0 for unlabelled rows."""
+    and 0 for unlabelled rows. ``counts`` are the unlabelled documents that
+    hold each bucket and their number, those of the rows by default."""
     row = np.repeat(np.arange(len(label)), np.diff(bounds))
     n_pos, n_unl = max(int((label == 1).sum()), 1), max(int((label == 0).sum()), 1)
     pos = np.bincount(flat[label[row] == 1], minlength=BUCKETS)
@@ -148,9 +223,10 @@ def fit_pu(label: np.ndarray, flat: np.ndarray, bounds: np.ndarray, prior: float
     # Kept: buckets that positives hold more often than the rest of the
     # unlabelled text explains, by Chernoff's bound on the Poisson tail with
     # the rest's rate taken two documents too high.
-    a, b = pos / n_pos, unl / n_unl
+    held, among = (unl, n_unl) if counts is None else (counts[0], max(counts[1], 1.0))
+    a, b = pos / n_pos, held / among
     rest = np.maximum(b - prior * a, 0) / max(1 - prior, 1e-9)
-    expected = n_pos * (rest + 2 / n_unl)
+    expected = n_pos * (rest + 2 / among)
     tail = pos - expected - pos * np.log(np.maximum(pos, 1) / expected)
     keep = (pos >= least) & (pos > 3 * expected) & (tail < np.log(chance))
     if keep.any():
@@ -217,9 +293,10 @@ def _score(model, threshold: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive_rows: int = POSITIVE_ROWS,
-          unlabelled_rows: int = UNLABELLED_ROWS):
+          unlabelled_rows: int = UNLABELLED_ROWS, corpus: DataFrame | None = None):
     """(weights, bias) from rows (doc_id, text) that may be learnt from and
-    labels (doc_id, toxic)."""
+    labels (doc_id, toxic). Background counts are over ``corpus`` (text alone;
+    ``docs`` by default)."""
     ship(docs.sparkSession)
     marks = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
@@ -235,7 +312,10 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
            .withColumn("label", F.lit(1)))
     pos = bounded_sample(pos, positive_rows)  # an id may have any number of rows
     unl = bounded_sample(docs.select("doc_id", "text"), unlabelled_rows).withColumn("label", F.lit(0))
-    return fit_pu(*collect_rows(pos.unionByName(unl)), prior=min(max(prior, 1e-4), 1 - 1e-4))
+    rows = collect_rows(pos.unionByName(unl))
+    wanted = candidates(*rows)
+    counts = background(docs if corpus is None else corpus, wanted) if len(wanted) else None
+    return fit_pu(*rows, prior=min(max(prior, 1e-4), 1 - 1e-4), counts=counts)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out, threshold: float = THRESHOLD, prior: float | None = None,
@@ -246,7 +326,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, threshold: float = TH
     ship(spark)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                          F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    weights, bias = train(marked.filter(~F.col("held_out")), labels, prior, positive_rows, unlabelled_rows)
+    weights, bias = train(marked.filter(~F.col("held_out")), labels, prior, positive_rows, unlabelled_rows,
+                          corpus=marked)
     at = np.flatnonzero(weights)
     model = spark.sparkContext.broadcast((at, weights[at], bias))
     return marked.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
