@@ -94,33 +94,6 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert key(got) == key(again)
 
 
-def test_background_counts_all_documents_and_copies_once(spark):
-    calm = [f"word{i}" for i in range(400)]  # texts share hardly any pair by chance
-    rng = random.Random(5)
-    texts = [" ".join(rng.choices(calm, k=60)) + f" own{i}" for i in range(300)]
-    rare = [" ".join(rng.choices(calm, k=60)) + " rarecue" for _ in range(6)]
-    rows = [(i, t, "en", "s") for i, t in enumerate([*texts, *rare, *[rare[0]] * 400, "", None])]
-    docs = docs_frame(spark, rows)
-    owner, cue = toxicity.token_features([b"rarecue"])
-    held, n = toxicity.background(docs.select("text"), cue)
-    assert abs(n - 306) < 4  # the 400 copies count as one, empty texts not at all
-    assert all(5 < held[b] < 7 for b in cue)
-    again = toxicity.background(docs.select("text").repartition(9), cue)
-    assert n == again[1] and np.array_equal(held, again[0])
-
-
-def test_a_cue_of_few_positives_is_learnt_from_a_large_corpus():
-    """Four of 1,000 positives hold the cue, and no one else of 200,000."""
-    label = np.array([1] * 1000 + [0] * 2000)
-    flat = np.array([5] * 4 + [6] * 2996, np.int32)
-    held = np.zeros(toxicity.BUCKETS)
-    held[5], held[6] = 30, 198_000
-    bounds = np.arange(3001)
-    small, _ = toxicity.fit_pu(label, flat, bounds, prior=0.05, ridge=1e-5)
-    large, _ = toxicity.fit_pu(label, flat, bounds, prior=0.05, ridge=1e-5, counts=(held, 200_000.0))
-    assert small[5] == 0 and large[5] > 1 and large[6] == 0
-
-
 def test_near_copies_are_found():
     rng = random.Random(8)
     base = [" ".join(rng.choices([f"w{i}" for i in range(60)], k=120)).encode() for _ in range(40)]
