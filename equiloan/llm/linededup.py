@@ -9,12 +9,17 @@ postings, deleting documents removes theirs; counts, and so every earlier
 decision, go back to what they were (``LineIndex``).
 
 The fast side is one cuckoo filter per shard of the key space, holding the
-keys whose count has reached the threshold. A filter answers "not repeated"
-without error, supports deletion, and its size is known before it is used:
-when all shards together stay under ``filter_bytes`` the scan that rewrites
-the documents probes them first and sends only lines that may be repeated to
-the exact table; above that bound every line goes to the exact table. Both
-ways give the same rows, as the exact table decides.
+keys whose count has reached the threshold, kept as a written table (shard,
+keys, filter) at any size. A filter answers "not repeated" without error, so
+only lines that may be repeated go on to the exact table, which decides. Where
+the stored filters together stay under ``filter_bytes`` the scan of the
+documents probes them as a broadcast; above, lines meet the filter of their
+shard in a cogroup, in groups of about ``PROBE_ROWS`` lines, so that a shard
+with a very common line is probed by several tasks. Both ways give the same
+rows. In ``LineIndex`` a change of documents recounts only the keys it touches
+and changes the filters by the keys that cross the threshold: they are inserted
+on the way up and deleted on the way down. When the keys outgrow the shards
+(twice ``SHARD_KEYS`` each), the filters are built anew with more shards.
 
 A line's key is the line without white space at both ends and with A-Z
 lower-cased; it is compared by a 128-bit hash. Lines under ``min_chars`` code
@@ -32,11 +37,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiloan.llm.runtime import ship, stash
@@ -46,7 +52,9 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_KEYS = 50_000
 FILTER_BYTES = 64 << 20
-#: Repeated ids that may be broadcast (8 bytes each).
+#: Lines that one task probes against the filter of their shard.
+PROBE_ROWS = 200_000
+#: Repeated ids, or sizes of shards, that may be broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 
 
@@ -209,30 +217,86 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table({"shard": table.column("shard").slice(0, 1), "keys": [len(keys)], "filter": [f.to_bytes()]})
 
 
-def build_filters(repeated: DataFrame, shards: int) -> DataFrame:
-    """One cuckoo filter per shard of the repeated keys: shard, keys, filter."""
-    # The shard of a key as the Python side computes it: the unsigned high
-    # half modulo the number of shards.
+def _shard_column(shards: int) -> Column:
+    """The shard of a key as ``_shards`` computes it: the unsigned high half
+    modulo the number of shards."""
     high = F.shiftrightunsigned("hi", 32) % shards
     low = F.col("hi").bitwiseAND(F.lit(0xFFFFFFFF)) % shards
-    shard = ((high * F.lit((1 << 32) % shards) + low) % shards).cast("long")
-    return repeated.select(shard.alias("shard"), "lo").groupBy("shard").applyInArrow(
-        _build, "shard long, keys long, filter binary")
-
-
-def _filters_for(repeated: DataFrame, filter_bytes: int):
-    """The filters as a broadcast list, or None above the size bound."""
-    n = repeated.count()
-    if 4 * n > filter_bytes:  # at most 2 / 0.425 bytes a key, before growth
-        return None
-    shards = max(1, -(-n // SHARD_KEYS))
-    empty = CuckooFilter(0).to_bytes()
-    held = [empty] * shards
-    for r in build_filters(repeated, shards).select("shard", "filter").toLocalIterator():
-        held[r["shard"]] = bytes(r["filter"])
-    if sum(map(len, held)) > filter_bytes:
-        return None
-    return repeated.sparkSession.sparkContext.broadcast(held)
+    return ((high * F.lit((1 << 32) % shards) + low) % shards).cast("long")
+
+
+_FILTER = "shard long, keys long, filter binary"
+
+
+def _change(held: pa.Table, changes: pa.Table) -> pa.Table:
+    """One shard's filter after the keys that left and the keys that came."""
+    f = CuckooFilter.from_bytes(held.column("filter")[0].as_py()) if len(held) else CuckooFilter(0)
+    keys = held.column("keys")[0].as_py() if len(held) else 0
+    if len(changes):
+        lo = changes.column("lo").to_numpy().view(np.uint64)
+        came = changes.column("came").to_numpy()
+        f.delete(lo[~came])
+        f.insert(lo[came])
+        keys += int(came.sum()) - int((~came).sum())
+    shard = (held if len(held) else changes).column("shard").slice(0, 1)
+    return pa.table({"shard": shard, "keys": [keys], "filter": [f.to_bytes()]})
+
+
+def _probe(lines: pa.Table, held: pa.Table) -> pa.Table:
+    """The lines of one shard that its filter may hold."""
+    lines = lines.select(["doc_id", "hi", "lo"])
+    if not len(lines) or not len(held):
+        return lines.slice(0, 0)
+    f = CuckooFilter.from_bytes(held.column("filter")[0].as_py())
+    return lines.filter(pa.array(f.contains(lines.column("lo").to_numpy().view(np.uint64))))
+
+
+@dataclass
+class ShardFilters:
+    """One cuckoo filter per shard of the repeated keys, as a written table."""
+
+    table: DataFrame
+    shards: int
+
+    @classmethod
+    def build(cls, repeated: DataFrame) -> ShardFilters:
+        shards = max(1, -(-repeated.count() // SHARD_KEYS))
+        keys = repeated.select(_shard_column(shards).alias("shard"), "lo")
+        return cls(stash(keys.groupBy("shard").applyInArrow(_build, _FILTER), "line-filters"), shards)
+
+    def update(self, came: DataFrame, went: DataFrame) -> ShardFilters:
+        """Filters with the keys of ``came`` inserted and of ``went`` deleted
+        (each (hi, lo) once; ``went`` only keys that are held)."""
+        def side(keys, flag):
+            return keys.select(_shard_column(self.shards).alias("shard"), "lo", F.lit(flag).alias("came"))
+
+        changes = side(came, True).unionByName(side(went, False))
+        table = self.table.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_change, _FILTER)
+        return ShardFilters(stash(table, "line-filters"), self.shards)
+
+    def broadcast(self, filter_bytes: int):
+        """The filters as a broadcast list, or None above the size bound."""
+        size = self.table.agg(F.sum(F.length("filter")).alias("size")).first()["size"] or 0
+        empty = CuckooFilter(0).to_bytes()
+        if size + len(empty) * self.shards > filter_bytes:
+            return None
+        held = [empty] * self.shards
+        for r in self.table.select("shard", "filter").toLocalIterator():
+            held[r["shard"]] = bytes(r["filter"])
+        return self.table.sparkSession.sparkContext.broadcast(held)
+
+    def probe(self, post: DataFrame) -> DataFrame:
+        """Postings (one row per doc_id and key) whose key may be repeated,
+        by a cogroup with the stored filters."""
+        held = stash(post.withColumn("shard", _shard_column(self.shards)), "line-probes")
+        parts = stash(held.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(PROBE_ROWS)).cast("long").alias("parts")),
+                      "line-shards")
+        small = F.broadcast(parts) if self.shards <= BROADCAST_IDS else parts
+        lines = held.join(small, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "hi", "lo"), F.col("parts")))
+        copies = self.table.join(small, "shard").select(
+            "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "filter")
+        return (lines.select("doc_id", "hi", "lo", "shard", "part").groupBy("shard", "part")
+                .cogroup(copies.groupBy("shard", "part")).applyInArrow(_probe, _POSTING))
 
 
 # --- rewriting -----------------------------------------------------------------
@@ -270,10 +334,12 @@ def _drop_lists(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "drops": [np.ascontiguousarray(pair).tobytes()]})
 
 
-def decide(docs: DataFrame, repeated: DataFrame, min_chars: int, filter_bytes: int) -> DataFrame:
-    """Rewritten documents given the repeated keys (hi, lo, max_doc)."""
-    probe = _filters_for(repeated, filter_bytes)
-    held = postings(docs, min_chars, probe)
+def decide(docs: DataFrame, repeated: DataFrame, filters: ShardFilters, min_chars: int, filter_bytes: int) -> DataFrame:
+    """Rewritten documents given the repeated keys (hi, lo, max_doc) and the
+    filters that hold them."""
+    probe = filters.broadcast(filter_bytes)
+    held = postings(docs, min_chars, probe) if probe is not None else filters.probe(
+        document_postings(docs.filter(F.col("doc_id").isNotNull()), min_chars))
     r = repeated.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "max_doc")
     gone = (held.join(r, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")))
             .filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")) & F.col("doc_id").isNotNull())
@@ -287,35 +353,57 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
                filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, text (lines that stay), n_lines, n_dropped, kept_sha256."""
     repeated = stash(reference_counts(document_postings(docs, min_chars)).filter(F.col("n_docs") >= min_docs), "line-keys")
-    return decide(docs, repeated, min_chars, filter_bytes)
+    return decide(docs, repeated, ShardFilters.build(repeated), min_chars, filter_bytes)
 
 
 class LineIndex:
     """Incremental index: ``insert`` and ``delete`` documents, ``dedup`` any
     documents against what is held. Each change writes a new version of the
-    postings, so a version can be gone back to."""
+    postings, of the reference counts and of the filters, so a version can be
+    gone back to; counts and filters change only by the keys it touches."""
 
     def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                  filter_bytes: int = FILTER_BYTES):
         self.min_chars, self.min_docs, self.filter_bytes = min_chars, min_docs, filter_bytes
         self.postings = spark.createDataFrame([], _POSTING)
+        self._counts = reference_counts(self.postings)
+        self.filters = ShardFilters(spark.createDataFrame([], _FILTER), 1)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        both = self.postings.unionByName(document_postings(docs, self.min_chars))
-        self.postings = stash(both.dropDuplicates(["doc_id", "hi", "lo"]), "line-postings")
-        return self
+        held = self.postings.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "hi", "lo")))
+        same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))
+        new = stash(document_postings(docs, self.min_chars).join(held, same, "left_anti"), "line-postings")
+        return self._advance(stash(self.postings.unionByName(new), "line-postings"), new)
 
     def delete(self, doc_ids: DataFrame | Iterable[int]) -> LineIndex:
         spark = self.postings.sparkSession
         if not isinstance(doc_ids, DataFrame):
             doc_ids = spark.createDataFrame([(int(i),) for i in doc_ids], "doc_id long")
-        self.postings = stash(self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
-                              .select("doc_id", "hi", "lo"), "line-postings")
+        ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        rest = self.postings.join(ids, "doc_id", "left_anti").select("doc_id", "hi", "lo")
+        return self._advance(stash(rest, "line-postings"), self.postings.join(ids, "doc_id", "left_semi"))
+
+    def _advance(self, post: DataFrame, changed: DataFrame) -> LineIndex:
+        """The next version, after the postings ``changed`` came or went."""
+        key = ["hi", "lo"]
+        touched = stash(changed.select(*key).distinct(), "line-touched")
+        counts = stash(self._counts.join(touched, key, "left_anti").unionByName(
+            reference_counts(post.join(touched, key, "left_semi"))), "line-counts")
+        before, after = (self._repeated(c).select(*key) for c in (self._counts, counts))
+        if after.count() > 2 * SHARD_KEYS * self.filters.shards:
+            self.filters = ShardFilters.build(after)
+        else:
+            self.filters = self.filters.update(after.join(touched, key, "left_semi").join(before, key, "left_anti"),
+                                               before.join(touched, key, "left_semi").join(after, key, "left_anti"))
+        self.postings, self._counts = post, counts
         return self
 
+    def _repeated(self, counts: DataFrame) -> DataFrame:
+        return counts.filter(F.col("n_docs") >= self.min_docs)
+
     def counts(self) -> DataFrame:
-        return reference_counts(self.postings)
+        """(hi, lo) -> n_docs, max_doc: the exact table of the documents held."""
+        return self._counts
 
     def dedup(self, docs: DataFrame) -> DataFrame:
-        repeated = stash(self.counts().filter(F.col("n_docs") >= self.min_docs), "line-keys")
-        return decide(docs, repeated, self.min_chars, self.filter_bytes)
+        return decide(docs, self._repeated(self._counts), self.filters, self.min_chars, self.filter_bytes)

@@ -66,8 +66,12 @@ def _line_rows():
 
 
 @pytest.mark.parametrize("filter_bytes", [linededup.FILTER_BYTES, 0])
-def test_line_dedup_matches_brute_force(spark, filter_bytes):
-    """With the cuckoo filters and, above their size bound, without."""
+def test_line_dedup_matches_brute_force(spark, filter_bytes, monkeypatch):
+    """With the filters broadcast and, above their size bound, by shard, with
+    shards of two keys and groups of three lines."""
+    if not filter_bytes:
+        monkeypatch.setattr(linededup, "SHARD_KEYS", 2)
+        monkeypatch.setattr(linededup, "PROBE_ROWS", 3)
     rows = _line_rows()
     got = linededup.line_dedup(docs_frame(spark, rows).repartition(5), filter_bytes=filter_bytes)
     got = got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
@@ -114,3 +118,53 @@ def test_rows_of_one_document_count_once(spark):
     assert got == [(0, 0), (0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 0)]
     index = linededup.LineIndex(spark).insert(df).insert(df)
     assert [r["n_docs"] for r in index.counts().collect()] == [3]
+
+
+def _slots(index):
+    """(keys the filters say they hold, fingerprints in their tables)."""
+    held = [(r["keys"], int((linededup.CuckooFilter.from_bytes(bytes(r["filter"])).table != 0).sum()))
+            for r in index.filters.table.collect()]
+    return sum(k for k, _ in held), sum(n for _, n in held)
+
+
+@pytest.mark.parametrize("shard_keys", [1, 50_000])
+def test_stored_filters_follow_insertions_and_deletions(spark, shard_keys, monkeypatch):
+    """The stored filters hold exactly the repeated keys after every change,
+    whether changed in place or built anew with more shards, and a dedup that
+    probes them by shard equals the brute force over the documents held."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(linededup, "PROBE_ROWS", 5)
+    rows = [r for r in _line_rows() if r[0] is not None]
+    index = linededup.LineIndex(spark, filter_bytes=0)
+    assert _slots(index) == (0, 0)
+    index.insert(docs_frame(spark, rows[:30])).insert(docs_frame(spark, rows[30:]))
+    n = index.counts().filter("n_docs >= 5").count()
+    assert n >= 4 and _slots(index) == (n, n)
+    assert (index.filters.shards > 1) == (shard_keys == 1)
+    got = index.dedup(docs_frame(spark, rows)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _lines(rows, 40, 5)
+    left = rows[:18]
+    index.delete({i for i, *_ in rows[18:]} - {i for i, *_ in left})
+    fewer = index.counts().filter("n_docs >= 5").count()
+    assert fewer < n and _slots(index) == (fewer, fewer)
+    got = index.dedup(docs_frame(spark, left)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _lines(left, 40, 5)
+    index.delete([i for i, *_ in rows])
+    assert index.counts().count() == 0 and _slots(index) == (0, 0)
+    assert index.dedup(docs_frame(spark, [])).count() == 0
+
+
+def test_filter_tables_survive_many_changes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    f, held = linededup.CuckooFilter(64), set()
+    for _ in range(60):
+        new = rng.integers(0, 2**64, 20, dtype=np.uint64)
+        f.insert(new)
+        held |= set(new.tolist())
+        old = np.array(sorted(held), np.uint64)[rng.permutation(len(held))[:15]]
+        f.delete(old)
+        held -= set(old.tolist())
+        assert f.contains(np.array(sorted(held), np.uint64)).all()
+    assert int((f.table != 0).sum()) == len(held)
