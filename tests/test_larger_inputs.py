@@ -74,3 +74,24 @@ def test_denial_chart_fits_the_denial_models_alone(spark, tmp_path, monkeypatch)
     assert q_models.q_denial_plot_series(spark, str(tmp_path)).count() > 0
     assert sorted(made) == sorted(q_models.DENIAL_MODELS)
     assert q_models.q_fit_scores(spark, str(tmp_path)).filter(F.col("n") == 1).count() == 7 and len(made) == 7
+
+
+def test_repair_keeps_its_edges_out_of_the_rows(spark):
+    """Rows once carried the whole arrays of edges through the lookup."""
+    from equiloan.operators import mitigate
+
+    nan = float("nan")
+    rows = [(i, float(i * i % 97), i % 2) for i in range(300)] + [(900, None, 1), (901, 5.0, None), (902, nan, 0), (903, nan, 1)]
+    df = spark.createDataFrame(rows, "application_id long, x double, a int")
+    edges = mitigate.repair_edges(df, ["x"], "a")
+    new = mitigate.repaired_columns(df, edges, ["x"], "a", 0.5, {"x": "y"})
+    assert "hi_0" not in new._jdf.queryExecution().optimizedPlan().toString()
+    (e0, e1) = ({r["g"]: r for r in edges.collect()}[g] for g in (0, 1))
+    top = lambda v: v if v == v else float("inf")  # noqa: E731 - unknown numbers sort last
+    for r in new.collect():
+        e = {0: e0, 1: e1}.get(r["a"])
+        want = r["x"]
+        if e is not None and want is not None:
+            below = sum(top(h) < top(want) for h in e["hi_0"])
+            want = 0.5 * want + 0.5 * e["mid_0"][min(below, len(e["hi_0"]) - 1)]
+        assert r["y"] == want or (r["y"] != r["y"] and want != want)
