@@ -95,3 +95,40 @@ def test_repair_keeps_its_edges_out_of_the_rows(spark):
             below = sum(top(h) < top(want) for h in e["hi_0"])
             want = 0.5 * want + 0.5 * e["mid_0"][min(below, len(e["hi_0"]) - 1)]
         assert r["y"] == want or (r["y"] != r["y"] and want != want)
+
+
+def test_fits_deal_their_rows_evenly_and_keep_them(train, spark, monkeypatch):
+    """Files are read in as many parts as they happen to give, so a pass took a
+    second, nearly empty wave, and every pass decoded them again."""
+    seen, real = [], sharedfit._evaluate
+    monkeypatch.setattr(sharedfit, "_evaluate", lambda rows, tasks, *a: seen.append((tasks, rows.is_cached)) or real(
+        rows, tasks, *a))
+    n = spark.sparkContext.defaultParallelism
+    sharedfit.fit_arms(train.repartition(n + 1), Layout("application_id", "approved", [], [FEATS]), [Arm("lr", "lr")])
+    assert set(seen) == {(2 * n, True)} and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_network_sums_in_small_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y, w = rng.normal(size=(50, 3)), rng.integers(0, 2, 50).astype(float), rng.random(50)
+    point = sharedfit._first_network(sharedfit._layers(3), 1)
+    whole = sharedfit._network_sums(x, y, w, point)
+    monkeypatch.setattr(sharedfit, "CACHED_ROWS", 7)
+    assert np.allclose(sharedfit._network_sums(x, y, w, point), whole, rtol=1e-12)
+    alone = sum(sharedfit._network_sums(x[i:i + 1], y[i:i + 1], w[i:i + 1], point) for i in range(50))
+    assert np.allclose(alone, whole, rtol=1e-10)
+
+
+def test_rows_of_a_small_node_travel_in_ten_bytes(train, monkeypatch):
+    """24 bytes a row and tree once went through the shuffle."""
+    sizes, real = [], sharedfit.grow
+
+    def grow(bins, y, w, c, node, *rest):
+        sizes.append((bins.itemsize * bins.shape[1], c.itemsize, sorted(set(w.tolist()))))
+        return real(bins, y, w, c, node, *rest)
+
+    assert [c.split()[0] for c in sharedfit._PIECE.split(", ")][3:] == ["node", "bins", "y", "c", "g"]
+    assert sharedfit._number_type(np.arange(1)).itemsize == 1 and sharedfit._number_type(np.arange(400)).itemsize == 2
+    found = grow(np.array([[0, 1], [3, 1], [3, 0]], np.uint8), np.array([0.0, 1.0, 1.0]), np.array([0.5, 2.0, 2.0]),
+                 np.array([1, 2, 1], np.uint8), np.ones(3, np.int64), Arm("m", "rf", depth=2), 0, 1)
+    assert found["w0"][0] == 0.5 and found["w1"][0] == 6.0 and sizes == [(2, 1, [0.5, 2.0])]
