@@ -132,3 +132,51 @@ def test_rows_of_a_small_node_travel_in_ten_bytes(train, monkeypatch):
     found = grow(np.array([[0, 1], [3, 1], [3, 0]], np.uint8), np.array([0.0, 1.0, 1.0]), np.array([0.5, 2.0, 2.0]),
                  np.array([1, 2, 1], np.uint8), np.ones(3, np.int64), Arm("m", "rf", depth=2), 0, 1)
     assert found["w0"][0] == 0.5 and found["w1"][0] == 6.0 and sizes == [(2, 1, [0.5, 2.0])]
+
+
+def test_passes_read_packed_rows(train, monkeypatch):
+    """Every pass once took the values of all columns over one by one."""
+    seen, real = [], sharedfit._evaluate
+    monkeypatch.setattr(sharedfit, "_evaluate", lambda rows, *a: seen.append((rows.columns, rows.count())) or real(rows, *a))
+    layout = Layout("application_id", "approved", [], [FEATS])
+    fit = sharedfit.fit_arms(train.repartition(2), layout, [Arm("lr", "lr"), Arm("rf", "rf", trees=1, depth=2)])
+    names = [c.split()[0] for c in sharedfit._Packed.SCHEMA.split(", ")]
+    assert {tuple(c) for c, _ in seen} == {tuple(names)} and {n for _, n in seen} == {
+        train.sparkSession.sparkContext.defaultParallelism}
+
+    unknown = train.sparkSession.createDataFrame(
+        [(1, 1, 0.5, None, 2.0), (2, None, 1.0, 2.0, 3.0), (3, 0, float("nan"), 2.0, 3.0), (4, 0, 1.5, 2.5, 3.5)],
+        ["application_id", "approved", *FEATS]).coalesce(1)
+    raw = layout.select(unknown)
+    batches = [b for b in raw.toArrow().to_batches() if b.num_rows]
+    packed = sharedfit._pack(raw, layout, fit, {"lr", "rf"}).toArrow().to_batches()
+    rows = [r for b in packed for r in sharedfit._Packed.of(b, layout)]
+    assert len(batches) == len(rows) == 1
+    want, got = sharedfit._Rows(batches[0], layout), rows[0]
+    assert got.known.tolist() == [[False, True, False, True]] and (got.scaled(0, fit) == want.scaled(0, fit)).all()
+    for a, b in ((got.k, want.k), (got.fold, want.fold), (got.y, want.y), (got.binned(0, fit), want.binned(0, fit))):
+        assert np.array_equal(a, b, equal_nan=a.dtype == float)
+    arm, none = Arm("lr", "lr"), np.zeros((0, 2, 2))
+    assert got.weight(arm, none).tolist() == want.weight(arm, none).tolist() == [0.0, 0.0, 0.0, 1.0]
+
+
+def test_repair_of_both_splits_is_fitted_at_once(spark, monkeypatch):
+    """The jobs of the second split once waited for those of the first."""
+    from threading import Barrier
+
+    from equiloan.operators import mitigate, models
+
+    class Met(Exception):
+        pass
+
+    both = Barrier(2, timeout=60)
+
+    def repair_edges(*_):
+        both.wait()
+        raise Met
+
+    monkeypatch.setattr(mitigate, "repair_edges", repair_edges)
+    df = spark.createDataFrame([(i, i % 2, i % 2, float(i), "train" if i % 3 else "test") for i in range(12)],
+                               "application_id long, approved int, a50 int, x double, split string")
+    with pytest.raises(Met):
+        models.fit_grid_packed(df, ["x"], models.model_grid(["lr"], ["repair"], ["a50"]))
