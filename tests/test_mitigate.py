@@ -149,3 +149,41 @@ def test_repair_resolution_follows_the_smaller_group(spark, monkeypatch):
     monkeypatch.setattr(mitigate, "ARRAY_EDGES", 10)
     again = mitigate.repair_disparate_impact(df, ["x"], "a").select("application_id", "x").collect()
     assert {r[0]: r[1] for r in again} == got
+
+
+def test_repair_fitted_by_group_equals_the_joins(spark, monkeypatch):
+    """Few distinct values once went through the joins of any size, and their
+    number of buckets, not of edges, chose the join by value."""
+    nan = float("nan")
+    df = spark.range(3000).selectExpr(
+        "id AS application_id", "CAST(id % 5 < 2 AS INT) AS a", "CAST(IF(id % 11 = 0, NULL, id % 3 = 0) AS INT) AS b", "1 AS one",
+        "CAST(IF(id % 97 = 0, NULL, pmod(id * 7919, 1009) / 8 + IF(id % 5 < 2, 40, 0)) AS DOUBLE) AS x",
+        "CAST(IF(id % 5 < 2, id % 7, 100 + id % 4) AS DOUBLE) AS y", "CAST(NULL AS DOUBLE) AS z")
+    df = df.withColumn("x", F.when(F.col("application_id") % 500 == 7, F.lit(nan)).otherwise(F.col("x")))
+    names = {f: f"{f}2" for f in "xyz"}
+
+    def fit(max_buckets=None):
+        edges, out = mitigate.repair_edges(df, list("xyz"), ["a", "b", "one"], max_buckets), {}
+        for a in ("a", "b", "one"):
+            new = mitigate.repaired_columns(df, edges, list("xyz"), a, 0.7, names)
+            out[a] = [tuple(map(repr, r)) for r in new.orderBy("application_id").select(*names.values()).collect()]
+        return "mid" in edges.columns, out
+
+    def no_joins(*_):
+        raise AssertionError("the buckets were filled by joins")
+
+    got, coarse = {}, {}
+    for edges in (4000, 10):
+        monkeypatch.setattr(mitigate, "ARRAY_EDGES", edges)
+        monkeypatch.setattr(mitigate, "GROUP_VALUES", 0)
+        got[edges, "joins"], coarse[edges, "joins"] = fit(), fit(5)
+        with monkeypatch.context() as m:
+            m.setattr(mitigate, "GROUP_VALUES", 1_000_000)
+            m.setattr(mitigate, "_filled", no_joins)
+            got[edges, "group"], coarse[edges, "group"] = fit(), fit(5)
+    assert [got[k][0] for k in got] == [False, False, True, True]
+    assert len({str(v) for _, v in got.values()}) == 1 and len({str(v) for _, v in coarse.values()}) == 1
+    # More rows than edges: at most one edge a distinct value.
+    monkeypatch.setattr(mitigate, "ARRAY_EDGES", 1400)
+    monkeypatch.setattr(mitigate, "GROUP_VALUES", 1_000_000)
+    assert fit() == got[4000, "group"]
