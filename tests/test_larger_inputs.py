@@ -180,3 +180,55 @@ def test_repair_of_both_splits_is_fitted_at_once(spark, monkeypatch):
                                "application_id long, approved int, a50 int, x double, split string")
     with pytest.raises(Met):
         models.fit_grid_packed(df, ["x"], models.model_grid(["lr"], ["repair"], ["a50"]))
+
+
+def test_trees_are_finished_in_waves(train, spark, monkeypatch):
+    """The rows of all trees once went through one shuffle, whose files grew with
+    rows times trees, and the tables of nodes stayed until the session's end."""
+    from equiloan import session
+
+    layout, arms = Layout("application_id", "approved", [], [FEATS]), [Arm("m", "rf", trees=3, depth=4), Arm("o", "rf", trees=2)]
+    whole = sharedfit.fit_arms(train, layout, arms, local_rows=150)
+    written, real = [], sharedfit.materialize
+    monkeypatch.setattr(sharedfit, "materialize", lambda df, name: written.append(real(df, name)) or written[-1])
+    monkeypatch.setattr(sharedfit, "WAVE_BYTES", 1)
+    waves = sharedfit.fit_arms(train, layout, arms, local_rows=150)
+    assert len(written) == 5
+    kept = [p for p in session._HANDED_OUT[spark.sparkContext.applicationId] if "/forest-nodes-" in p]
+    assert not any(p.rsplit("/", 1)[-1] in f for p in kept for t in written for f in t.inputFiles()[:1])
+    for a in arms:
+        assert all((waves.params[a.model_id][k] == whole.params[a.model_id][k]).all() for k in whole.params[a.model_id])
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    from equiloan import session
+    from equiloan.operators.cumulative import materialize
+
+    status = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in (status.getAllFiles().apply(i) for i in range(status.getAllFiles().size()))
+                     if f.getName().startswith("shuffle_")}
+    before = files()
+    table = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    left = {f for f in files() - before if f.endswith(".data")}
+    assert not left and table.count() == 7
+    assert spark.conf.get(session._FILE_CLEANUP) == "false"
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    session.discard(table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
+
+
+def test_tuning_holds_no_forest(train, monkeypatch):
+    """The driver once held every forest of the tuning, 26 bytes a node."""
+    grid = {"numTrees": [2, 4], "maxDepth": [2, 5], "minInstancesPerNode": [1]}
+    fits, real = [], sharedfit.fit_arms
+    monkeypatch.setattr(sharedfit, "fit_arms", lambda *a, **b: fits.append(real(*a, **b)) or fits[-1])
+    small, best, rows = sharedfit.tune_forest(train, FEATS, grid=grid, folds=2)
+    assert [len(f.params) for f in fits] == [0, 0, 1] and isinstance(small.params["best"], dict)
+    monkeypatch.setattr(sharedfit, "PASS_NODES", 1)
+    monkeypatch.setattr(sharedfit, "WAVE_BYTES", 1)
+    large, _, again = sharedfit.tune_forest(train, FEATS, grid=grid, folds=2, local_rows=60)
+    forest = large.params["best"]
+    assert again == rows and isinstance(forest, sharedfit.StoredForest) and forest.arrays is None
+    decided = [sorted(map(str, sharedfit.score(f, train, [best], ["application_id"]).collect())) for f in (small, large)]
+    assert decided[0] == decided[1]
