@@ -183,3 +183,52 @@ def test_repair_fitted_by_group_equals_the_joins(spark, monkeypatch):
     assert "mid" not in mitigate.repair_edges(df, list("xyz"), ["a", "b", "one"]).columns
     monkeypatch.setattr(mitigate, "ARRAY_EDGES", 10)
     assert fit() == (True, joined[1])
+
+
+def test_repair_by_value_joins_once_per_feature(spark, monkeypatch):
+    """Every attribute once joined the rows to one row per (attribute, feature,
+    group, value): 36 joins for the six features of the grid, each shuffling all
+    columns made so far. Blocks and runs of any size give the same bits."""
+    nan = float("nan")
+    df = spark.range(2000).selectExpr(
+        "id AS application_id", "CAST(id % 5 < 2 AS INT) AS a", "CAST(IF(id % 11 = 0, NULL, id % 3 = 0) AS INT) AS b", "1 AS one",
+        "CAST(IF(id % 97 = 0, NULL, pmod(id * 7919, 1009) / 7.3 + IF(id % 5 < 2, 40, 0)) AS DOUBLE) AS x",
+        "CAST(IF(id % 5 < 2, id % 7, 100 + id % 4) AS DOUBLE) / 0.7 AS y", "CAST(NULL AS DOUBLE) AS z")
+    df = df.withColumn("x", F.when(F.col("application_id") % 500 == 7, F.lit(nan)).otherwise(F.col("x")))
+    names = {a: {f: f"{f}_{a}" for f in "xyz"} for a in ("a", "b", "one")}
+
+    def fit(max_buckets=None):
+        edges = mitigate.repair_edges(df, list("xyz"), list(names), max_buckets)
+        new = mitigate.repaired_attributes(df, edges, list("xyz"), names, 0.7)
+        assert new.columns == [*df.columns, *[n for a in names.values() for n in a.values()]]
+        return new, [tuple(map(repr, r)) for r in new.orderBy("application_id").collect()], edges
+
+    want = {n: fit(n)[1] for n in (None, 9)}
+    monkeypatch.setattr(mitigate, "ARRAY_EDGES", 3)
+    for values, runs in ((100_000, 100_000), (37, 10)):
+        monkeypatch.setattr(mitigate, "BLOCK_VALUES", values)
+        monkeypatch.setattr(mitigate, "FILL_RUN", runs)
+        for n, rows in want.items():
+            new, got, edges = fit(n)
+            assert got == rows and "mid" in edges.columns and edges.count() == df.select("x").distinct().count() - 1 + 11
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Join LeftOuter") <= 3
+    # Values that the fit has not seen, at all or in the row's group.
+    for other in ("CAST(0.123 AS DOUBLE)", "CAST(0.0 AS DOUBLE)"):
+        with pytest.raises(Exception, match="not fitted on"):
+            mitigate.repaired_columns(df.selectExpr("application_id", "0 AS a", f"{other} AS y"), edges, ["y"], "a").collect()
+
+
+def test_package_is_shipped_once_by_threads(spark, monkeypatch):
+    """Both splits' repair is fitted at once, and both found it not shipped."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    from equiloan import session
+
+    sent = []
+    monkeypatch.setattr(session, "_SHIPPED", set())
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: (time.sleep(0.5), sent.append(path)))
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(session.ship_package, [spark] * 3))
+    assert len(sent) == 1
