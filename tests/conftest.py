@@ -26,4 +26,16 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def own_cache():
+    """What a file's tests have cached does not stay for the next file, where a
+    test counts what is cached."""
+    yield
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.catalog.clearCache()
+
+
 SF_SMALL = "/root/testdata/sf0.001"
